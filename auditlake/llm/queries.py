@@ -1,10 +1,15 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .jaccard_join import OP5_SQL, op5_jaccard_join
+from .quality import op2_quality
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": OP4_SQL,
+    "op5_jaccard_join": OP5_SQL,
 }
