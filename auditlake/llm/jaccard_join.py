@@ -21,8 +21,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,47 +31,75 @@ from .common import cut, read
 NUM, DEN, SHINGLE = 3, 4, 5
 #: A signature with more holders than this is worth no unit.
 COMMON = 24
-#: Distinct words whose hashes a task keeps at hand.
-WORDS_HELD = 400_000
+#: Shingles that a block compares at a time.
+COLUMNS = 4096
+#: Sets that a task remembers so as not to sign copies again.
+SETS_HELD = 400_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
-    x = x * M1
-    x = x ^ (x >> np.uint64(27))
-    x = x * M2
-    return x ^ (x >> np.uint64(31))
+    x *= M1
+    x ^= x >> np.uint64(27)
+    x *= M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
-class Words(dict):
-    """Hashes of words, computed when first asked for."""
+#: ASCII white space as 0, every other byte as 1.
+BLANKS = bytes(0 if b in b" \t\n\x0b\x0c\r" else 1 for b in range(256))
+#: What the words of a shingle are multiplied by.
+PLACES = mixed(np.arange(301, 301 + SHINGLE, dtype=np.uint64) * BASE) | np.uint64(1)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS_HELD:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+class Powers:
+    """Powers of a number modulo 2^64 and of its inverse, as many as asked for."""
 
-def shingles(text: str | None, words: Words, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; of fewer words, of the whole sequence; of none, nothing."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space alone
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    if not len(h):
-        return h
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            k, inverse = len(self.up), pow(int(BASE), -1, 1 << 64)
+            self.up = np.concatenate((self.up, self.up * np.uint64(pow(int(BASE), k, 1 << 64))))
+            self.down = np.concatenate((self.down, self.down * np.uint64(pow(inverse, k, 1 << 64))))
+        return self.up[:n], self.down[:n]
+
+
+def shingles(text: str | None, powers: Powers, k: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles; of fewer words, of the whole sequence; of none, nothing.
+
+    A word's hash is a polynomial over its bytes.
+    """
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()  # of bytes: A-Z alone
+    kinds = np.frombuffer(b"\0" + raw.translate(BLANKS) + b"\0", np.uint8)
+    edges = np.flatnonzero(kinds[1:] != kinds[:-1])
+    if not len(edges):
+        return np.empty(0, np.uint64)
+    starts, lengths = edges[::2], (edges[1::2] - edges[::2]).astype(np.uint64)
+    up, down = powers.upto(len(raw))
+    terms = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= up
+    h = np.add.reduceat(terms, edges[: len(edges) - (edges[-1] == len(raw))])[::2] * down[starts]
+    h = mixed(h + lengths * M2)
     size = min(k, len(h))
-    total = np.full(len(h) - size + 1, np.uint64(size))
-    for i in range(size):
-        total = mixed(total + h[i : len(h) - size + 1 + i])
-    return np.unique(total)
+    n = len(h) - size + 1
+    total = h[:n] * PLACES[0]
+    for i in range(1, size):
+        total += h[i : n + i] * PLACES[i]
+    total = mixed(total + np.uint64(size))
+    total.sort()
+    return total[np.concatenate(([True], total[1:] != total[:-1]))]
 
 
 def node_of(tokens: np.ndarray) -> int:
     """Identity of a set, 63 bits: the lowest is free for a mark."""
-    total = np.add.reduce(mixed(tokens ^ M2), keepdims=True)
-    return int(mixed(total + np.array([len(tokens)], np.uint64) * M1).view(np.int64)[0]) & ~1
+    total = np.add.reduce(tokens, keepdims=True) + np.array([len(tokens)], np.uint64) * M1
+    return int(mixed(total).view(np.int64)[0]) & ~1
 
 
 def most_apart(a: int, b: int) -> int:
@@ -117,34 +145,34 @@ def bands(size: int) -> list[int]:
     return [own] + ([own - 1] if own and NUM * size <= DEN * (2**own - 1) else [])
 
 
-def segments(tokens: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """mixed tokens by segment, segment of each, starts of the segments, their sums, first segment with deletions."""
+def segments(tokens: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Tokens in order of their segments (multiplied by the band's own number), segment of each, starts of the segments, first segment with deletions."""
     m, deleted = allocate(band)
-    h = mixed(tokens + np.uint64(band))
-    seg = h % np.uint64(m)
-    order = np.argsort(seg, kind="stable")
-    h, seg = mixed(h[order] + M1), seg[order]
-    starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-    return h, seg, starts, np.add.reduceat(h, starts), m - deleted
+    h = tokens * (M1 + np.uint64(2 * band))
+    h.sort()
+    seg = ((h >> np.uint64(40)) * np.uint64(m)) >> np.uint64(24)
+    return h, seg, np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1]))), m - deleted
 
 
 def worth(tokens: np.ndarray, band: int) -> tuple[int, int]:
     """Non-empty segments and units of a set in a band's scheme."""
-    _, seg, starts, _, first = segments(tokens, band)
+    _, seg, starts, first = segments(tokens, band)
+    if not allocate(band)[1]:
+        return len(starts), len(starts)
     counts = np.diff(np.append(starts, len(seg)))
     return len(starts), len(starts) + int(((counts > 1) & (seg[starts] >= first)).sum())
 
 
 def signatures(tokens: np.ndarray, band: int) -> np.ndarray:
-    """Hashes of the indexed subsets of a set."""
-    h, seg, starts, sums, first = segments(tokens, band)
-    seed = mixed(seg[starts] * M2 + np.uint64(band + 1))
-    exact = mixed(sums + seed)
+    """Hashes of the indexed subsets of a set: of each segment's, and of those less one shingle where the scheme has deletions."""
+    h, seg, starts, first = segments(tokens, band)
+    seeded = np.add.reduceat(h, starts) + (seg[starts] * np.uint64(64) + np.uint64(band + 1)) * M2
+    exact = mixed(seeded)
+    if not allocate(band)[1]:
+        return exact
     counts = np.diff(np.append(starts, len(seg)))
     twice = np.repeat((counts > 1) & (seg[starts] >= first), counts)
-    if not twice.any():
-        return exact
-    return np.concatenate((exact, mixed(np.repeat(sums + seed, counts)[twice] - h[twice])))
+    return np.concatenate((exact, mixed(np.repeat(seeded, counts)[twice] - h[twice])))
 
 
 INFO = "_key long, doc_id long, node long, n long, band int, segments int, units int, low_segments int, low_units int"
@@ -152,11 +180,11 @@ INFO = "_key long, doc_id long, node long, n long, band int, segments int, units
 
 def informer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document its node, set size, and what it is worth in its own band and the one below (else -1)."""
-    words = Words()
+    powers = Powers()
     for b in batches:
         rows = []
         for key, doc_id, text in zip(b[0].to_pylist(), b[1].to_pylist(), b[2], strict=True):
-            t = shingles(text.as_py(), words)
+            t = shingles(text.as_py(), powers)
             if len(t):
                 own, *low = bands(len(t))
                 rows.append((key, doc_id, node_of(t), len(t), own, *worth(t, own), *(worth(t, low[0]) if low else (-1, -1))))
@@ -169,7 +197,7 @@ def informer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """sig, node of each document's schemes; the lowest bit of `node` marks its own band. A task's repeated sets go once."""
-    words, seen = Words(), set()
+    powers, seen = Powers(), set()
     for b in batches:
         sigs, nodes, held = [], [], 0
 
@@ -178,10 +206,10 @@ def signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
 
         for text in b[0]:
-            t = shingles(text.as_py(), words)
+            t = shingles(text.as_py(), powers)
             if not len(t) or (node := node_of(t)) in seen:
                 continue
-            if len(seen) > WORDS_HELD:
+            if len(seen) > SETS_HELD:
                 seen.clear()
             seen.add(node)
             for i, band in enumerate(bands(len(t))):
@@ -196,74 +224,78 @@ def signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def runs(common: int):
-    """Of rows sorted by sig and node: pairs of holders (a, b, null) of each signature with few, (null, node, sig) of the others.
+    """Of rows sorted by sig: pairs of holders (a, b, null) of each signature with few holders, (null, node, sig) of the others.
 
-    Only the run at hand is kept, and of a long one only that it is long.
+    Only the run at hand is kept, and of a long one only that it is long; a long run's holders can come repeated.
     """
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, node = np.empty(0, np.int64), np.empty(0, np.int64)
-        long_sig, last = None, None
-
-        def pairs(s: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-            starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, np.int64)
-            counts = np.repeat(np.diff(np.append(starts, len(s))), np.diff(np.append(starts, len(s))))
-            many = counts > common
-            keep = (counts > 1) & ~many
-            s2, n2, left, right = s[keep], n[keep], [], []
-            for d in range(1, common):
-                same = s2[d:] == s2[:-d]
-                if not same.any():
-                    break
-                a, b = n2[:-d][same], n2[d:][same]
-                own = ((a | b) & 1) == 1
-                left.append(a[own] & ~1)
-                right.append(b[own] & ~1)
-            return left, right, many
-
-        def out(left: list, right: list, hot_node: list, hot_sig: list) -> Iterator[pa.RecordBatch]:
-            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-            hn, hs = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (hot_node, hot_sig))
-            if len(a) + len(hn):
-                none = lambda k: pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), none(len(hn))]), pa.concat_arrays([pa.array(b), pa.array(hn)]), pa.concat_arrays([none(len(a)), pa.array(hs)])], names=["a", "b", "sig"])
+    def pairs(s: np.ndarray, n: np.ndarray) -> tuple[list, list, np.ndarray, np.ndarray]:
+        """a and b of the pairs in whole runs; sig and node of the rows in long ones."""
+        none = np.empty(0, np.int64)
+        if not len(s):
+            return [], [], none, none
+        new = np.concatenate(([True], s[1:] != s[:-1]))
+        single = new & np.concatenate((new[1:], [True]))
+        s, n = s[~single], n[~single]
+        order = np.lexsort((n, s))
+        s, n = s[order], n[order]
+        fresh = np.concatenate(([True], (s[1:] != s[:-1]) | (n[1:] != n[:-1]))) if len(s) else none.astype(bool)
+        s, n = s[fresh], n[fresh]
+        starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else none
+        lengths = np.diff(np.append(starts, len(s)))
+        many = np.repeat(lengths > common, lengths)
+        s2, n2, left, right = s[~many], n[~many], [], []
+        for d in range(1, common):
+            same = s2[d:] == s2[:-d]
+            if not same.any():
+                break
+            a, b = n2[:-d][same], n2[d:][same]
+            own = ((a | b) & 1) == 1
+            left.append(a[own] & ~1)
+            right.append(b[own] & ~1)
+        return left, right, s[many], n[many]
+
+    def out(left: list, right: list, sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+        if len(a) + len(node):
+            none = lambda k: pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), none(len(node))]), pa.concat_arrays([pa.array(b), pa.array(node)]), pa.concat_arrays([none(len(a)), pa.array(sig)])], names=["a", "b", "sig"])
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, node, long_sig = np.empty(0, np.int64), np.empty(0, np.int64), None
         for batch in batches:
             s, n = batch[0].to_numpy(zero_copy_only=False), batch[1].to_numpy(zero_copy_only=False)
             if not len(s):
                 continue
-            fresh = np.concatenate(([last != (s[0], n[0])], (s[1:] != s[:-1]) | (n[1:] != n[:-1])))
-            last = (s[-1], n[-1])
-            sig, node = np.concatenate((sig, s[fresh])), np.concatenate((node, n[fresh]))
-            hot_node, hot_sig = [], []
             if long_sig is not None:
-                k = int(np.searchsorted(sig != long_sig, True)) if len(sig) else 0
-                hot_node.append(node[:k])
-                hot_sig.append(sig[:k])
-                sig, node = sig[k:], node[k:]
-                if len(sig):
-                    long_sig = None
-            whole = int(np.searchsorted(sig, sig[-1])) if len(sig) else 0
-            if len(sig) - whole > common:
-                long_sig, whole = sig[-1], len(sig)
-            left, right, many = pairs(sig[:whole], node[:whole])
-            hot_node.append(node[:whole][many])
-            hot_sig.append(sig[:whole][many])
-            sig, node = sig[whole:], node[whole:]
-            yield from out(left, right, hot_node, hot_sig)
-        left, right, many = pairs(sig, node)
-        yield from out(left, right, [node[many]], [sig[many]])
+                more = s == long_sig  # at the front, if any
+                yield from out([], [], s[more], n[more])
+                s, n = s[~more], n[~more]
+                if not len(s):
+                    continue
+                long_sig = None
+            sig, node = np.concatenate((sig, s)), np.concatenate((node, n))
+            last = len(sig) - int((sig == sig[-1]).sum())
+            yield from out(*pairs(sig[:last], node[:last]))
+            holders = np.unique(node[last:])
+            if len(holders) > common:
+                long_sig = sig[-1]
+                yield from out([], [], np.full(len(holders), long_sig), holders)
+                sig, node = sig[:0], node[:0]
+            else:
+                sig, node = np.full(len(holders), sig[-1]), holders
+        yield from out(*pairs(sig, node))
 
     return found
 
 
 def tokeniser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node and the set's shingles."""
-    words = Words()
+    powers = Powers()
     for b in batches:
         nodes, sets, held = [], [], 0
         for node, text in zip(b[0].to_pylist(), b[1], strict=True):
-            t = shingles(text.as_py(), words)
+            t = shingles(text.as_py(), powers)
             nodes.append(node)
             sets.append(t.view(np.int64))
             held += len(t)
@@ -293,25 +325,19 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(whole)
 
 
-class Verifier:
-    """Exact similarity of pairs of nodes, on the shingles of one document of each node."""
+def sets_of(nodes: DataFrame, docs: DataFrame, info: DataFrame) -> DataFrame:
+    """node, tokens of the asked nodes (distinct `node`), from one document of each."""
+    first = info.filter("node IS NOT NULL").groupBy("node").agg(F.min("_key").alias("_key"))
+    keys = first.hint("merge").join(nodes.hint("merge"), "node")
+    texts = docs.select("_key", "text").hint("merge").join(keys.hint("merge"), "_key").select("node", "text")
+    return texts.mapInArrow(tokeniser, "node long, tokens array<long>").dropDuplicates(["node"])
 
-    def __init__(self, docs: DataFrame, info: DataFrame):
-        self.docs = docs
-        self.first = info.filter("node IS NOT NULL").groupBy("node").agg(F.min_by("_key", F.struct("doc_id", "_key")).alias("_key"))
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar."""
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            return pairs
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        keys = self.first.hint("merge").join(asked.hint("merge"), "node").select("_key", "node")
-        texts = self.docs.select("_key", "text").hint("merge").join(keys.hint("merge"), "_key").dropDuplicates(["node"]).select("node", "text")
-        sets = cut(texts.mapInArrow(tokeniser, "node long, tokens array<long>"))
-        x, y = (sets.select(F.col("node").alias(c), F.col("tokens").alias(t)).hint("merge") for c, t in (("a", "ta"), ("b", "tb")))
-        shared, union = F.size(F.array_intersect("ta", "tb")), F.size("ta") + F.size("tb")
-        return cut(pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").filter(shared * (DEN + NUM) >= union * NUM).select("a", "b"))
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by their shingles."""
+    x, y = (sets.select(F.col("node").alias(c), F.col("tokens").alias(t)).hint("merge") for c, t in (("a", "ta"), ("b", "tb")))
+    shared, union = F.size(F.array_intersect("ta", "tb")), F.size("ta") + F.size("tb")
+    return cut(pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").filter(shared * (DEN + NUM) >= union * NUM).select("a", "b"))
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> tuple[DataFrame, DataFrame]:
@@ -319,7 +345,6 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", comm
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text")))
     info = cut(docs.select("_key", "doc_id", "text").mapInArrow(informer, INFO))
-    verify = Verifier(docs, info)
 
     # Nodes by scheme: n, non-empty segments, units and the units to exceed.
     nodes = info.filter("node IS NOT NULL").dropDuplicates(["node"])
@@ -330,8 +355,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", comm
     schemes = own.unionByName(low).withColumn("need", F.floor((F.col("n") + other) * (DEN - NUM) / (DEN + NUM)))
 
     signed = docs.select("text").mapInArrow(signer, "sig long, node long")
-    met = cut(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(runs(common), "a long, b long, sig long"))
-    hot = met.filter("sig IS NOT NULL").select("sig", F.col("b").bitwiseAND(-2).alias("node"), F.col("b").bitwiseAND(1).cast("int").alias("own"))
+    met = cut(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(runs(common), "a long, b long, sig long"))
+    hot = met.filter("sig IS NOT NULL").select("sig", F.col("b").bitwiseAND(-2).alias("node"), F.col("b").bitwiseAND(1).cast("int").alias("own")).distinct()
     lost = hot.groupBy("node", "own").agg(F.count("*").alias("hot"))
     schemes = cut(schemes.hint("merge").join(lost.hint("merge"), ["node", "own"], "left").na.fill(0, ["hot"]))
 
@@ -346,54 +371,107 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", comm
     scheme = F.least("band_a", "band_b")
     apart = F.floor((F.col("n_a") + F.col("n_b")) * (DEN - NUM) / (DEN + NUM))
     holds = lambda c: F.coalesce(F.when(F.col(f"band_{c}") == scheme, F.col(f"own_{c}")).otherwise(F.col(f"low_{c}")), F.lit(0))
-    likely = (
+    likely = cut(
         counted.hint("merge").join(sides[0], "a").hint("merge").join(sides[1], "b")
         .filter((F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM) & (F.col("shared") >= F.greatest(F.lit(1), holds("a") - apart, holds("b") - apart)))
         .select("a", "b")
     )
-    edges = verify(likely)
 
     # Sets with too few units left can be missed with each other alone.
-    hard = cut(hot.hint("merge").join(schemes.filter("units - 2 * hot <= need AND hot > 0").select("node", "own").hint("merge"), ["node", "own"]).select("sig", "node", "own"))
+    worth_each = F.when(F.col("band").isin([b for b in range(40) if allocate(b)[1]]), 2).otherwise(1)
+    hard = cut(hot.hint("merge").join(schemes.filter((F.col("units") - worth_each * F.col("hot") <= F.col("need")) & (F.col("hot") > 0)).select("node", "own").hint("merge"), ["node", "own"]).select("sig", "node", "own"))
+    asked = likely.select(F.explode(F.array("a", "b")).alias("node")).unionByName(hard.select("node")).distinct()
+    sets = cut(sets_of(asked, docs, info))
+    edges = similar(likely, sets)
     if not hard.isEmpty():
-        edges = edges.unionByName(among_hard(hard, edges, verify))
+        edges = edges.unionByName(among_hard(hard, edges, sets))
     lacking = schemes.filter("units <= need").select("node").distinct()
     if not lacking.isEmpty():
         edges = edges.unionByName(against_all(lacking, docs, info))
     return info.select("doc_id", "node", "n"), components(edges)
 
 
-def among_hard(hard: DataFrame, edges: DataFrame, verify: Verifier) -> DataFrame:
-    """Links among the holders of common signatures: with leaders first, then whatever still spans components."""
-    found, merged = [], edges
-    for _ in range(2):
-        roots = components(merged)
+def among_hard(hard: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the holders of common signatures: with leaders first, then in blocks whatever still spans components."""
+    found = edges.limit(0)
+    for leaders in (True, False):
+        roots = components(edges.unionByName(found))
         held = hard.hint("merge").join(roots.hint("merge"), "node", "left").select("sig", "node", "own", F.coalesce("root", "node").alias("root"))
-        held = cut(held)
-        spans = held.groupBy("sig").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.max(F.struct("own", "node")).alias("lead"), F.min("node").alias("lead2")).filter("first < last")
-        stars = held.hint("merge").join(spans.hint("merge"), "sig").select("node", F.explode(F.array("lead.node", "lead2")).alias("lead")).filter("node <> lead")
-        more = verify(stars.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
-        found.append(more)
-        merged = merged.unionByName(more)
-    roots = components(merged)
-    held = cut(hard.hint("merge").join(roots.hint("merge"), "node", "left").select("sig", "node", "own", F.coalesce("root", "node").alias("root")))
-    sizes = held.groupBy("sig", "root").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("sig").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count("*").alias("roots")).filter("roots > 1").select("sig", "largest")
-    spanning = cut(held.hint("merge").join(largest.hint("merge"), "sig"))
-    if not spanning.isEmpty():
-        few = spanning.filter("root <> largest").select("sig", F.col("node").alias("x"), F.col("own").alias("xo"), F.col("root").alias("xr"))
-        rest = few.hint("merge").join(spanning.select("sig", F.col("node").alias("y"), F.col("own").alias("yo"), F.col("root").alias("yr")).hint("merge"), "sig").filter("xr <> yr AND xo + yo > 0")
-        found.append(verify(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
-    return whole
+        sizes = held.groupBy("sig", "root").agg(F.count("*").alias("k"), F.max(F.struct("own", "node")).alias("lead"))
+        spans = sizes.groupBy("sig").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.max_by("lead", F.struct("k", "root")).alias("lead"), F.count("*").alias("roots")).filter("roots > 1")
+        spanning = cut(held.hint("merge").join(spans.hint("merge"), "sig").select("sig", "node", "own", "root", "largest", F.col("lead.node").alias("lead")))
+        if spanning.isEmpty():
+            break
+        if leaders:
+            stars = spanning.filter("root <> largest").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+            found = found.unionByName(similar(stars, sets))
+        else:
+            found = found.unionByName(in_blocks(spanning, sets))
+    return found
+
+
+def in_blocks(spanning: DataFrame, sets: DataFrame, tokens: int = 250_000) -> DataFrame:
+    """Links between components that share a common signature.
+
+    Of each cluster (what such signatures connect) the nodes outside the largest component of some signature are held
+    against all, block by block: a block has some `tokens` shingles, so a task's memory does not grow with the cluster.
+    A task returns only links that join components not joined by its other links.
+    """
+    clusters = components(spanning.select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    nodes = spanning.groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("largest")).alias("few"))
+    nodes = nodes.hint("merge").join(clusters.select("node", F.col("root").alias("cluster")).hint("merge"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    whole = cut(nodes.hint("merge").join(sets.hint("merge"), "node").withColumn("n", F.size("tokens")))
+    counts = whole.groupBy("cluster").agg(F.ceil(F.sum("n") / tokens).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("few"), F.col("n")).otherwise(0)) / tokens).cast("int").alias("few_blocks"))
+    placed = whole.hint("merge").join(counts.hint("merge"), "cluster")
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.filter("few").select("cluster", at("few_blocks").alias("i"), every("blocks").alias("j"), F.lit(True).alias("left"), "node", "root", "tokens")
+    right = placed.select("cluster", every("few_blocks").alias("i"), at("blocks").alias("j"), F.lit(False).alias("left"), "node", "root", "tokens")
+    return cut(left.unionByName(right).groupBy("cluster", "i", "j").applyInPandas(block_links, "a long, b long"))
+
+
+def block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the left and the right rows of a block that join different roots."""
+    x, y = rows[rows["left"]], rows[~rows["left"]]
+    out: list[tuple[int, int]] = []
+    if len(x) and len(y):
+        sides, shared = [], None
+        for side in (x, y):
+            flat = np.concatenate(side["tokens"].to_list())
+            sides.append((flat, np.repeat(np.arange(len(side)), [len(t) for t in side["tokens"]]), np.array([len(t) for t in side["tokens"]])))
+            shared = np.unique(flat) if shared is None else np.intersect1d(shared, flat)
+        counts = np.zeros((len(x), len(y)), np.float32)
+        for k in range(0, len(shared), COLUMNS):
+            some, grids = shared[k : k + COLUMNS], []
+            for flat, row, sizes in sides:
+                at = np.minimum(np.searchsorted(some, flat), len(some) - 1)
+                hit = some[at] == flat
+                grid = np.zeros((len(sizes), len(some)), np.float32)
+                grid[row[hit], at[hit]] = 1
+                grids.append(grid)
+            counts += grids[0] @ grids[1].T
+        sizes = sides[0][2][:, None] + sides[1][2][None, :]
+        roots_x, roots_y = x["root"].to_numpy(), y["root"].to_numpy()
+        similar_ = (counts * (DEN + NUM) >= sizes * NUM) & (roots_x[:, None] != roots_y[None, :])
+        top: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while top.get(r, r) != r:
+                r = top[r]
+            return r
+
+        nodes_x, nodes_y = x["node"].to_numpy(), y["node"].to_numpy()
+        for i, j in zip(*np.nonzero(similar_), strict=True):
+            p, q = find(int(roots_x[i])), find(int(roots_y[j]))
+            if p != q:
+                top[p] = q
+                out.append((int(nodes_x[i]), int(nodes_y[j])))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
 def against_all(lacking: DataFrame, docs: DataFrame, info: DataFrame) -> DataFrame:
     """Links of the few sets whose segments are worth too little, counted shingle by shingle against all sets."""
-    first = info.filter("node IS NOT NULL").groupBy("node").agg(F.min("_key").alias("_key"))
-    sets = docs.select("_key", "text").hint("merge").join(first.hint("merge"), "_key").select("node", "text").mapInArrow(tokeniser, "node long, tokens array<long>")
+    sets = sets_of(info.filter("node IS NOT NULL").select("node").distinct(), docs, info)
     rows = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     few = cut(rows.hint("merge").join(lacking.hint("merge"), "node").select(F.col("node").alias("a"), F.col("n").alias("n_a"), "token"))
     met = few.hint("merge").join(rows.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "token").hint("merge"), "token").filter("a <> b")

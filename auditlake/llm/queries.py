@@ -1,15 +1,32 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
+from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .jaccard_join import OP5_SQL, op5_jaccard_join
+from .licenses import op9_licenses
+from .mixing import op6_mixing
 from .quality import op2_quality
+from .secrets import op8_secrets
+from .sharding import op7_sharding
+from .tool_calls import OP1_SQL, op1_tool_calls
+from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_quality": op2_quality,
+    "op3_url_filter": op3_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_mixing": op6_mixing,
+    "op7_sharding": op7_sharding,
+    "op8_secrets": op8_secrets,
+    "op9_licenses": op9_licenses,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL = {
+    "op1_tool_calls": OP1_SQL,
+    "op3_url_filter": OP3_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op5_jaccard_join": OP5_SQL,
+    "op10_decontaminate": OP10_SQL,
 }
