@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +20,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared checkpoint folder, with its lineage cut.
+    """`df` computed once, written to a table in the shared folder and read back, with its lineage cut.
 
-    The folder is the cluster's own (`spark.checkpoint.dir`); only where none is set, as in tests, a
-    temporary one is taken.
+    The folder is the cluster's own (`spark.checkpoint.dir`); only where none is set, as in tests, a temporary one is
+    taken. A table that is read back has the size of its files, where a checkpoint keeps an estimate that grows
+    with every join and after many rounds takes the driver's memory.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder among the cluster's checkpoints."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
 def text_of(name: str = "text") -> Column:

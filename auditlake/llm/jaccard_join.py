@@ -478,7 +478,7 @@ def against_all(lacking: DataFrame, docs: DataFrame, info: DataFrame) -> DataFra
     return cut(met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")).filter((F.col("n_a") + F.col("n_b")) * NUM <= F.col("k") * (DEN + NUM)).select("a", "b"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased; a set holds the distinct five-word
@@ -487,7 +487,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component_id is the smallest doc_id that links reach. Repeated rows get equal results. Rows without an id
     take part, and have a component_id where a linked document has an id. Other columns are not read.
     """
-    info, roots = linked(docs, id_col, text_col)
+    info, roots = linked(docs, id_col, text_col, common)
     smallest = info.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     whole = smallest.hint("merge").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = cut(whole)
