@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm.common import cut, read
+from auditlake.llm.common import read, shared_folder
 from auditlake.llm.decontaminate import clean_documents
 from auditlake.llm.jaccard_join import first_of_each
 from auditlake.llm.mixing import mixture
@@ -51,8 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on `documents`, each result written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
-    cut(spark.range(0))  # where no shared folder is set, one is taken
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
