@@ -157,20 +157,32 @@ def sanitize_list(values: Column, most: int = 20) -> Column:
     return F.transform(F.slice(values, 1, most), redact)
 
 
-LIBRARY_NAMES = ["node.js", "next.js", "vue.js", "express.js", "three.js", "d3.js", "chart.js", "nuxt.js", "react.js", "socket.io"]
+# What an answer's source files look like, names that are none, and phrases that say the sources fall short.
+CITED_FILE = r"[\w@.\[\]/-]+\.(?:[cm]?[jt]sx?)\b"
+LIBRARY_NAME = r"(?i)^(node|next|nuxt|nest|vue|react|express|angular|ember|backbone|three|d3|chart|socket\.io)\.js$"
+SOURCES = "(?:sources|snippets|code|files|repository|project)"
+FALL_SHORT = [
+    f"not (?:in|included in|present in|shown in|part of|covered by|found in) the (?:provided |retrieved )?{SOURCES}",
+    f"{SOURCES}(?: (?:you |that were |that you )?(?:provided|retrieved|shared|given)| you've shown| you have shown)? (?:do(?:es)? not|don't|doesn't) (?:show|contain|include|mention|have|provide|cover)",
+    "no (?:relevant )?(?:code|sources?|snippets?|mention|reference)", "insufficient", "(?:cannot|can't|could not|couldn't) (?:find|determine|tell|see|show|locate|answer)",
+    "not enough (?:information|context)", "there is no",
+]
+
+
+def plain_marks(col: Column) -> Column:
+    """Typographic hyphens and apostrophes as plain ones."""
+    return F.regexp_replace(F.regexp_replace(col, "[\u2010-\u2015\u2212]", "-"), "[\u2018\u2019\u02bc]", "'")
 
 
 def citations(answer: Column) -> Column:
-    """Distinct file names and paths that an answer cites, typographic hyphens made plain, library names left out."""
-    plain = F.regexp_replace(answer, "[‐‑‒–−]", "-")
-    found = F.regexp_extract_all(plain, F.lit(r"([\w@()\[\]./-]*[\w\])-]\.(?:tsx|ts|jsx|json|mjs|js|css|md|sql|prisma|yml|yaml))\b"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, lambda p: F.regexp_replace(p, r"^(\./|[(\[])+", "")), lambda p: ~F.lower(p).isin(*LIBRARY_NAMES)))
+    """Distinct source files that an answer cites, as written; names of libraries are left out."""
+    found = F.regexp_extract_all(plain_marks(answer), F.lit(f"({CITED_FILE})"), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(found, lambda p: F.regexp_replace(F.regexp_replace(p, r"^\./", ""), r"\.$", "")), lambda p: ~p.rlike(LIBRARY_NAME)))
 
 
 def abstains(answer: Column) -> Column:
-    """Whether an answer says that the material does not hold it."""
-    says = r"(not|n[o']t|no)\s+(be\s+)?(found|present|included|shown|available|mentioned|contain\w*|enough)|do(es)? not (contain|include|show|have)|doesn't (contain|include|show|have)|cannot (find|determine|answer)|can't (find|determine|answer)|no (information|evidence|mention)"
-    return F.regexp_replace(answer, "’", "'").rlike("(?i)" + says)
+    """Whether an answer says that its sources fall short."""
+    return plain_marks(answer).rlike("(?i)" + "|".join(FALL_SHORT))
 
 
 def quota_day(ts: Column) -> Column:

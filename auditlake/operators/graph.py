@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,11 +13,16 @@ from ..functions import paths, text
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut, in the cluster's shared checkpoint folder."""
+    """`df` written to a table in the cluster's shared checkpoint folder and read back, with its lineage cut.
+
+    A table has the size of its files, where a checkpoint keeps an estimate that grows with every join of a loop.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def import_edges(files: DataFrame) -> DataFrame:

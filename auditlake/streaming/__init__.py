@@ -1 +1 @@
-"""Structured Streaming jobs."""
+"""Structured Streaming jobs, each beside a batch form with the same results."""
