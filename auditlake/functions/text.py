@@ -100,7 +100,7 @@ def fnv1a32(col: Column) -> Column:
     """FNV-1a over code points, 32 bits, as 8 hex digits."""
     basis, prime, mask = 0x811C9DC5, 0x01000193, 0xFFFFFFFF
     chars = F.filter(F.split(col, "", -1), lambda c: c != "")
-    step = lambda h, c: (h.bitwiseXOR(F.ord(c).cast("long")) * F.lit(prime).cast("long")).bitwiseAND(F.lit(mask).cast("long"))
+    step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(prime).cast("long")).bitwiseAND(F.lit(mask).cast("long"))
     return F.lower(F.lpad(F.hex(F.aggregate(chars, F.lit(basis).cast("long"), step)), 8, "0"))
 
 

@@ -8,6 +8,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import paths, text
 
@@ -95,7 +96,7 @@ def without_types(code: str) -> str:
     return "".join(out) + code[at:]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def typeless(code: pd.Series) -> pd.Series:
     return code.map(without_types, na_action="ignore")
 

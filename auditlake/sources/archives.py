@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import paths
 
@@ -63,7 +64,7 @@ def strip_common_root(entries: DataFrame) -> DataFrame:
     return joined.withColumn("entry_path", bare).drop("_one", "_depth")
 
 
-@F.pandas_udf("array<struct<ord:int,regex:string,negated:boolean>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("regex", T.StringType()), T.StructField("negated", T.BooleanType())])))
 def ignore_rules(content: pd.Series) -> pd.Series:
     """The patterns of an ignore file as regular expressions over relative paths, in order."""
 
