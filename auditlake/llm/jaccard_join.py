@@ -307,7 +307,11 @@ def tokeniser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root of the connected components of edges (a, b), by contracting every node into its smallest neighbour."""
+    """node, root of the connected components of edges (a, b), by contracting every node into its smallest neighbour.
+
+    The tables of a round are written out and read back, so Spark knows their size and sends them to all tasks only
+    below its threshold.
+    """
     maps, rest = [], edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     while True:
         rest = cut(rest)
@@ -315,14 +319,25 @@ def components(edges: DataFrame) -> DataFrame:
             break
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         maps.append(cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root"))))
-        x, y = (maps[-1].select(F.col("node").alias(c), F.col("root").alias(r)).hint("merge") for c, r in (("a", "ra"), ("b", "rb")))
-        rest = rest.hint("merge").join(x, "a").hint("merge").join(y, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        x, y = (maps[-1].select(F.col("node").alias(c), F.col("root").alias(r)) for c, r in (("a", "ra"), ("b", "rb")))
+        rest = rest.join(x, "a").join(y, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
     if not maps:
-        return edges.sparkSession.createDataFrame([], "node long, root long")
+        return cut(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0))
     whole = maps[-1]
     for step in maps[-2::-1]:
-        whole = step.hint("merge").join(whole.select(F.col("node").alias("root"), F.col("root").alias("_above")).hint("merge"), "root", "left").select("node", F.coalesce("_above", "root").alias("root"))
-    return cut(whole)
+        whole = cut(step.join(whole.select(F.col("node").alias("root"), F.col("root").alias("_above")), "root", "left").select("node", F.coalesce("_above", "root").alias("root")))
+    return whole
+
+
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """`roots` after further edges, found on the components that these join."""
+    x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(r)) for c, r in (("a", "ra"), ("b", "rb")))
+    up = cut(edges.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct())
+    if up.isEmpty():
+        return roots
+    top = components(up)
+    above = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("_above")), "root", "left").select("node", F.coalesce("_above", "root").alias("root"))
+    return cut(above.unionByName(top.join(roots.select("node"), "node", "left_anti")))
 
 
 def sets_of(nodes: DataFrame, docs: DataFrame, info: DataFrame) -> DataFrame:
@@ -382,32 +397,27 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", comm
     hard = cut(hot.hint("merge").join(schemes.filter((F.col("units") - worth_each * F.col("hot") <= F.col("need")) & (F.col("hot") > 0)).select("node", "own").hint("merge"), ["node", "own"]).select("sig", "node", "own"))
     asked = likely.select(F.explode(F.array("a", "b")).alias("node")).unionByName(hard.select("node")).distinct()
     sets = cut(sets_of(asked, docs, info))
-    edges = similar(likely, sets)
+    roots = components(similar(likely, sets))
     if not hard.isEmpty():
-        edges = edges.unionByName(among_hard(hard, edges, sets))
+        roots = among_hard(hard, roots, sets)
     lacking = schemes.filter("units <= need").select("node").distinct()
     if not lacking.isEmpty():
-        edges = edges.unionByName(against_all(lacking, docs, info))
-    return info.select("doc_id", "node", "n"), components(edges)
+        roots = merged(roots, against_all(lacking, docs, info))
+    return info.select("doc_id", "node", "n"), roots
 
 
-def among_hard(hard: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among the holders of common signatures: with leaders first, then in blocks whatever still spans components."""
-    found = edges.limit(0)
+def among_hard(hard: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """`roots` after the links among holders of common signatures: with leaders first, then in blocks whatever still spans components."""
     for leaders in (True, False):
-        roots = components(edges.unionByName(found))
-        held = hard.hint("merge").join(roots.hint("merge"), "node", "left").select("sig", "node", "own", F.coalesce("root", "node").alias("root"))
+        held = cut(hard.join(roots, "node", "left").select("sig", "node", "own", F.coalesce("root", "node").alias("root")))
         sizes = held.groupBy("sig", "root").agg(F.count("*").alias("k"), F.max(F.struct("own", "node")).alias("lead"))
         spans = sizes.groupBy("sig").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.max_by("lead", F.struct("k", "root")).alias("lead"), F.count("*").alias("roots")).filter("roots > 1")
         spanning = cut(held.hint("merge").join(spans.hint("merge"), "sig").select("sig", "node", "own", "root", "largest", F.col("lead.node").alias("lead")))
         if spanning.isEmpty():
             break
-        if leaders:
-            stars = spanning.filter("root <> largest").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-            found = found.unionByName(similar(stars, sets))
-        else:
-            found = found.unionByName(in_blocks(spanning, sets))
-    return found
+        stars = spanning.filter("root <> largest").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        roots = merged(roots, similar(stars, sets) if leaders else in_blocks(spanning, sets))
+    return roots
 
 
 def in_blocks(spanning: DataFrame, sets: DataFrame, tokens: int = 250_000) -> DataFrame:
@@ -419,10 +429,10 @@ def in_blocks(spanning: DataFrame, sets: DataFrame, tokens: int = 250_000) -> Da
     """
     clusters = components(spanning.select(F.col("node").alias("a"), F.col("lead").alias("b")))
     nodes = spanning.groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("largest")).alias("few"))
-    nodes = nodes.hint("merge").join(clusters.select("node", F.col("root").alias("cluster")).hint("merge"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    nodes = nodes.join(clusters.select("node", F.col("root").alias("cluster")), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     whole = cut(nodes.hint("merge").join(sets.hint("merge"), "node").withColumn("n", F.size("tokens")))
-    counts = whole.groupBy("cluster").agg(F.ceil(F.sum("n") / tokens).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("few"), F.col("n")).otherwise(0)) / tokens).cast("int").alias("few_blocks"))
-    placed = whole.hint("merge").join(counts.hint("merge"), "cluster")
+    counts = cut(whole.groupBy("cluster").agg(F.ceil(F.sum("n") / tokens).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("few"), F.col("n")).otherwise(0)) / tokens).cast("int").alias("few_blocks")))
+    placed = whole.join(counts, "cluster")
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = placed.filter("few").select("cluster", at("few_blocks").alias("i"), every("blocks").alias("j"), F.lit(True).alias("left"), "node", "root", "tokens")
@@ -489,7 +499,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     info, roots = linked(docs, id_col, text_col, common)
     smallest = info.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    whole = smallest.hint("merge").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = cut(whole)
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     named = whole.hint("merge").join(least.hint("merge"), "root").select("node", "component_id")

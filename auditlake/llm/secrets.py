@@ -72,7 +72,7 @@ def strings_of(items) -> tuple[set[str] | None, list[set[str]]]:
                     few |= power if n >= low else set()
                     power = {a + b for a in power for b in some}
             elif low > 0:
-                runs += must
+                runs += [*must, *([some] if some else [])]
         elif op is kinds.AT:
             few = {""}
         if few is not None and len(now) * len(few) <= ALTERNATIVES:
