@@ -42,10 +42,11 @@ def claimable(projects: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
 
 
 def analysis_start(projects: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
-    """project_id and `start`: what a request to analyse a project meets."""
+    """project_id and `start`: what a request to analyse a project meets. A run whose status is known beats the clock."""
+    live = F.when(F.col("run_status").isNotNull(), F.col("run_status").isin(*LIVE_RUN)).otherwise(~text.older_than(F.col("updated_at"), now, STALE_SECONDS))
     start = (
-        F.when(F.col("code_removed_at").isNotNull(), "code_removed").when(F.col("status") == "completed", "completed")
-        .when((F.col("status") == "failed") & (F.coalesce("file_count", F.lit(0)) == 0), "import_failed").when(can_claim(now), "claimable").otherwise("running")
+        F.when(F.col("status") == "completed", "completed").when((F.col("status") == "processing") & live, "running").when(F.col("code_removed_at").isNotNull(), "code_removed")
+        .when((F.col("status") == "failed") & (F.coalesce("file_count", F.lit(0)) == 0), "import_failed").otherwise("claimable")
     )
     return run_state(projects, runs).select("project_id", start.alias("start"))
 
@@ -205,7 +206,7 @@ def leftovers(tables: dict[str, DataFrame], users: DataFrame) -> DataFrame:
 def fail_stuck(projects: DataFrame, stuck: DataFrame, now: Column) -> DataFrame:
     """Projects with the stuck ones failed, and why: by whether their files were read."""
     marked = projects.join(stuck.select("project_id").withColumn("_s", F.lit(True)), "project_id", "left")
-    why = F.when(F.coalesce("file_count", F.lit(0)) > 0, "The analysis stopped. Start it again.").otherwise("The import stopped. Import the project again.")
+    why = F.when(F.coalesce("file_count", F.lit(0)) > 0, "The analysis stopped before finishing. Please try again.").otherwise("The import did not finish. Please create the project again.")
     error = F.when(F.col("_s"), why).otherwise(F.col("error") if "error" in projects.columns else F.lit(None))
     return marked.withColumns({"error": error, "status": F.when(F.col("_s"), "failed").otherwise(F.col("status")), "updated_at": F.when(F.col("_s"), now).otherwise(F.col("updated_at"))}).drop("_s")
 

@@ -15,7 +15,7 @@ from ..functions import text
 
 # List prices in dollars a million tokens (so micro-dollars a token), and plan limits.
 PRICES = [("openai/gpt-oss-120b", 0.15, 0.6), ("openai/gpt-oss-20b", 0.075, 0.3)]
-PLANS = [("free", 3, 5, 50_000, 20), ("premium", None, 50, 500_000, 200)]
+PLANS = [("free", 5, 5, 200_000, 20), ("premium", None, 50, 2_000_000, 200)]
 STATUS = {"active": "active", "trialing": "active", "past_due": "past_due", "unpaid": "past_due", "canceled": "canceled", "incomplete_expired": "canceled", "paused": "canceled"}
 
 

@@ -16,7 +16,7 @@ from .registry import query
 
 DAY, CLOCK = "2024-01-15 00:00:00", "2001-08-01 00:00:00"
 USERS = "users AS (SELECT c_custkey AS user_id, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'premium' ELSE 'free' END AS plan, CASE c_custkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'past_due' WHEN 2 THEN 'canceled' ELSE 'none' END AS plan_status FROM customer)"
-PLANS = "plans(plan, max_projects, analyses_per_day, tokens_per_day, chat_per_hour) AS (VALUES ('free', 3, 5, 50000, 20), ('premium', NULL, 50, 500000, 200))"
+PLANS = "plans(plan, max_projects, analyses_per_day, tokens_per_day, chat_per_hour) AS (VALUES ('free', 5, 5, 200000, 20), ('premium', NULL, 50, 2000000, 200))"
 CALLS = "calls AS (SELECT event_id, user_id, event_type AS feature, CASE event_id % 3 WHEN 0 THEN 'openai/gpt-oss-120b' WHEN 1 THEN 'openai/gpt-oss-20b' ELSE 'other' END AS model, floor(value * 100)::BIGINT AS input_tokens, floor(value * 10)::BIGINT AS output_tokens, floor(value * 7)::BIGINT AS latency_ms, event_id % 10 <> 0 AS ok, ts AS created_at FROM events)"
 COST = "floor(input_tokens * CASE model WHEN 'openai/gpt-oss-120b' THEN 0.15::DOUBLE WHEN 'openai/gpt-oss-20b' THEN 0.075::DOUBLE END + output_tokens * CASE model WHEN 'openai/gpt-oss-120b' THEN 0.6::DOUBLE WHEN 'openai/gpt-oss-20b' THEN 0.3::DOUBLE END + 0.5)::BIGINT"
 PROJECTS = f"projects AS (SELECT o_orderkey AS project_id, o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'processing' ELSE CASE o_orderkey % 3 WHEN 0 THEN 'queued' WHEN 1 THEN 'failed' ELSE 'completed' END END AS status, (o_orderkey % 5)::INT AS file_count, 'run' || o_orderkey AS run_id, CASE WHEN o_orderkey % 11 = 0 THEN o_orderdate END AS code_removed_at, o_orderdate AS created_at, o_orderdate AS updated_at, o_orderdate AS last_used_at FROM orders), runs AS (SELECT 'run' || o_orderkey AS run_id, CASE o_orderkey % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' ELSE 'failed' END AS run_status FROM orders WHERE o_orderkey % 2 = 0)"
@@ -149,7 +149,7 @@ def p11_claimable(spark, sf_dir):
     return lifecycle.claimable(projects, runs, at(CLOCK)).select("project_id")
 
 
-START_SQL = f"CASE WHEN code_removed_at IS NOT NULL THEN 'code_removed' WHEN status = 'completed' THEN 'completed' WHEN status = 'failed' AND file_count = 0 THEN 'import_failed' WHEN coalesce({CLAIM}, false) THEN 'claimable' ELSE 'running' END"
+START_SQL = "CASE WHEN status = 'completed' THEN 'completed' WHEN status = 'processing' AND coalesce(run_status IN ('pending', 'running'), updated_at >= TIMESTAMP '2001-08-01' - INTERVAL 360 SECOND) THEN 'running' WHEN code_removed_at IS NOT NULL THEN 'code_removed' WHEN status = 'failed' AND file_count = 0 THEN 'import_failed' ELSE 'claimable' END"
 
 
 @query(f"WITH {PROJECTS} SELECT project_id, {START_SQL} AS start FROM projects LEFT JOIN runs USING (run_id)")

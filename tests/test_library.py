@@ -165,8 +165,8 @@ def test_archives(spark, tmp_path):
 
 
 def test_results_and_coverage(spark, tmp_path):
-    for name, own in (("2026-01-01-aaaa.json", {"health": {"current": 80, "v1": 60}}), ("2025-12-31-bbbb.json", {"healthScore": 50}), ("notes.json", {"healthScore": 1})):
-        (tmp_path / name).write_text(json.dumps({"ownRepository": own}, indent=1))
+    for name, own in (("2026-01-01-aaaa", {"deterministicHealthScore": 80, "v1DeterministicHealthScore": 60}), ("2025-12-31-bbbb", {"deterministicHealthScore": 50}), ("notes", {"deterministicHealthScore": 1}), ("2025-01-01-cccc", None)):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"date": name[:10], "commit": name[11:], "analysis": {"thisRepository": own} if own else {}}, indent=1))
     trend = evals.score_trend(tables.read_eval_results(spark, str(tmp_path))).orderBy("date").collect()
     assert [(r["score"], r["score_v1"], r["change"]) for r in trend] == [(50, 50, None), (80, 60, 30)]
     (tmp_path / "unit").mkdir()
