@@ -44,7 +44,8 @@ def fill_budget(queue: DataFrame, max_n: int = MAX_CHUNKS, max_chars: int = MAX_
     """The chunks taken in queue order while they fit; one that does not is passed over.
 
     Whether a chunk fits depends on those taken before, so this is a fold over a project's chunk sizes in order; their
-    texts stay out of it.
+    texts stay out of it. Of chunks of one size no more than `max_n` can be taken, and those come first, so the fold
+    has at most `max_n` entries for each size, however large the project.
     """
     sized = queue.withColumn("chars", text.snippet_chars(F.col("content"), F.col("file_path")))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("taken"))
@@ -54,7 +55,7 @@ def fill_budget(queue: DataFrame, max_n: int = MAX_CHUNKS, max_chars: int = MAX_
         return F.struct(F.when(fits, state["used"] + c["chars"]).otherwise(state["used"]).alias("used"), F.when(fits, F.concat(state["taken"], F.array(c["queue"]))).otherwise(state["taken"]).alias("taken"))
 
     order = F.array_sort(F.collect_list(F.struct("queue", "chars")))
-    taken = sized.groupBy("project_id").agg(order.alias("o")).select("project_id", F.explode(F.aggregate("o", start, step, lambda s: s["taken"])).alias("queue"))
+    taken = top_n(sized.select("project_id", "queue", "chars"), ["project_id", "chars"], [F.col("queue")], max_n).groupBy("project_id").agg(order.alias("o")).select("project_id", F.explode(F.aggregate("o", start, step, lambda s: s["taken"])).alias("queue"))
     return sized.join(taken, ["project_id", "queue"], "left_semi")
 
 

@@ -291,9 +291,6 @@ def c14_dropped_claims(spark, sf_dir):
     return review.verify_evidence(*claims_of(spark, sf_dir))[1].groupBy("project_id").agg(F.count("*").alias("dropped"))
 
 
-QUEUE_SQL = f"""{FILES}, c AS (SELECT project_id, path AS file_path, content, unnest(range(0, greatest(1, ceil((length(content) - 200) / 1400))::INT)) AS seq FROM files WHERE length(content) > 0)"""
-
-
 def chunked(spark, sf_dir) -> DataFrame:
     return chunks.split_text(files_of(spark, sf_dir))
 
@@ -321,7 +318,7 @@ def c13_review_requests(spark, sf_dir):
     return review.review_requests(projects, files, "Review the code.").select("project_id", "tokens", "fits", F.sha2("prompt", 256).alias("prompt"))
 
 
-LINKS = "links AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]+)\"', 1)) AS target, page_id % 7 = 0 AS from_test FROM pages), e AS (SELECT DISTINCT (page_id % 10)::VARCHAR AS project_id, '/' || regexp_extract(html, '<title>(\\w+)', 1) AS source, target, page_id % 3 <> 0 AS facade, page_id % 7 = 0 AS from_test FROM (SELECT page_id, html, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]+)\"', 1)) AS target FROM pages))"
+LINKS = "e AS (SELECT DISTINCT (page_id % 10)::VARCHAR AS project_id, '/' || regexp_extract(html, '<title>(\\w+)', 1) AS source, target, page_id % 3 <> 0 AS facade, page_id % 7 = 0 AS from_test FROM (SELECT page_id, html, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]+)\"', 1)) AS target FROM pages))"
 
 
 def links_of(spark, sf_dir) -> DataFrame:

@@ -54,20 +54,21 @@ def rate_limit(hits: DataFrame, delay: str = "1 hour") -> DataFrame:
     return hits.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(limited, DECIDED, "start double, n int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def in_turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Verdicts on rows sorted by key and time; only the last key's window is carried from batch to batch."""
+    last, start, n = None, None, 0
+    for f in frames:
+        for key, rows in f.groupby("key", sort=False):
+            if key != last:
+                last, start, n = key, None, 0
+            numbers, verdicts, start, n = decide([t.timestamp() for t in rows["ts"]], list(rows["max"]), list(rows["window_seconds"]), start, n)
+            yield pd.DataFrame({"key": key, "ts": rows["ts"], "n": numbers, "allowed": verdicts})
+
+
 def rate_limit_batch(hits: DataFrame) -> DataFrame:
-    """The same of a table: whether a hit opens a window depends on the one before, so a key's hits are one fold, without their other columns."""
-    start = F.struct(F.lit(None).cast("double").alias("start"), F.lit(0).alias("n"), F.array().cast("array<struct<ts:timestamp,n:int,allowed:boolean>>").alias("out"))
-
-    def step(s: Column, h: Column) -> Column:
-        at = h["ts"].cast("double")
-        fresh = s["start"].isNull() | (at >= s["start"] + h["window_seconds"])
-        n = F.when(fresh, 1).otherwise(s["n"] + 1)
-        made = F.struct(h["ts"].alias("ts"), n.alias("n"), (n <= h["max"]).alias("allowed"))
-        return F.struct(F.when(fresh, at).otherwise(s["start"]).alias("start"), n.alias("n"), F.concat(s["out"], F.array(made)).alias("out"))
-
-    hit = F.struct(F.col("ts").cast("timestamp").alias("ts"), F.col("max").cast("int").alias("max"), F.col("window_seconds").cast("double").alias("window_seconds"))
-    folded = hits.groupBy("key").agg(F.array_sort(F.collect_list(hit)).alias("h")).select("key", F.aggregate("h", start, step, lambda s: s["out"]).alias("o"))
-    return folded.select("key", F.explode("o").alias("o")).select("key", "o.*")
+    """The same of a table. Whether a hit opens a window depends on the ones before, so a key's hits are read in turn by one task, which holds one batch of them."""
+    rows = hits.filter("key IS NOT NULL").select("key", F.col("ts").cast("timestamp").alias("ts"), F.col("max").cast("int").alias("max"), F.col("window_seconds").cast("double").alias("window_seconds"))
+    return rows.repartition("key").sortWithinPartitions("key", "ts").mapInPandas(in_turn, DECIDED)
 
 
 def daily_counters(calls: DataFrame, delay: str | None = "1 day") -> DataFrame:
