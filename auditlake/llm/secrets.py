@@ -9,7 +9,6 @@ trigrams scans every text.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from re import _constants as kinds
