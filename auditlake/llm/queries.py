@@ -9,12 +9,13 @@ from .quality import op2_quality
 from .secrets import op8_secrets
 from .sharding import op7_sharding
 from .tool_calls import OP1_SQL, op1_tool_calls
-from .url_filter import OP3_SQL, op3_url_filter
+from .url_filter import OP3_JUNK_SQL, OP3_SQL, op3_url_filter, op3_url_filter_junk
 
 QUERIES = {
     "op1_tool_calls": op1_tool_calls,
     "op2_quality": op2_quality,
     "op3_url_filter": op3_url_filter,
+    "op3_url_filter_junk": op3_url_filter_junk,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_mixing": op6_mixing,
@@ -26,6 +27,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_tool_calls": OP1_SQL,
     "op3_url_filter": OP3_SQL,
+    "op3_url_filter_junk": OP3_JUNK_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op5_jaccard_join": OP5_SQL,
     "op10_decontaminate": OP10_SQL,

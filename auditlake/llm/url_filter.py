@@ -19,6 +19,8 @@ from .common import ascii_lower, cut, read
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Query parameters that do not change a page.
 TRACKING = "^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
+#: Hosts of junk: gambling, advertising, spam, pills and adult pages, by a whole word of a label (words end at `.`, `-` or the port; of spam the beginning is enough).
+JUNK_HOST = r"(^|[.-])(casino|casinos|bet|bets|betting|ad|ads|spam[^.:-]*|pill|pills|adult|adults)([.:-]|$)"
 #: Blocks of the filter at most: 40 bytes each are sent to every executor.
 MAX_BLOCKS, WORDS, SALTS = 65_536, 4, 16
 
@@ -95,6 +97,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(pages, pages.filter(host_of(F.col("url")).rlike(r"(^|\.)spam")).select("url"))
 
 
+def op3_url_filter_junk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists the canonical URLs of all pages on junk hosts (JUNK_HOST)."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_verdicts(pages, pages.filter(host_of(F.col("url")).rlike(JUNK_HOST)).select("url"))
+
+
 OP3_SQL = r"""
 WITH p AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '') AS query, coalesce(contains(url, '://'), false) AS whole FROM pages),
@@ -106,3 +114,4 @@ f AS (SELECT c.page_id, c.url, c.host, c.path, c.whole AND canon IN (SELECT cano
   (SELECT max({'n': length(h || pre), 'rule': h || pre, 'v': v}) FROM r WHERE (c.host = h OR ends_with(c.host, '.' || h)) AND starts_with(c.path, pre)) AS fit FROM c)
 SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.v, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM f
 """
+OP3_JUNK_SQL = OP3_SQL.replace(r"(^|\.)spam", JUNK_HOST)

@@ -306,6 +306,15 @@ def test_url_filter(spark):
     assert {r["listed"] for r in url_filter.url_verdicts(pages, listed.limit(0), []).collect()} == {False}
 
 
+def test_junk_hosts_are_listed(spark, tmp_path):
+    junk = ["m.casino-win.example.com", "free-bets.example.com", "ads-track.example.net:80", "Spammers.example.net", "www.cheap-pills.example.net", "blog.adult-x.example.net"]
+    fair = ["adsl.example.com", "alphabets.example.com", "casinoville.example.com", "adulthood.example.net", "caterpillars.example.net", "antispam.example.net"]
+    rows = [(i, f"http://{h}/x/{i}") for i, h in enumerate(junk + fair)] + [(90, "https://www.cheap-pills.example.net:443/x/4/?utm_a=1"), (91, None)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["verdict"], r["listed"]) for r in url_filter.op3_url_filter_junk(spark, str(tmp_path)).collect()}
+    assert {k for k, v in got.items() if v == ("block", True)} == {*range(len(junk)), 90} and {k for k, v in got.items() if v == ("allow", False)} == {*range(len(junk), len(junk + fair)), 91}
+
+
 # 8 ------------------------------------------------------------------------------------------------------
 
 
