@@ -111,7 +111,10 @@ RULES: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
 }
 
 
-def run_rules(tables: dict[str, DataFrame], rules: dict | None = None) -> DataFrame:
-    """The findings of all rules; `ord` counts on in rule order."""
+def run_rules(tables: dict[str, DataFrame], rules: dict | None = None, whole: bool = False) -> DataFrame:
+    """The findings of the rules whose table is given, or of all, where `whole` makes an absent table an error; `ord` counts on in rule order."""
+    absent = sorted({table for table, _ in (rules or RULES).values()} - set(tables))
+    if whole and absent:
+        raise ValueError(f"rules without their table: {', '.join(absent)}")
     parts = [rule(tables[table]).withColumn("ord", F.col("ord") + 1000 * i) for i, (table, rule) in enumerate((rules or RULES).values()) if table in tables]
     return reduce(DataFrame.unionByName, parts)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..operators import chunks, evals, findings, graph, review, rules, scoring, vectors
 from ..sources import archives, tables
-from .registry import query
+from .registry import ORACLE_SQL, query
+from .report import project_tables
 
 LARGE = 60
 FILES = "files AS (SELECT source AS project_id, lang || '/doc_' || doc_id || '.ts' AS path, coalesce(text, '') AS content FROM documents)"
@@ -22,6 +23,11 @@ RULES_SQL = f"""{FILES}, {SECRETS}, {LARGE_SQL},
 found AS (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY lines DESC, path) AS ord, 'large-file' AS rule, 'codeQuality' AS category, CASE WHEN lines >= 80 THEN 'high' ELSE 'medium' END AS severity, path AS file_path FROM large
   QUALIFY ord <= 10 UNION ALL SELECT project_id, 4000 + row_number() OVER (PARTITION BY project_id ORDER BY path, line) AS ord, 'hardcoded-secret', 'security', 'critical', path FROM hits WHERE hint IS NOT NULL QUALIFY ord <= 4010)"""
 
+#: All five rules: no document's path is a test's, so that nothing is tested, or has a critical word, whatever its logic.
+ALL_RULES_SQL = f"""{RULES_SQL.replace("found AS (", "two AS (")}, functions AS (SELECT project_id, path, len(string_split(content, chr(10))) AS lines FROM files), critical AS (SELECT project_id, path FROM files WHERE list_has_any(string_split_regex(lower(regexp_replace(path, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[/._\\-\\s]+'), {paths.CRITICAL_WORDS + [w + "s" for w in paths.CRITICAL_WORDS]})),
+found AS (SELECT * FROM two UNION ALL SELECT project_id, 1000 + row_number() OVER (PARTITION BY project_id ORDER BY lines DESC, path) AS ord, 'complex-function', 'codeQuality', CASE WHEN lines >= 150 THEN 'high' ELSE 'medium' END, path FROM functions WHERE lines >= 80 QUALIFY ord <= 1012
+  UNION ALL SELECT DISTINCT project_id, 2001, 'low-test-coverage', 'testing', 'high', NULL FROM files UNION ALL SELECT project_id, 3000 + row_number() OVER (PARTITION BY project_id ORDER BY path) AS ord, 'untested-critical-path', 'testing', 'high', path FROM critical QUALIFY ord <= 3008)"""
+
 
 def files_of(spark, sf_dir) -> DataFrame:
     d = tables.read_table(spark, sf_dir, "documents")
@@ -40,6 +46,17 @@ def findings_of(spark, sf_dir) -> DataFrame:
     return rules.run_rules({"large_files": rules.large_files(files, LARGE), "secret_hits": rules.secret_hits(files)}, rules.RULES | {"large-file": ("large_files", lambda df: rules.rule_large_file(df, 80))})
 
 
+def tables_of(spark, sf_dir) -> dict[str, DataFrame]:
+    """What all rules read, of documents as files with one function each, as long as the file."""
+    files = files_of(spark, sf_dir)
+    sizes = files.select("project_id", F.col("path").alias("file_path"), F.col("path").alias("name"), text.line_count(F.col("content")).alias("lines"))
+    return project_tables(files, sizes, LARGE)
+
+
+def all_findings_of(read: dict[str, DataFrame]) -> DataFrame:
+    return rules.run_rules(read, rules.RULES | {"large-file": ("large_files", lambda df: rules.rule_large_file(df, 80))}, whole=True)
+
+
 @query(f"WITH {PATHS} SELECT page_id, regexp_extract(path, '[^/]*$') AS base, regexp_replace(path, '[^/]*$', '') AS dir, regexp_replace(regexp_replace(path, '(?i)\\.(jsx?|tsx?)$', ''), '/index$', '') AS module, regexp_matches(path, '(?i)(^|/)(index|server)\\.[jt]sx?$') AS facade, array_to_string(list_filter(string_split_regex(lower(regexp_replace(path, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[/._\\-\\s]+'), lambda x: x <> ''), ' ') AS words FROM paths")
 def p2_path_cols(spark, sf_dir):
     p = F.col("path")
@@ -163,6 +180,55 @@ def w14_roadmap(spark, sf_dir):
     return findings.roadmap(findings_of(spark, sf_dir)).select("project_id", "step", "ord")
 
 
+@query(ORACLE_SQL["u2_run_rules"].replace(RULES_SQL, ALL_RULES_SQL))
+def u2_run_rules_all(spark, sf_dir):
+    return all_findings_of(tables_of(spark, sf_dir)).select("project_id", "ord", "rule", "category", "severity", "file_path")
+
+
+@query(ORACLE_SQL["a12_group_findings"].replace(RULES_SQL, ALL_RULES_SQL).replace("ELSE 'Potential hardcoded secrets ('", "WHEN rule = 'complex-function' THEN 'Complex functions (' || count(*) || ')' WHEN rule = 'untested-critical-path' THEN 'Critical areas may lack tests (' || count(*) || ')' ELSE 'Potential hardcoded secrets ('"))
+def a12_group_findings_all(spark, sf_dir):
+    g = findings.group_findings(all_findings_of(tables_of(spark, sf_dir)))
+    return g.select("project_id", "rule", F.size("occurrences").cast("long").alias("n"), "severity", F.when(F.size("occurrences") > 1, F.col("title")).alias("title"))
+
+
+@query(ORACLE_SQL["a13_finding_penalty"].replace(RULES_SQL, ALL_RULES_SQL))
+def a13_finding_penalty_all(spark, sf_dir):
+    return scoring.finding_penalty(findings.group_findings(all_findings_of(tables_of(spark, sf_dir)))).select("project_id", "rule", "penalty")
+
+
+ALL_BASES_SQL = """f AS (SELECT project_id, count(*) AS n, count(*) FILTER (WHERE lines > 50) AS long, count(*) FILTER (WHERE lines >= 80) AS complex, count(*) FILTER (WHERE lines >= 60) AS large FROM functions GROUP BY project_id),
+h AS (SELECT project_id, count(*) AS hits FROM hits WHERE hint IS NOT NULL GROUP BY project_id)"""
+SCORES_SQL = "greatest(0, least(100, floor(CASE WHEN coalesce(hits, 0) > 0 THEN 70 ELSE 90 END - coalesce(sec, 0) + 0.5)))::INT AS security"
+MEAN_SQL = "SELECT project_id, 88 AS architecture, security, 86 AS performance, codeQuality, testing, floor((88 + security + 86 + codeQuality + testing) / 5 + 0.5)::INT AS health FROM s"
+
+
+@query(f"WITH {ALL_RULES_SQL}, {ALL_BASES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id, rule ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, ord) AS rn FROM found), p AS (SELECT project_id, sum({PENALTY} * pow(0.5, rn - 1)) FILTER (WHERE category = 'security') AS sec FROM r GROUP BY project_id), s AS (SELECT project_id, {SCORES_SQL}, greatest(0, floor(100 - 4 * (100::DOUBLE * long / n) + 0.5))::INT AS codeQuality, 0 AS testing FROM f LEFT JOIN h USING (project_id) LEFT JOIN p USING (project_id)) {MEAN_SQL}")
+def a16_health_all(spark, sf_dir):
+    read = tables_of(spark, sf_dir)
+    return scoring.diminishing_scores(read["measures"], findings.group_findings(all_findings_of(read)))
+
+
+@query(f"WITH {ALL_RULES_SQL}, {ALL_BASES_SQL}, p AS (SELECT project_id, {', '.join(f'sum({PENALTY}) FILTER (WHERE category = {c}) AS {n}' for c, n in (('$security$', 'sec'), ('$codeQuality$', 'cq'), ('$testing$', 'tst')))} FROM found GROUP BY project_id), s AS (SELECT project_id, {SCORES_SQL}, greatest(0, CASE WHEN large + complex > 8 THEN 72 ELSE 85 END - coalesce(cq, 0))::INT AS codeQuality, greatest(0, 40 - coalesce(tst, 0))::INT AS testing FROM f LEFT JOIN h USING (project_id) LEFT JOIN p USING (project_id)) {MEAN_SQL}".replace("$", "'"))
+def a17_linear_scores_all(spark, sf_dir):
+    read = tables_of(spark, sf_dir)
+    return scoring.linear_scores(read["measures"], all_findings_of(read))
+
+
+@query(ORACLE_SQL["a18_count_by_severity"].replace(RULES_SQL, ALL_RULES_SQL))
+def a18_count_by_severity_all(spark, sf_dir):
+    return findings.count_by_severity(all_findings_of(tables_of(spark, sf_dir)))
+
+
+@query(f"WITH {ALL_RULES_SQL} SELECT project_id, CASE rule WHEN 'large-file' THEN 'Large file' WHEN 'complex-function' THEN 'Complex function ' || regexp_replace(file_path, '[0-9]+', 'N', 'g') WHEN 'low-test-coverage' THEN 'Low test file coverage signal' WHEN 'untested-critical-path' THEN 'Critical area may lack tests' ELSE 'Potential hardcoded secret' END AS title, count(*) AS n FROM found GROUP BY ALL")
+def a19_findings_by_rule_all(spark, sf_dir):
+    return findings.findings_by_rule(all_findings_of(tables_of(spark, sf_dir)))
+
+
+@query(ORACLE_SQL["w14_roadmap"].replace(RULES_SQL, ALL_RULES_SQL))
+def w14_roadmap_all(spark, sf_dir):
+    return findings.roadmap(all_findings_of(tables_of(spark, sf_dir))).select("project_id", "step", "ord")
+
+
 @query(f"WITH {FILES}, p AS (SELECT project_id, path AS file_path, content, unnest(range(0, greatest(1, ceil((length(content) - 200) / 1400))::INT)) AS seq FROM files WHERE length(content) > 0), c AS (SELECT project_id, file_path, seq, content[seq * 1400 + 1:seq * 1400 + 1600] AS body, 1 + length(content[1:seq * 1400]) - length(replace(content[1:seq * 1400], chr(10), '')) AS start_line FROM p) SELECT project_id, file_path, seq, sha256(rtrim(body, ' ' || chr(9) || chr(10) || chr(13))) AS content, start_line::INT AS start_line, (start_line + len(string_split(body, chr(10))) - 1)::INT AS end_line FROM c WHERE rtrim(body, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
 def c1_split_text(spark, sf_dir):
     return chunks.split_text(files_of(spark, sf_dir)).withColumn("content", F.sha2("content", 256))

@@ -29,7 +29,7 @@ def build_reports(files: DataFrame, sizes: DataFrame, claims: DataFrame | None =
     claims and chunks: what a reviewer claims and was shown; without them the report holds the rules' findings alone.
     """
     tables = project_tables(files, sizes, min_lines)
-    found = rules.run_rules(tables)
+    found = rules.run_rules(tables, whole=True)
     if claims is not None and chunks is not None:
         verified, _ = verify_evidence(claims, chunks)
         found = fi.all_findings(found, verified)

@@ -72,6 +72,17 @@ def test_measures_rules_and_scores(spark):
     assert scoring.linear_scores(measures, found).filter("project_id = 'p'").first()["codeQuality"] == 0
 
 
+def test_all_rules_run(spark, tmp_path):
+    docs = [(1, "x\n" * 70, "en", "s"), (2, "x\n" * 90, "en", "s"), (3, "x\n" * 160, "en", "s"), (4, None, "de", "t")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    queries, sf_dir = __spark_entry__.queries(), str(tmp_path)
+    found = {(r["project_id"], r["rule"], r["ord"], r["severity"], r["file_path"]) for r in queries["u2_run_rules_all"](spark, sf_dir).collect() if r["rule"] != "large-file"}
+    assert found == {("s", "complex-function", 1001, "high", "en/doc_3.ts"), ("s", "complex-function", 1002, "medium", "en/doc_2.ts"), ("s", "low-test-coverage", 2001, "high", None), ("t", "low-test-coverage", 2001, "high", None)}
+    assert {r["project_id"]: (r["codeQuality"], r["testing"]) for r in queries["a17_linear_scores_all"](spark, sf_dir).collect()} == {"s": (85 - 2 * 12 - 6 - 12 - 6, 28), "t": (85, 28)}
+    with pytest.raises(ValueError, match="complex_functions, measures"):
+        rules.run_rules({"large_files": None, "secret_hits": None, "untested_critical": None}, whole=True)
+
+
 def test_import_graph_and_report(spark):
     rows = [
         ("p", "src/auth/login.ts", 'import { db } from "../db";\nexport function login() { return db; }'), ("p", "src/db.ts", "export const db = () => 1;"), ("p", "src/billing/pay.ts", "export async function pay() { await 1 }"),
