@@ -444,3 +444,10 @@ def a27_precision_recall(spark, sf_dir):
 def a30_stability(spark, sf_dir):
     words = F.array_distinct(F.array_remove(F.split(F.lower("text"), "[^a-z]+", -1), ""))
     return evals.stability(tables.read_table(spark, sf_dir, "conversations").filter("turn < 4").select(F.col("conv_id").cast("string").alias("case"), F.col("turn").alias("run"), words.alias("keys")))
+
+
+@query(ORACLE_SQL["a30_stability"].replace(" WHERE turn < 4", ""))
+def a30_stability_whole(spark, sf_dir):
+    """Of all turns."""
+    words = F.array_distinct(F.array_remove(F.split(F.lower("text"), "[^a-z]+", -1), ""))
+    return evals.stability(tables.read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("case"), F.col("turn").alias("run"), words.alias("keys")))

@@ -151,6 +151,13 @@ def test_evals(spark):
     assert {r["case"]: r["stability"] for r in evals.stability(keys).collect()} == {"c": 0.5, "d": 1.0}
 
 
+def test_stability_reads_every_turn(spark, tmp_path):
+    turns = [(1, i, "user", "a" if i < 4 else "b") for i in range(6)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    (row,) = __spark_entry__.queries()["a30_stability_whole"](spark, str(tmp_path)).collect()
+    assert row["case"] == "1" and row["stability"] == pytest.approx(7 / 15)
+
+
 def test_archives(spark, tmp_path):
     body = io.BytesIO()
     with zipfile.ZipFile(body, "w") as z:
