@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,20 +38,22 @@ def import_edges(files: DataFrame) -> DataFrame:
     return real.select("project_id", paths.module_key(path).alias("source"), "target", paths.is_facade(path).alias("facade"), "from_test").distinct()
 
 
-def reachable(edges: DataFrame, facade_only: bool = False, most_rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, facade_only: bool = False, most_rounds: int | None = None) -> DataFrame:
     """project_id, node: what tests import, and what that imports in turn, through every file or only through facades.
 
     Each round joins the frontier alone with the edges and drops what was reached before; it ends when nothing is new.
+    Where `most_rounds` is given, a frontier that is left after so many rounds is an error.
     """
     steps = edges.filter("NOT from_test" + (" AND facade" if facade_only else "")).select("project_id", F.col("source").alias("node"), "target")
     frontier = kept(edges.filter("from_test").select("project_id", F.col("target").alias("node")).distinct())
     reached = frontier
-    for _ in range(most_rounds):
+    for n in count():
         frontier = kept(frontier.join(steps, ["project_id", "node"]).select("project_id", F.col("target").alias("node")).distinct().join(reached, ["project_id", "node"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return reached
+        if most_rounds is not None and n >= most_rounds:
+            raise ValueError(f"more than {most_rounds} rounds of imports")
         reached = kept(reached.unionByName(frontier))
-    return reached
 
 
 def tested_by_name(sources: DataFrame, tests: DataFrame) -> DataFrame:

@@ -106,6 +106,14 @@ def test_import_graph_and_report(spark):
     assert got[1]["evidence"]["start_line"] == 1 and got[2]["severity"] == "medium" and [r["ord"] for r in dropped.collect()] == [3]
 
 
+def test_reachable_ends_with_its_frontier(spark):
+    rows = [("p", "t", "n0", False, True)] + [("p", f"n{i}", f"n{i + 1}", False, False) for i in range(3)]
+    edges = spark.createDataFrame(rows, "project_id string, source string, target string, facade boolean, from_test boolean")
+    assert {r["node"] for r in graph.reachable(edges).collect()} == {r["node"] for r in graph.reachable(edges, most_rounds=3).collect()} == {"n0", "n1", "n2", "n3"}
+    with pytest.raises(ValueError, match="more than 2 rounds"):
+        graph.reachable(edges, most_rounds=2)
+
+
 def test_chunks(spark):
     long = "".join(f"line {i}\n" for i in range(500))
     files = spark.createDataFrame([("p", "a.ts", long), ("p", "b.ts", "  \n"), ("p", "c.ts", "let a = 1;\nlet b = 2;\n")], FILES)
