@@ -27,6 +27,9 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc 4 0", "nc 4 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
+    ("all-rights-reserved", "all rights reserved", "all rights reserved"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
 #: Words posted of each template besides its key phrase, and the share of its posted weight that a hit covers.
 RARE, COVER = 6, 0.75

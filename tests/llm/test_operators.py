@@ -366,6 +366,12 @@ def test_licenses(spark):
     assert licenses.licenses(table(spark, rows).limit(0)).count() == 0
 
 
+def test_reserved_rights_are_a_license(spark):
+    rows = [(1, "Some words. All rights reserved."), (2, "ALL RIGHTS, reserved; the MIT License"), (3, "all rights are reserved"), (4, "rights reserved all"), (5, None), (6, "This is free and unencumbered software released into the public domain.")]
+    got = {r["doc_id"]: (r["labels"], r["n_base"], r["score"] > 0) for r in licenses.licenses(table(spark, rows)).collect()}
+    assert got == {1: ("all-rights-reserved", 0, True), 2: ("all-rights-reserved,mit", 1, True), 3: ("", 0, False), 4: ("", 0, False), 5: ("", 0, False), 6: ("unlicense", 0, True)}
+
+
 # 1 ------------------------------------------------------------------------------------------------------
 
 
