@@ -163,7 +163,7 @@ LIBRARY_NAME = r"(?i)^(node|next|nuxt|nest|vue|react|express|angular|ember|backb
 SOURCES = "(?:sources|snippets|code|files|repository|project)"
 FALL_SHORT = [
     f"not (?:in|included in|present in|shown in|part of|covered by|found in) the (?:provided |retrieved )?{SOURCES}",
-    f"{SOURCES}(?: (?:you |that were |that you )?(?:provided|retrieved|shared|given)| you've shown| you have shown)? (?:do(?:es)? not|don't|doesn't) (?:show|contain|include|mention|have|provide|cover)",
+    f"{SOURCES}(?: (?:you |that were |that you )?(?:provided|retrieved|shared|given)| you've shown| you have shown)? (?:do(?:es)? not|don't|doesn't) (?:show|contain|include|mention|cover|define|reference)",
     "no (?:relevant )?(?:code|sources?|snippets?|mention|reference)", "insufficient", "(?:cannot|can't|could not|couldn't) (?:find|determine|tell|see|show|locate|answer)",
     "not enough (?:information|context)", "there is no",
 ]

@@ -7,6 +7,8 @@ seq, content, start_line, end_line.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,18 +17,30 @@ from ..functions import text
 SIZE, OVERLAP, LEAST, MOST, TINY = 1600, 200, 200, 400, 20
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def pieces(content: Column, start_line: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Array of (at, content, start_line, end_line): windows of `size` characters, each beginning `overlap` before the last one's end; blank ones are left out."""
     step = size - overlap
+    if overlap > step:
+        raise ValueError("an overlap of more than half a piece")
     count = F.greatest(F.lit(1), F.ceil((F.length(content) - overlap) / step)).cast("int")
+    breaks = lambda body: F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))
+
+    # The text is read once, as blocks of a step each; a piece is a block and the beginning of the next one.
+    def cut(blocks: Column) -> Column:
+        firsts = F.aggregate(blocks, F.array(start_line.cast("int")), lambda lines, b: F.concat(lines, F.array((F.element_at(lines, -1) + breaks(b)).cast("int"))))
+
+        def piece(lines: Column, i: Column) -> Column:
+            body, first = F.concat(F.get(blocks, i), F.coalesce(F.substring(F.get(blocks, i + 1), 1, overlap), F.lit(""))), F.get(lines, i)
+            return F.struct(i.alias("at"), F.regexp_replace(body, r"(?U)\s+$", "").alias("content"), first.alias("start_line"), (first + text.line_count(body) - 1).cast("int").alias("end_line"))
 
-    def piece(i: Column) -> Column:
-        begin = i * step
-        body = F.substr(content, begin + 1, F.lit(size))
-        first = start_line + F.length(F.substr(content, F.lit(1), begin)) - F.length(F.replace(F.substr(content, F.lit(1), begin), F.lit("\n"), F.lit("")))
-        return F.struct(i.alias("at"), F.regexp_replace(body, r"(?U)\s+$", "").alias("content"), first.cast("int").alias("start_line"), (first + text.line_count(body) - 1).cast("int").alias("end_line"))
+        return once(firsts, lambda lines: F.transform(F.sequence(F.lit(0), count - 1), lambda i: piece(lines, i)))
 
-    return F.filter(F.transform(F.sequence(F.lit(0), count - 1), piece), lambda p: p["content"] != "")
+    return F.filter(once(F.regexp_extract_all(content, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), cut), lambda p: p["content"] != "")
 
 
 def split_text(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

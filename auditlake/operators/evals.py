@@ -51,10 +51,14 @@ def forbidden_hits(findings: DataFrame, rules: DataFrame) -> DataFrame:
     return findings.join(r, "case").filter(F.expr("title RLIKE _p") & (F.col("_f").isNull() | (F.col("_f") == F.col("file_path")))).drop("_p", "_f")
 
 
-def precision_recall(findings: DataFrame, expected: DataFrame, matches: DataFrame) -> DataFrame:
-    """case, found, wanted, hits, precision, recall; and a row with case null for all cases together."""
-    parts = [findings.groupBy("case").agg(F.count("*").alias("found")), expected.groupBy("case").agg(F.count("*").alias("wanted")), matches.groupBy("case").agg(F.count("*").alias("hits"))]
-    cases = reduce(lambda a, b: a.join(b, "case", "full"), parts).na.fill(0)
+def precision_recall(cases: DataFrame, findings: DataFrame, expected: DataFrame, matches: DataFrame) -> DataFrame:
+    """case, found, wanted, hits, precision, recall of every case; and a row with case null for all cases together.
+
+    A healthy case, with nothing found and nothing wanted, is right in both.
+    """
+    counted = lambda df, name: df.groupBy("case").agg(F.count("*").alias(name))
+    parts = [counted(findings, "found"), counted(expected, "wanted"), counted(matches, "hits")]
+    cases = reduce(lambda a, b: a.join(b, "case", "left"), parts, cases.select("case").distinct()).na.fill(0, ["found", "wanted", "hits"])
     pooled = cases.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("found", "wanted", "hits")]).select(F.lit(None).cast("string").alias("case"), "found", "wanted", "hits")
     return cases.unionByName(pooled).select("*", ratio(F.col("hits"), F.col("found")).alias("precision"), ratio(F.col("hits"), F.col("wanted")).alias("recall"))
 
@@ -168,8 +172,9 @@ def check_gates(metrics: DataFrame, gates: DataFrame) -> DataFrame:
 
 
 def ranking_monotonic(scores: DataFrame) -> DataFrame:
-    """case, share, score with whether the score falls as the external share grows. A few cases, ordered as one list."""
-    return scores.withColumn("falls", F.coalesce(F.col("score") < F.lag("score").over(Window.orderBy("share", "case")), F.lit(True)))
+    """repo, case, share, score with whether the score falls, within its repository, as the external share grows."""
+    order = Window.partitionBy("repo").orderBy("share", "case")
+    return scores.withColumn("falls", F.coalesce(F.col("score") < F.lag("score").over(order), F.lit(True)))
 
 
 def prompt_lock_status(prompts: DataFrame, lock: DataFrame, results: DataFrame) -> DataFrame:
@@ -183,7 +188,7 @@ def prompt_lock_status(prompts: DataFrame, lock: DataFrame, results: DataFrame)
 
 
 def score_trend(results: DataFrame) -> DataFrame:
-    """date, commit, score, score_v1, change from the result before, and first and last score; results of one repository, in order."""
-    order = Window.orderBy("date", "commit")
+    """repo, date, commit, score, score_v1, change from the repository's result before, and its first and last score."""
+    order = Window.partitionBy("repo").orderBy("date", "commit")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return results.withColumns({"change": F.col("score") - F.lag("score").over(order), "first_score": F.first("score").over(whole), "last_score": F.last("score").over(whole)})

@@ -73,8 +73,16 @@ def roadmap(findings: DataFrame, n: int = 10) -> DataFrame:
 
 
 def public_issues(findings: DataFrame) -> DataFrame:
-    """What a shared report shows: redacted texts, no snippets."""
+    """What a shared report shows of findings: these columns and no others, texts redacted, of the evidence its lines alone.
+
+    `evidence` and `occurrences` may be absent. The quoted code stays private.
+    """
     clean = text.redact_public
-    return findings.withColumns({
-        "title": clean(F.col("title")), "description": clean(F.col("description")),
-        "occurrences": F.transform("occurrences", lambda o: F.struct(o["file_path"].alias("file_path"), o["severity"].alias("severity"), clean(o["title"]).alias("title"), clean(o["description"]).alias("description")))})
+    shown = ["project_id", clean(F.col("title")).alias("title"), clean(F.col("description")).alias("description"), "severity", "category", "file_path"]
+    if "evidence" in findings.columns:
+        lines = F.struct(F.col("evidence.start_line").alias("start_line"), F.col("evidence.end_line").alias("end_line"))
+        shown.append(F.when(F.col("evidence").isNotNull(), lines).alias("evidence"))
+    if "occurrences" in findings.columns:
+        one = lambda o: F.struct(o["file_path"].alias("file_path"), o["severity"].alias("severity"), clean(o["title"]).alias("title"), clean(o["description"]).alias("description"))
+        shown.append(F.transform("occurrences", one).alias("occurrences"))
+    return findings.select(*shown)

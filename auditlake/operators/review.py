@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from .graph import kept
 from .rules import top_n
 
 MAX_CHUNKS, MAX_CHARS, MAX_ISSUES = 24, 19_000, 10
 
 
 def rank_chunks_in_file(chunks: DataFrame) -> DataFrame:
-    """`turn`: a file's chunks by risk, then line."""
-    scored = chunks.withColumn("risk", text.risk_score(F.col("content")))
+    """`turn`: a file's chunks by risk, then line; `risk`, and `chars`, what a chunk takes in a request."""
+    scored = chunks.withColumns({"risk": text.risk_score(F.col("content")), "chars": text.snippet_chars(F.col("content"), F.col("file_path"))})
     return scored.withColumn("turn", F.row_number().over(Window.partitionBy("project_id", "file_path").orderBy(F.desc("risk"), F.coalesce("start_line", F.lit(0)), "content")))
 
 
@@ -35,19 +36,24 @@ def interleave_dirs(files: DataFrame) -> DataFrame:
 
 
 def round_robin(ranked: DataFrame, placed: DataFrame) -> DataFrame:
-    """`queue`: the first chunk of every file, then the second of each, and so on."""
-    joined = ranked.join(placed.select("project_id", "file_path", "place"), ["project_id", "file_path"])
-    return joined.withColumn("queue", F.row_number().over(Window.partitionBy("project_id").orderBy("turn", "place")))
+    """`queue`: the first chunk of every file, then the second of each, and so on.
+
+    A turn has at most one chunk of each file and is numbered by itself; it begins after the chunks of the turns before.
+    """
+    joined = ranked.join(placed.select("project_id", "file_path", "place").hint("merge"), ["project_id", "file_path"])
+    turns = ranked.groupBy("project_id", "turn").agg(F.count("*").alias("_n"))
+    before = turns.select("project_id", "turn", (F.sum("_n").over(Window.partitionBy("project_id").orderBy("turn")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("project_id", "turn").orderBy("place"))
+    return joined.withColumn("_own", own).join(before.hint("merge"), ["project_id", "turn"]).withColumn("queue", (F.col("_before") + F.col("_own")).cast("int")).drop("_own", "_before")
 
 
 def fill_budget(queue: DataFrame, max_n: int = MAX_CHUNKS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """The chunks taken in queue order while they fit; one that does not is passed over.
+    """project_id, queue of the chunks taken in queue order while they fit; one that does not is passed over.
 
-    Whether a chunk fits depends on those taken before, so this is a fold over a project's chunk sizes in order; their
-    texts stay out of it. Of chunks of one size no more than `max_n` can be taken, and those come first, so the fold
-    has at most `max_n` entries for each size, however large the project.
+    queue: project_id, queue, chars. Whether a chunk fits depends on those taken before, so this is a fold over a
+    project's chunk sizes in order. Of chunks of one size no more than `max_n` can be taken, and those come first, so
+    the fold has at most `max_n` entries for each size, however large the project.
     """
-    sized = queue.withColumn("chars", text.snippet_chars(F.col("content"), F.col("file_path")))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("taken"))
 
     def step(state: Column, c: Column) -> Column:
@@ -55,17 +61,24 @@ def fill_budget(queue: DataFrame, max_n: int = MAX_CHUNKS, max_chars: int = MAX_
         return F.struct(F.when(fits, state["used"] + c["chars"]).otherwise(state["used"]).alias("used"), F.when(fits, F.concat(state["taken"], F.array(c["queue"]))).otherwise(state["taken"]).alias("taken"))
 
     order = F.array_sort(F.collect_list(F.struct("queue", "chars")))
-    taken = top_n(sized.select("project_id", "queue", "chars"), ["project_id", "chars"], [F.col("queue")], max_n).groupBy("project_id").agg(order.alias("o")).select("project_id", F.explode(F.aggregate("o", start, step, lambda s: s["taken"])).alias("queue"))
-    return sized.join(taken, ["project_id", "queue"], "left_semi")
+    first = top_n(queue.select("project_id", "queue", "chars"), ["project_id", "chars"], [F.col("queue")], max_n)
+    return first.groupBy("project_id").agg(order.alias("o")).select("project_id", F.explode(F.aggregate("o", start, step, lambda s: s["taken"])).alias("queue"))
 
 
 def review_sample(chunks: DataFrame, max_n: int = MAX_CHUNKS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """The chunks a reviewer sees: tests only where a project has nothing else."""
-    marked = chunks.withColumn("is_test", paths.is_test_file(F.col("file_path")))
-    only_tests = F.min(F.col("is_test").cast("int")).over(Window.partitionBy("project_id"))
-    chosen = marked.withColumn("all_tests", only_tests).filter("NOT is_test OR all_tests = 1").drop("is_test", "all_tests")
-    ranked = rank_chunks_in_file(chosen)
-    return fill_budget(round_robin(ranked, interleave_dirs(rank_files(ranked))), max_n, max_chars)
+    """The chunks a reviewer sees: tests only where a project has nothing else.
+
+    Chunks are scored once and written out; the order is found on their numbers, and the texts of those taken are read
+    by project, file and turn.
+    """
+    is_test = paths.is_test_file(F.col("file_path"))
+    with_code = chunks.filter(~is_test).select("project_id").distinct()
+    chosen = chunks.filter(~is_test).unionByName(chunks.filter(is_test).join(with_code.hint("merge"), "project_id", "left_anti"))
+    ranked = kept(rank_chunks_in_file(chosen))
+    thin = ranked.select("project_id", "file_path", "turn", "risk", "chars")
+    queue = kept(round_robin(thin, interleave_dirs(rank_files(thin))).select("project_id", "file_path", "turn", "chars", "queue"))
+    taken = queue.hint("merge").join(fill_budget(queue, max_n, max_chars).hint("merge"), ["project_id", "queue"]).select("project_id", "file_path", "turn", "queue")
+    return ranked.hint("merge").join(kept(taken).hint("merge"), ["project_id", "file_path", "turn"])
 
 
 def sample_files(sample: DataFrame) -> DataFrame:

@@ -259,7 +259,7 @@ def embedded(spark, sf_dir) -> DataFrame:
 
 
 TOPK_SQL = """q AS (SELECT label AS project_id, vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0),
-s AS (SELECT project_id, query_id, vec_id AS chunk_id, round(list_dot_product(e, embedding::DOUBLE[]) / sqrt(list_dot_product(e, e) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS score FROM q JOIN embeddings ON label = project_id),
+s AS (SELECT project_id, query_id, vec_id AS chunk_id, list_dot_product(e, embedding::DOUBLE[]) / sqrt(list_dot_product(e, e) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS score FROM q JOIN embeddings ON label = project_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY project_id, query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 8)"""
 
 
@@ -437,7 +437,7 @@ def a27_precision_recall(spark, sf_dir):
     """How well a rule for marks and shouts finds the documents of poor quality."""
     d = tables.read_table(spark, sf_dir, "documents").join(tables.read_table(spark, sf_dir, "labels").filter("quality IN (0, 1)"), "doc_id").withColumn("case", (F.col("doc_id") % 4).cast("string"))
     found, wanted = d.filter(F.col("text").rlike(r"[|#$%&*]|!!")), d.filter("quality = 0")
-    return evals.precision_recall(found, wanted, found.filter("quality = 0"))
+    return evals.precision_recall(d.select("case"), found, wanted, found.filter("quality = 0"))
 
 
 @query("WITH k AS (SELECT conv_id AS c, turn AS run, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) AS keys FROM conversations WHERE turn < 4) SELECT a.c::VARCHAR AS \"case\", avg(CASE WHEN len(list_distinct(a.keys || b.keys)) = 0 THEN 1 ELSE len(list_intersect(a.keys, b.keys)) / len(list_distinct(a.keys || b.keys)) END) AS stability FROM k a JOIN k b ON a.c = b.c AND a.run < b.run GROUP BY a.c")

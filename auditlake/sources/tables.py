@@ -37,13 +37,13 @@ def read_file(files: DataFrame, project_id: object, path: str) -> DataFrame:
 
 
 def read_eval_results(spark: SparkSession, path: str) -> DataFrame:
-    """date, commit, score, score_v1 of the files <date>-<commit>.json that measured this repository, in order; without a first score, the current one counts as it."""
+    """repo (the file's folder), date, commit, score, score_v1 of the files <date>-<commit>.json that measured their own repository, in order; without a first score, the current one counts as it."""
     schema = "date string, commit string, analysis struct<thisRepository: struct<deterministicHealthScore: int, v1DeterministicHealthScore: int>>"
     raw = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
     own = F.col("analysis.thisRepository")
     named = raw.filter(F.col("file").rlike(r"/\d{4}-\d{2}-\d{2}-[0-9a-f]+\.json$") & own.isNotNull())
     score = own["deterministicHealthScore"]
-    return named.select("date", "commit", score.alias("score"), F.coalesce(own["v1DeterministicHealthScore"], score).alias("score_v1")).orderBy("date", "commit")
+    return named.select(F.regexp_extract("file", "([^/]+)/[^/]+$", 1).alias("repo"), "date", "commit", score.alias("score"), F.coalesce(own["v1DeterministicHealthScore"], score).alias("score_v1")).orderBy("repo", "date", "commit")
 
 
 def read_coverage(spark: SparkSession, path: str) -> DataFrame:

@@ -37,11 +37,12 @@ def limited(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
         state.remove()
         return
     longest = 0.0
-    for f in sorted((f for f in frames if len(f)), key=lambda f: f["ts"].min()):
-        f = f.sort_values("ts", kind="stable")
-        seconds = [t.timestamp() for t in f["ts"]]
-        numbers, verdicts, start, n = decide(seconds, list(f["max"]), list(f["window_seconds"]), start, n)
-        longest = max(longest, start + float(f["window_seconds"].iloc[-1]))
+    # One batch's hits of a key may come in several frames, whose times overlap: they are put in one order first.
+    parts = [f for f in frames if len(f)]
+    if parts:
+        f = pd.concat(parts).sort_values("ts", kind="stable")
+        numbers, verdicts, start, n = decide([t.timestamp() for t in f["ts"]], list(f["max"]), list(f["window_seconds"]), start, n)
+        longest = start + float(f["window_seconds"].iloc[-1])
         yield pd.DataFrame({"key": key[0], "ts": f["ts"], "n": numbers, "allowed": verdicts})
     if start is not None:
         state.update((start, n))

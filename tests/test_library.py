@@ -153,7 +153,8 @@ def test_evals(spark):
     e = spark.createDataFrame([("c", 1, "security", "a.ts", "(?i)secret"), ("d", 2, "security", "z.ts", "q")], "case string, ord int, category string, file_path string, title_regex string")
     m = evals.match_expected(f, e)
     assert [(r["finding_ord"], r["expected_ord"]) for r in m.collect()] == [(1, 1)]
-    got = {r["case"]: (r["precision"], r["recall"]) for r in evals.precision_recall(f, e, m).collect()}
+    got = {r["case"]: (r["precision"], r["recall"]) for r in evals.precision_recall(spark.createDataFrame([("c",), ("d",), ("e",)], "case string"), f, e, m).collect()}
+    assert got["e"] == (1.0, 1.0)
     assert got["c"] == (1 / 3, 1.0) and got["d"] == (1.0, 0.0) and got[None] == (1 / 3, 0.5)
     keys = spark.createDataFrame([("c", 1, ["a"]), ("c", 2, ["a", "b"]), ("d", 1, []), ("d", 2, [])], "case string, run int, keys array<string>")
     assert {r["case"]: r["stability"] for r in evals.stability(keys).collect()} == {"c": 0.5, "d": 1.0}
