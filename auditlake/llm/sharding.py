@@ -3,8 +3,8 @@
 Records are ordered by a key, here the hash of their text and then their identifier, so equal texts are
 neighbours. A sample of keys, drawn with chances in proportion to the records' sizes, gives quantiles; they cut
 the key space into many ranges of about equal bytes. Ranges that turn out overfull are cut again by a sample of
-their own. Each range is ordered by one task, and the ranges' sums place every record in the whole order, which
-is cut into shards of near equal bytes. Built-in functions only.
+their own. Each range is ordered by one task. The ranges' sums tell which texts are large and place every record
+in the whole order, from which the shards are filled. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import cut, read, text_of
 
 SHARDS, RANGES, SAMPLE = 16, 1024, 16_384
+#: Texts of more than this part of an equal share are placed first; and how many equal shares a shard may have by them.
+LARGE, NEAR = 50, 1.02
 LOWEST = -(2**63)
 
 
@@ -48,56 +50,91 @@ def sampled(rows: DataFrame, count: int, seed: int) -> list[tuple[int, int]]:
 
 
 def ranged(rows: DataFrame, ranges: int = RANGES, sample: int = SAMPLE, seed: int = 5) -> tuple[DataFrame, DataFrame]:
-    """`rows` (high, low, size) with their `range`, and the ranges' sums: range, bytes, rows. At most 5 * `ranges` ranges."""
+    """`rows` (high, low, size) with their `range`, and the ranges' sums: range, bytes, rows, first, last. At most 10 * `ranges` ranges.
+
+    Splitters stand between texts (before one, and before whatever follows it), so a text lies in one range; only an
+    overfull range that holds nothing else is cut further, by identifier.
+    """
     keys = sampled(rows, sample, seed)
     step = max(1, len(keys) // ranges)
-    # First splitters stand between equal texts, never among them.
     splitters = sorted({(high, LOWEST) for high, _ in keys[step::step]})
     for again in range(1, 5):
         placed = rows.withColumn("range", range_of(F.col("high"), F.col("low"), splitters))
         sums = cut(placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min(F.struct("high", "low")).alias("first"), F.max(F.struct("high", "low")).alias("last")))
         total = sums.agg(F.sum("bytes")).first()[0] or 0
-        over = [r["range"] for r in sums.filter((F.col("bytes") > 2 * total / ranges) & (F.col("first") < F.col("last"))).select("range").collect()]
+        over = sums.filter((F.col("bytes") > 2 * total / ranges) & (F.col("first") < F.col("last"))).select("range", "first.high", F.expr("first.high = last.high").alias("alone")).collect()
         if not over:
             break
-        keys = sampled(placed.filter(F.col("range").isin(over)), sample, seed + again)
-        wanted = max(1, len(keys) // ranges)
-        before = len(splitters)
-        splitters = sorted({*splitters, *keys[wanted::wanted]})
+        keys = sampled(placed.filter(F.col("range").isin([r["range"] for r in over])), sample, seed + again)
+        alone, wanted, before = {r["high"] for r in over if r["alone"]}, max(1, len(keys) // ranges), len(splitters)
+        more = {k for high, low in keys[wanted // 2 :: wanted] for k in ([(high, low)] if high in alone else [(high, LOWEST), (min(high + 1, 2**63 - 1), LOWEST)])}
+        splitters = sorted({*splitters, *more})
         if len(splitters) == before:
             break
     return placed, sums
 
 
+def arranged(sums: list[tuple[int, int, int, int]], shards: int) -> tuple[list[tuple[int, int | None, bool, int]], list[int]]:
+    """(range, its shard or null, whether its text may be cut, bytes of the flow before it) of ranges (range, bytes, first and last text); and where in the flow each further shard begins.
+
+    Texts of more than a LARGE-th of an equal share go whole, the largest first, to the shard with the least, where
+    that shard then has no more than NEAR shares. All else is a flow in key order that fills the shards up to equal
+    shares; of it only the large texts that found no shard are cut.
+    """
+    alone: dict[int, list[int]] = {}
+    for _, size, first, last in sums:
+        if first == last:
+            alone.setdefault(first, []).append(size)
+    share = sum(size for _, size, _, _ in sums) / shards
+    large = {text: sum(sizes) for text, sizes in alone.items() if sum(sizes) * LARGE > share or len(sizes) > 1}
+    loads, home = [0] * shards, {}
+    for text, size in sorted(large.items(), key=lambda x: (-x[1], x[0])):
+        least = min(range(shards), key=lambda k: (loads[k], k))
+        if loads[least] + size <= NEAR * share:
+            loads[least] += size
+            home[text] = least
+    out, flow = [], 0
+    for number, size, first, last in sorted(sums):
+        shard = home.get(first) if first == last else None
+        out.append((number, shard, first == last and first in large, flow))
+        flow += size if shard is None else 0
+    room = [max(0.0, share - load) for load in loads]
+    begins = [int(flow * sum(room[:k]) / (sum(room) or 1)) for k in range(1, shards)]
+    return out, begins
+
+
 def shards_by_bytes(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    size is the text's UTF-8 bytes and 1 more (a null text: 1). The law is `bytes`: a document belongs to the shard
-    in which the middle of its bytes lies, so a shard's bytes differ from an equal share by less than its two border
-    documents. Copies of a text stay in one shard unless they are more than a fiftieth of a shard; larger groups
-    are cut by identifier. slot numbers a shard's documents from 0 without gaps, in key order. Null ids come
-    first among equal texts; repeated rows have slots of their own. Extra columns are not read.
+    size is the text's UTF-8 bytes and 1 more (a null text: 1). The law is `bytes`: shards are near an equal share.
+    Copies of a text stay in one shard; only a text whose copies cannot lie near an equal share (whose shard would
+    have more than NEAR of it) is cut, by identifier. A small text goes where the middle of its copies lies, so a shard
+    differs from its share by less than a LARGE-th on either side. slot numbers a shard's documents from 0 without
+    gaps, in key order. Null and empty texts are equal texts. Null ids come first among equal texts; repeated rows have
+    slots of their own. An empty table gives no rows. Extra columns are not read.
     """
     text = text_of(text_col)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("high"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("low"))
     placed, sums = ranged(cut(rows), ranges, sample)
-    total = sums.agg(F.sum("bytes")).first()[0] or 1
     # One row for each range, of which `ranged` has a bounded number.
-    starts = sums.selectExpr("range AS _range", "sum(bytes) OVER (ORDER BY range) - bytes AS bytes_before", "sum(rows) OVER (ORDER BY range) - rows AS rows_before")
-    own = "PARTITION BY range ORDER BY high, low, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    joined = placed.join(F.broadcast(starts), F.col("range") == F.col("_range"))
-    at = joined.selectExpr(
-        "*", f"bytes_before + sum(size) OVER ({own}) - size AS position", f"rows_before + row_number() OVER (PARTITION BY range ORDER BY high, low, size) - 1 AS place",
+    found = [tuple(r) for r in sums.select("range", "bytes", "first.high", F.col("last.high").alias("end")).collect()]
+    plan, begins = arranged(found, shards)
+    table = docs.sparkSession.createDataFrame(plan, "_range int, home int, cuttable boolean, before long")
+    own = "PARTITION BY range ORDER BY high, low, size"
+    at = placed.join(F.broadcast(table), F.col("range") == F.col("_range")).selectExpr(
+        "*", f"before + sum(size) OVER ({own} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS position", f"row_number() OVER ({own}) - 1 AS nth",
         "sum(size) OVER (PARTITION BY range, high) AS copies")
     at = at.selectExpr("*", "min(position) OVER (PARTITION BY range, high) AS opening")
-    together = F.col("copies") * 50 * shards <= total
-    start, length = F.when(together, F.col("opening")).otherwise(F.col("position")), F.when(together, F.col("copies")).otherwise(F.col("size"))
-    shard = F.least(F.lit(shards - 1), F.expr("CAST(0 AS BIGINT)") + F.floor((start + length / 2) * shards / F.lit(total))).cast("int")
-    numbered = cut(at.select("doc_id", "size", "text_crc32", shard.alias("shard"), "place"))
-    firsts = numbered.groupBy(F.col("shard").alias("_shard")).agg(F.min("place").alias("first"))  # one row for each shard
-    return numbered.join(F.broadcast(firsts), F.col("shard") == F.col("_shard")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    middle = F.when(F.col("cuttable"), F.col("position") + F.col("size") / 2).otherwise(F.col("opening") + F.col("copies") / 2)
+    flowing = F.size(F.filter(F.from_json(F.lit(json.dumps(begins)), "array<bigint>"), lambda b: b <= middle))
+    numbered = cut(at.select("doc_id", "size", "text_crc32", "range", F.coalesce("home", flowing).alias("shard"), "nth"))
+    # Within a range the shards follow each other, so a slot is found from how many rows each range has in each shard.
+    counts = numbered.groupBy(F.col("range").alias("_range"), F.col("shard").alias("_shard")).agg(F.count("*").alias("n"))
+    starts = counts.selectExpr("_range", "_shard", "sum(n) OVER (PARTITION BY _shard ORDER BY _range) - sum(n) OVER (PARTITION BY _range ORDER BY _shard) AS shift")
+    joined = numbered.join(F.broadcast(cut(starts)), (F.col("range") == F.col("_range")) & (F.col("shard") == F.col("_shard")))
+    return joined.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("nth") + F.col("shift")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

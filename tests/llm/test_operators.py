@@ -258,6 +258,39 @@ def test_sharding(spark):
     assert sharding.shards_by_bytes(table(spark, rows).limit(0)).count() == 0
 
 
+def shards_of(got):
+    by, homes = Counter(), defaultdict(set)
+    for r in got:
+        by[r["shard"]] += r["size"]
+        homes[r["text_crc32"]].add(r["shard"])
+    return by, homes
+
+
+def test_equal_texts_share_a_shard(spark):
+    """Copies in groups of 7, of which each is a twentieth of a shard; and a few groups of half a share and more."""
+    rows = [(i, t) for i, t in enumerate(t for t in sentences(31, 331, 20) for _ in range(7))]
+    by, homes = shards_of(sharding.shards_by_bytes(table(spark, rows)).collect())
+    share = sum(by.values()) / 16
+    assert len(homes) == 331 and all(len(x) == 1 for x in homes.values()) and all(abs(x - share) < 0.06 * share for x in by.values())
+    big = sentences(32, 3, 30)
+    rows += [(10_000 + i, big[0]) for i in range(70)] + [(20_000 + i, big[1]) for i in range(40)] + [(30_000 + i, big[2]) for i in range(900)]
+    got = sharding.shards_by_bytes(table(spark, rows), sample=4096).collect()
+    by, homes = shards_of(got)
+    share, crc = sum(by.values()) / 16, [zlib.crc32(t.encode()) for t in big]
+    assert all(abs(x - share) < 0.06 * share for x in by.values())
+    # One text alone is larger than two shares, and is cut; no other is.
+    assert len(homes.pop(crc[2])) > 1 and all(len(x) == 1 for x in homes.values())
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_arranged():
+    plan, begins = sharding.arranged([(0, 10, 1, 1), (1, 40, 2, 2), (2, 30, 3, 9), (3, 80, 11, 11), (4, 40, 12, 20)], 4)
+    assert plan == [(0, 1, True, 0), (1, 0, True, 0), (2, None, False, 0), (3, None, True, 30), (4, None, False, 110)] and begins == [10, 50, 100]
+
+
 # 2 ------------------------------------------------------------------------------------------------------
 
 
