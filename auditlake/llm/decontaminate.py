@@ -1,10 +1,10 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-A window (ten consecutive words of an item) occurs in a document where all its shingles stand at the same
-distance. The shingles are ordered by their rarity in the corpus; since a window must be contained whole,
-its prefix is its one rarest shingle, and only documents that hold it are candidates. The position of that
-shingle fixes where the window would start; it must begin and end inside the document, and then every other
-shingle of the window must stand at its own place. Built-in functions only.
+A window (ten consecutive words of an item) is a set of shingles at their places. One counted pass over the
+corpus orders shingles by rarity. A window must be contained whole, so its necessary prefix is its one rarest
+shingle: only that is joined with the documents' shingles. Its position fixes where the window would start; it
+must begin and end inside the document, and then the document's own words there must be the window's.
+Built-in functions only.
 """
 
 from __future__ import annotations
@@ -17,65 +17,72 @@ from pyspark.sql import functions as F
 from .common import cut, read, text_of, words_of
 
 WINDOW, SHINGLE = 10, 5
-#: Rows of the benchmark's shingles that are sent to every executor at most; more are joined by a shuffle.
+#: Rows of the benchmark's shingles, or of its prefixes, that are sent to every executor at most; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
-def shingle_hashes(hashes: Column, size: int) -> Column:
-    """Hashes of the runs of `size` words, from the words' hashes; of fewer words, none."""
-    last = F.size(hashes) - size
-    run = lambda i: F.xxhash64(F.lit(size), *[F.element_at(hashes, i + k + 1) for k in range(size)])
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), run)).otherwise(F.array().cast("array<bigint>"))
+def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key (hash of id and text), words, n_words of each document, written once for all passes."""
+    words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), words_of(text_of(text_col)).alias("words"))
+    return cut(words.withColumn("n_words", F.size("words").cast("long")))
 
 
-def hashed_words(docs: DataFrame, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """`keep`, n_words and `h`, the hashes of the words in order."""
-    return docs.select(*keep, F.transform(words_of(text_of(text_col)), lambda w: F.xxhash64(w)).alias("h")).withColumn("n_words", F.size("h").cast("long"))
+def shingled(rows: DataFrame, size: int) -> DataFrame:
+    """`rows` (with words and n_words) once for each run of `size` words: pos (from 0) and gram, its hash."""
+    last = F.col("n_words").cast("int") - size
+    at = rows.filter(last >= 0).withColumn("pos", F.explode(F.sequence(F.lit(0), last)))
+    return at.withColumn("gram", F.xxhash64(F.lit(size), *[F.get("words", F.col("pos") + k) for k in range(size)]))
 
 
-def windows_of(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Every distinct window's shingles: item_id, window, length, size (words in a shingle), at, gram."""
-    items = hashed_words(benchmark, [F.col(item_col).cast("string").alias("item_id")], text_col).filter("n_words > 0")
-    length = F.least(F.lit(window), F.col("n_words").cast("int"))
-    starts = items.select("item_id", "h", length.alias("length"), F.explode(F.sequence(F.lit(0), F.col("n_words").cast("int") - length)).alias("start"))
-    whole = starts.select("item_id", F.slice("h", F.col("start") + 1, F.col("length")).alias("h"), "length", F.least(F.lit(shingle), F.col("length")).alias("size"))
-    grams = reduce(lambda rest, k: F.when(F.col("size") == k, shingle_hashes(F.col("h"), k)).otherwise(rest), range(1, shingle), shingle_hashes(F.col("h"), shingle))
-    return whole.select("item_id", F.xxhash64("h", "length").alias("window"), "length", "size", grams.alias("grams")).distinct().select("item_id", "window", "length", "size", F.posexplode("grams").alias("at", "gram"))
+def windows_of(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Distinct windows of every item: item_id, words (a window's), n_words (how many)."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), words_of(text_of(text_col)).alias("all")).filter(F.size("all") > 0)
+    length = F.least(F.lit(window), F.size("all"))
+    starts = items.select("item_id", "all", length.alias("length"), F.explode(F.sequence(F.lit(1), F.size("all") - length + 1)).alias("start"))
+    return starts.select("item_id", F.slice("all", F.col("start"), F.col("length")).alias("words"), F.col("length").cast("long").alias("n_words")).distinct()
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Where windows occur: doc_id, key (hash of id and text), item_id, start, length."""
-    wins = cut(windows_of(benchmark, window, shingle))
-    known = wins.select("gram", "size").distinct()
-    sizes = [r[0] for r in wins.select("size").distinct().orderBy("size").collect()]  # at most `shingle` numbers
-    small = known.count() <= BROADCAST_ROWS
-    keys = [F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key")]
-    met = []
+def occurrences(words: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """Where windows occur in tokenised documents: doc_id, key, item_id, start, length. Windows of fewer words than a shingle are joined by single words."""
+    items = cut(windows_of(benchmark, window))
+    windows = items.select("words", "n_words").distinct()
+    both = ((shingle, F.col("n_words") >= shingle), (1, F.col("n_words") < shingle))
+    grams = cut(reduce(DataFrame.unionByName, [shingled(windows.filter(of), size).withColumn("size", F.lit(size)) for size, of in both]))
+    sizes = [r[0] for r in grams.select("size").distinct().collect()]  # two numbers at most
+    known = cut(grams.select("gram", "size").distinct())
+    near = known.count() <= BROADCAST_ROWS
+
+    # One pass over all documents for the rarity of the benchmark's shingles.
+    counts = [windows.limit(0).select(F.lit(0).cast("long").alias("gram"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("n"))]
+    for size in sizes:
+        asked, held = known.filter(F.col("size") == size).select("gram"), shingled(words.select("words", "n_words"), size).select("gram")
+        met = held.join(F.broadcast(asked), "gram") if near else held.groupBy("gram").agg(F.count("*").alias("n")).hint("merge").join(asked.hint("merge"), "gram")
+        total = F.count("*") if near else F.sum("n")
+        counts.append(met.groupBy("gram").agg(total.alias("n")).withColumn("size", F.lit(size)))
+    rarity = reduce(DataFrame.unionByName, counts)
+
+    # The prefix; a window with a shingle that no document holds occurs nowhere.
+    rated = grams.hint("merge").join(rarity.hint("merge"), ["gram", "size"], "left")
+    rarest = F.min_by(F.struct("gram", "pos"), F.struct("n", "pos")).alias("p")
+    shape = rated.groupBy("words", "n_words", "size").agg(F.every(F.col("n").isNotNull()).alias("whole"), rarest).filter("whole")
+    prefix = cut(shape.select("size", F.col("p.gram").alias("gram"), F.col("p.pos").alias("at"), F.col("words").alias("wanted"), F.col("n_words").alias("length")))
+
+    # Only prefixes are joined; bounds on position and length, then the words themselves.
+    inside = (F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words"))
+    same = F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("length").cast("int")) == F.col("wanted")
+    found = [words.limit(0).select("doc_id", "key", F.lit(0).alias("start"), "n_words", "words")]
     for size in sizes:
-        grams = known.filter(F.col("size") == size).select("gram")
-        at = hashed_words(docs, keys, text_col).select("doc_id", "key", "n_words", F.posexplode(shingle_hashes(F.col("h"), size)).alias("pos", "gram"))
-        met.append(at.join(F.broadcast(grams), "gram") if small else at.hint("merge").join(grams.hint("merge"), "gram"))
-    if not met:
-        met = [docs.limit(0).select(*keys, F.lit(0).cast("long").alias("n_words"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("gram"))]
-    met = cut(reduce(DataFrame.unionByName, met).select("doc_id", "key", "n_words", "pos", "gram").distinct())
-
-    # The rarest shingle of each window; a window with a shingle that the corpus lacks occurs nowhere.
-    rarity = met.groupBy("gram").agg(F.count("*").alias("df"))
-    rated = wins.hint("merge").join(rarity.hint("merge"), "gram", "left")
-    shape = rated.groupBy("window", "length").agg(
-        F.count("*").alias("n_rows"), F.count("df").alias("n_met"), F.min_by("at", F.struct("df", "at")).alias("at"), F.min_by("gram", F.struct("df", "at")).alias("gram"), F.count_distinct("at").alias("n_grams")
-    ).filter("n_rows = n_met")
-    prefix = shape.select("window", "length", "gram", "at", "n_grams")
-    starts = met.hint("merge").join(prefix.hint("merge"), "gram").select("doc_id", "key", "window", "length", "n_grams", (F.col("pos") - F.col("at")).alias("start"), "n_words").filter("start >= 0 AND start + length <= n_words").distinct()
-
-    # Every shingle of the window at its own place.
-    needed = wins.select("window", "length", "at", "gram").distinct()
-    asked = starts.hint("merge").join(needed.hint("merge"), ["window", "length"]).select("doc_id", "key", "window", "length", "n_grams", "start", (F.col("start") + F.col("at")).alias("pos"), "gram")
-    held = met.select(F.col("key").alias("_key"), F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos"), F.col("gram").alias("_gram"))
-    same = (F.col("key") == F.col("_key")) & (F.col("pos") == F.col("_pos")) & (F.col("gram") == F.col("_gram")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
-    whole = asked.hint("merge").join(held.hint("merge"), same).groupBy("doc_id", "key", "window", "length", "start", "n_grams").agg(F.count("*").alias("n")).filter("n = n_grams")
-    items = wins.select("window", "length", "item_id").distinct()
-    return whole.hint("merge").join(items.hint("merge"), ["window", "length"]).select("doc_id", "key", "item_id", "start", "length")
+        asked = prefix.filter(F.col("size") == size).drop("size")
+        if asked.count() <= BROADCAST_ROWS:
+            at = shingled(words, size).join(F.broadcast(asked), "gram").withColumn("start", F.col("pos") - F.col("at")).filter(inside & same)
+        else:
+            thin = shingled(words, size).select("doc_id", "key", "n_words", "pos", "gram")
+            at = thin.hint("merge").join(asked.hint("merge"), "gram").withColumn("start", F.col("pos") - F.col("at")).filter(inside)
+            own = words.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "words").hint("merge")
+            at = at.hint("merge").join(own, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).filter(same)
+        found.append(at.select("doc_id", "key", "start", F.col("length").alias("n_words"), F.col("wanted").alias("words")))
+    whole = reduce(DataFrame.unionByName, found).distinct()
+    return whole.hint("merge").join(items.hint("merge"), ["words", "n_words"]).select("doc_id", "key", "item_id", "start", F.col("n_words").cast("int").alias("length"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -85,26 +92,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     words than a window is one window; an item without words has none. A word of a document is hit when any
     occurrence of a window covers it. Null and empty texts have no words and no hits. Repeated rows get equal
     results, and rows that share an id but not a text are judged each by its own text; null item ids have windows,
-    but are no items to count. Extra columns are not read.
+    but are no items to count. Without documents there are no rows, without items no hits. Extra columns are not read.
     """
-    found = cut(occurrences(docs, benchmark, window, shingle))
-    spans = found.select("doc_id", "key", "start", (F.col("start") + F.col("length")).alias("stop")).distinct()
-    before = F.expr("max(stop) OVER (PARTITION BY doc_id, key ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
-    hit = spans.withColumn("before", before).groupBy("doc_id", "key").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce("before", F.lit(0))))).alias("n_hit"))
-    items = found.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    marked = hit.join(items.hint("merge"), (hit.key == items.key) & hit.doc_id.eqNullSafe(items.doc_id)).select(hit.doc_id.alias("_doc"), hit.key.alias("_key"), "n_hit", "items")
-    words = F.size(words_of(text_of())).cast("long")
-    base = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), words.alias("n_words"))
-    joined = base.hint("merge").join(marked.hint("merge"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    words = tokenised(docs)
+    # A document's distinct spans are no more than its words, which are one row already.
+    span = F.struct("start", (F.col("start") + F.col("length")).alias("stop"))
+    hits = occurrences(words, benchmark, window, shingle).groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.sort_array(F.collect_set(span)).alias("spans"))
+    more = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(x["start"], s["end"]))).alias("n"), F.greatest(s["end"], x["stop"]).alias("end"))
+    n_hit = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), more, lambda s: s["n"])
+    marked = cut(hits.select("_doc", "_key", "items", n_hit.alias("n_hit")))
+    joined = words.select("doc_id", "key", "n_words").hint("merge").join(marked.hint("merge"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of `docs` in which no window of `benchmark` occurs, with all their columns."""
-    bad = cut(occurrences(docs, benchmark, window, shingle).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct())
-    return docs.hint("merge").join(bad.hint("merge"), (F.xxhash64("doc_id", "text") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    """The rows of `docs` in which no window of `benchmark` occurs, with all their columns, whatever their names.
+
+    Null and empty texts hold no window and stay; repeated rows stay or go together; an empty table gives an empty one.
+    """
+    bad = cut(occurrences(tokenised(docs), benchmark, window, shingle).select("doc_id", "key").distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    return rows.hint("merge").join(bad.hint("merge"), (rows.key == bad.key) & F.col("row.doc_id").eqNullSafe(bad.doc_id), "left_anti").select("row.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
