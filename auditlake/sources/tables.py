@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 
+HEAVY = ("documents", "pages", "conversations", "embeddings")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; of texts and vectors, on whose rows much is done, a file that is too small for several tasks is dealt over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in HEAVY and df.rdd.getNumPartitions() < cores else df
 
 
 def write_project_files(df: DataFrame, path: str) -> None:
