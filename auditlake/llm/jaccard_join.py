@@ -2,16 +2,24 @@
 
 Two sets of sizes a and b with a similarity of num / den or more differ in at most
 H = (a + b) * (den - num) / (den + num) shingles. The universe is hashed into segments; a size band (sizes
-2^k to 2^(k+1)) has a scheme of its own. Each segment of a set is worth one unit when its exact subset is
-indexed, and two units when the subsets with one shingle deleted are indexed too; a set whose segments are
-worth more than H units shares at least one indexed subset with every set it is similar to. `allocate`
-picks the number of segments of a band, and how many get deletions, for the fewest signatures.
-
-A signature that many sets share is worth nothing (all its holders see that alike). Sets that keep enough
-units without those are found by their other signatures; pairs are then counted, since similar sets share
-many, and verified exactly on their shingles. Sets left with too few units can only be missed with each
-other: they are compared with one leader per signature first, and then exhaustively where one signature
-still joins several components. Identical sets are one node throughout, so copies are never paired.
+4^k to 4^(k+1)) has a partition of its own, and a pair is found in that of its smaller set. A set's exact subsets are
+indexed segment by segment, then, if those are too few, its subsets less one shingle, again segment by segment. An
+exact subset is one unit; a segment of two shingles or more whose one-deletion neighbourhood is indexed too is two. A
+set stops once it has its allotment: more units than H with its largest partner, and some in reserve. One difference
+costs at most one unit, and both sets of a pair index the segments that come first, so in what the one that stops
+earlier has indexed, it shares a signature with every set it is similar to (pigeonhole). A unit costs one posting by
+an exact subset, and one for each of a segment's shingles by its neighbourhood; so exact subsets are used first, and
+`segments_of` chooses the longest segments with which a set of a band's largest size has its allotment of them on average.
+
+A signature that many sets share is worth nothing (all its holders see that alike). Sets that keep enough units without
+those are found by their other signatures; pairs are then counted, since similar sets share many, and verified on
+their shingles. Sets left with too few units can only be missed with each other, and then under a signature of many
+holders that both have: they are compared with one leader per signature first, and then exhaustively where one
+signature still joins several components. So COMMON decides which way a link is found, and never whether.
+
+Identical sets are one node throughout, so copies are never paired. Shingles are hashes of 64 bits, whose words are
+hashed by a random number for each byte at each place; sets have an identity of 63 bits and a check of 64 more, and
+sets that share an identity but not the check are compared with all others.
 """
 
 from __future__ import annotations
@@ -49,43 +57,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: ASCII white space as 0, every other byte as 1.
-BLANKS = bytes(0 if b in b" \t\n\x0b\x0c\r" else 1 for b in range(256))
-#: What the words of a shingle are multiplied by.
-PLACES = mixed(np.arange(301, 301 + SHINGLE, dtype=np.uint64) * BASE) | np.uint64(1)
-
-
-class Powers:
-    """Powers of a number modulo 2^64 and of its inverse, as many as asked for."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+def drawn(places: np.ndarray) -> np.ndarray:
+    """The random number of a byte at a place of its word (place * 256 + byte)."""
+    return mixed(mixed((places.astype(np.uint64) + np.uint64(1)) * BASE) + M2)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k, inverse = len(self.up), pow(int(BASE), -1, 1 << 64)
-            self.up = np.concatenate((self.up, self.up * np.uint64(pow(int(BASE), k, 1 << 64))))
-            self.down = np.concatenate((self.down, self.down * np.uint64(pow(inverse, k, 1 << 64))))
-        return self.up[:n], self.down[:n]
 
+#: ASCII white space as 0, every other byte as 1.
+BLANKS = bytes(0 if b in b" \t\n\x0b\x0c\r" else 1 for b in range(256))
+#: The numbers of the first places, and what the words of a shingle are multiplied by.
+DRAWN, PLACES = drawn(np.arange(64 << 8)), mixed(np.arange(301, 301 + SHINGLE, dtype=np.uint64) * BASE) | np.uint64(1)
 
-def shingles(text: str | None, powers: Powers, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; of fewer words, of the whole sequence; of none, nothing.
 
-    A word's hash is a polynomial over its bytes.
-    """
+def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles; of fewer words, of the whole sequence; of none, nothing."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower()  # of bytes: A-Z alone
     kinds = np.frombuffer(b"\0" + raw.translate(BLANKS) + b"\0", np.uint8)
     edges = np.flatnonzero(kinds[1:] != kinds[:-1])
     if not len(edges):
         return np.empty(0, np.uint64)
-    starts, lengths = edges[::2], (edges[1::2] - edges[::2]).astype(np.uint64)
-    up, down = powers.upto(len(raw))
-    terms = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    terms += np.uint64(1)
-    terms *= up
-    h = np.add.reduceat(terms, edges[: len(edges) - (edges[-1] == len(raw))])[::2] * down[starts]
-    h = mixed(h + lengths * M2)
+    begin, end = edges[0], edges[-1]
+    runs = np.diff(edges)
+    at = np.arange(begin, end) - np.repeat(edges[:-1], runs)
+    at <<= 8
+    at |= np.frombuffer(raw, np.uint8)[begin:end]
+    terms = DRAWN[at] if runs.max() <= 64 else drawn(at)
+    h = mixed(np.add.reduceat(terms, edges[:-1] - begin)[::2] + runs[::2].astype(np.uint64) * M2)
     size = min(k, len(h))
     n = len(h) - size + 1
     total = h[:n] * PLACES[0]
@@ -102,129 +98,139 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mixed(total).view(np.int64)[0]) & ~1
 
 
+def check_of(tokens: np.ndarray) -> int:
+    """Another 64 bits of a set's identity."""
+    return int(np.add.reduce(mixed(tokens ^ BASE), keepdims=True).view(np.int64)[0])
+
+
 def most_apart(a: int, b: int) -> int:
     """Largest symmetric difference of similar sets of sizes a and b."""
     return (a + b) * (DEN - NUM) // (DEN + NUM)
 
 
-def need(size: int, band: int) -> int:
-    """Units that a set must exceed in a band's scheme, whichever similar partner it has there."""
-    other = size * DEN // NUM if size < 2 ** (band + 1) else 2 ** (band + 1) - 1
-    return most_apart(size, other)
+def bands(size: int) -> list[int]:
+    """A set's own band, and the one below if that has similar sizes."""
+    own = (size.bit_length() - 1) // 2
+    return [own] + ([own - 1] if own and NUM * size <= DEN * (4**own - 1) else [])
 
 
-@lru_cache(maxsize=None)
-def allocate(band: int) -> tuple[int, int]:
-    """Segments of a band's scheme, and how many of them get deletions.
+def need(size: int, band: int) -> int:
+    """Units that a set must exceed in a band's partition, whichever similar partner it has there."""
+    return most_apart(size, size * DEN // NUM if size < 4 ** (band + 1) else 4 ** (band + 1) - 1)
 
-    Of the choices under which a set of any size in the band keeps a wide margin of units, the one with the
-    fewest expected signatures.
-    """
-    top = 2 ** (band + 1)
-    best = (math.inf, 1 << 16, 0)
-    if top <= 64:
-        return best[1:]
-    for load in (0.5, 0.75, 1.0, 1.25, 1.5, 1.75, 2.0, 2.25, 2.5, 2.75):
-        for part in (0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4):
-            m, cost = math.ceil(top / load), 0.0
-            for size, weight in ((top * 0.5, 0), (top * 0.75, 1.0), (top - 1, 0), (top * 1.17, 0.41), (top * DEN / NUM, 0)):
-                x = size / m
-                one, two = 1 - math.exp(-x), 1 - math.exp(-x) * (1 + x)
-                units, sd = m * (one + part * two), math.sqrt(m * (one * (1 - one) + part * two * (1 - two)))
-                if units < 1.12 * need(int(size), band) + 1 + 4 * sd:
-                    cost = math.inf
-                cost += weight * m * (one + part * (x - (one - two)))
-            if cost < best[0]:
-                best = (cost, m, round(part * m))
-    return best[1:]
 
+def allotment(size: int, band: int) -> int:
+    """Units that a set takes: what it needs, and a reserve for signatures that turn out to be common."""
+    least = need(size, band) + 1
+    return least + least // 8 + 3
 
-def bands(size: int) -> list[int]:
-    """A set's own band, and the one below if that has similar sizes."""
-    own = size.bit_length() - 1
-    return [own] + ([own - 1] if own and NUM * size <= DEN * (2**own - 1) else [])
+
+@lru_cache(maxsize=None)
+def segments_of(band: int) -> int:
+    """Segments of a band's partition: as few as give a set of the largest size its allotment of exact subsets on average."""
+    top = 4 ** (band + 1) - 1
+    wanted, m = min(allotment(top, band), 0.8 * top), 1
+    while m * (1 - math.exp(-top / m)) < wanted:
+        m += max(1, m // 256)
+    return m
 
 
-def segments(tokens: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Tokens in order of their segments (multiplied by the band's own number), segment of each, starts of the segments, first segment with deletions."""
-    m, deleted = allocate(band)
+def partition(tokens: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens in order of their segments (multiplied by the band's own number), segment of each, and starts and sizes of the segments."""
     h = tokens * (M1 + np.uint64(2 * band))
     h.sort()
-    seg = ((h >> np.uint64(40)) * np.uint64(m)) >> np.uint64(24)
-    return h, seg, np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1]))), m - deleted
+    seg = ((h >> np.uint64(40)) * np.uint64(segments_of(band))) >> np.uint64(24)
+    starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
+    return h, seg, starts, np.diff(np.append(starts, len(seg)))
 
 
 def worth(tokens: np.ndarray, band: int) -> tuple[int, int]:
-    """Non-empty segments and units of a set in a band's scheme."""
-    _, seg, starts, first = segments(tokens, band)
-    if not allocate(band)[1]:
-        return len(starts), len(starts)
-    counts = np.diff(np.append(starts, len(seg)))
-    return len(starts), len(starts) + int(((counts > 1) & (seg[starts] >= first)).sum())
+    """Exact subsets that a set indexes in a band's partition, and its units with the deletions."""
+    _, _, starts, counts = partition(tokens, band)
+    wanted = allotment(len(tokens), band)
+    exact = min(wanted, len(starts))
+    return exact, min(wanted, exact + int((counts > 1).sum()))
 
 
 def signatures(tokens: np.ndarray, band: int) -> np.ndarray:
-    """Hashes of the indexed subsets of a set: of each segment's, and of those less one shingle where the scheme has deletions."""
-    h, seg, starts, first = segments(tokens, band)
+    """Hashes of the indexed subsets of a set, up to its allotment: of whole segments, then of segments less one shingle."""
+    h, seg, starts, counts = partition(tokens, band)
+    wanted = allotment(len(tokens), band)
     seeded = np.add.reduceat(h, starts) + (seg[starts] * np.uint64(64) + np.uint64(band + 1)) * M2
-    exact = mixed(seeded)
-    if not allocate(band)[1]:
+    exact = mixed(seeded[:wanted])
+    if len(starts) >= wanted:
         return exact
-    counts = np.diff(np.append(starts, len(seg)))
-    twice = np.repeat((counts > 1) & (seg[starts] >= first), counts)
-    return np.concatenate((exact, mixed(np.repeat(seeded, counts)[twice] - h[twice])))
+    some = np.flatnonzero(counts > 1)[: wanted - len(starts)]
+    which = np.repeat(np.isin(np.arange(len(starts)), some), counts)
+    return np.concatenate((exact, mixed(np.repeat(seeded, counts)[which] - h[which])))
 
 
-INFO = "_key long, doc_id long, node long, n long, band int, segments int, units int, low_segments int, low_units int"
+INFO = "_key long, doc_id long, node long, check long, n long, band int, segments int, units int, low_segments int, low_units int"
 
 
 def informer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document its node, set size, and what it is worth in its own band and the one below (else -1)."""
-    powers = Powers()
+    """Of each document its node and check, set size, and what it indexes in its own band and the one below (else -1)."""
     for b in batches:
         rows = []
         for key, doc_id, text in zip(b[0].to_pylist(), b[1].to_pylist(), b[2], strict=True):
-            t = shingles(text.as_py(), powers)
+            t = shingles(text.as_py())
             if len(t):
                 own, *low = bands(len(t))
-                rows.append((key, doc_id, node_of(t), len(t), own, *worth(t, own), *(worth(t, low[0]) if low else (-1, -1))))
+                rows.append((key, doc_id, node_of(t), check_of(t), len(t), own, *worth(t, own), *(worth(t, low[0]) if low else (-1, -1))))
             else:
-                rows.append((key, doc_id, None, 0, None, None, None, None, None))
+                rows.append((key, doc_id, None, None, 0, None, None, None, None, None))
         if rows:
-            types = (*[pa.int64()] * 4, *[pa.int32()] * 5)
+            types = (*[pa.int64()] * 5, *[pa.int32()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in INFO.split(", ")])
 
 
-def signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sig, node of each document's schemes; the lowest bit of `node` marks its own band. A task's repeated sets go once."""
-    powers, seen = Powers(), set()
-    for b in batches:
-        sigs, nodes, held = [], [], 0
+def signer(common: int):
+    """sig, node, hot of each document's signatures; the lowest bit of `node` marks its own band. A task's repeated sets go once.
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
+    A signature that more than `common` sets have in what a task sends at a time goes so often as shows it, and all
+    its holders go apart, marked as `hot`: they need not meet in one task.
+    """
 
-        for text in b[0]:
-            t = shingles(text.as_py(), powers)
-            if not len(t) or (node := node_of(t)) in seen:
-                continue
-            if len(seen) > SETS_HELD:
-                seen.clear()
-            seen.add(node)
-            for i, band in enumerate(bands(len(t))):
-                s = signatures(t, band)
-                sigs.append(s)
-                nodes.append(np.full(len(s), node | (i == 0), np.int64))
-                held += len(s)
-            if held > 500_000:
-                yield from flush()
-                sigs, nodes, held = [], [], 0
-        yield from flush()
+    def sent(sigs: list, nodes: list) -> Iterator[pa.RecordBatch]:
+        if not sigs:
+            return
+        s, n = np.concatenate(sigs), np.concatenate(nodes)
+        order = np.argsort(s, kind="stable")
+        s, n = s[order], n[order]
+        starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        lengths = np.diff(np.append(starts, len(s)))
+        many = np.repeat(lengths > common, lengths)
+        rank = np.arange(len(s)) - np.repeat(starts, lengths)
+        shown = ~many | (rank <= common)
+        hot = np.concatenate((np.zeros(shown.sum(), bool), np.ones(many.sum(), bool)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((s[shown], s[many])).view(np.int64)), pa.array(np.concatenate((n[shown], n[many]))), pa.array(hot)], names=["sig", "node", "hot"])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        sigs, nodes, held = [], [], 0
+        for b in batches:
+            for text in b[0]:
+                t = shingles(text.as_py())
+                if not len(t) or (node := node_of(t)) in seen:
+                    continue
+                seen.add(node)
+                for i, band in enumerate(bands(len(t))):
+                    s = signatures(t, band)
+                    sigs.append(s)
+                    nodes.append(np.full(len(s), node | (i == 0), np.int64))
+                    held += len(s)
+                if held > 500_000:
+                    yield from sent(sigs, nodes)
+                    sigs, nodes, held = [], [], 0
+                    if len(seen) > SETS_HELD:
+                        seen.clear()
+        yield from sent(sigs, nodes)
+
+    return sign
 
 
 def runs(common: int):
-    """Of rows sorted by sig: pairs of holders (a, b, null) of each signature with few holders, (null, node, sig) of the others.
+    """Of rows sorted by sig: pairs of holders (a, b, null) of each signature with few holders, (null, node, sig) of the others and of what is marked hot.
 
     Only the run at hand is kept, and of a long one only that it is long; a long run's holders can come repeated.
     """
@@ -264,7 +270,9 @@ def runs(common: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, node, long_sig = np.empty(0, np.int64), np.empty(0, np.int64), None
         for batch in batches:
-            s, n = batch[0].to_numpy(zero_copy_only=False), batch[1].to_numpy(zero_copy_only=False)
+            s, n, hot = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield from out([], [], s[hot], n[hot])
+            s, n = s[~hot], n[~hot]
             if not len(s):
                 continue
             if long_sig is not None:
@@ -291,11 +299,10 @@ def runs(common: int):
 
 def tokeniser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node and the set's shingles."""
-    powers = Powers()
     for b in batches:
         nodes, sets, held = [], [], 0
         for node, text in zip(b[0].to_pylist(), b[1], strict=True):
-            t = shingles(text.as_py(), powers)
+            t = shingles(text.as_py())
             nodes.append(node)
             sets.append(t.view(np.int64))
             held += len(t)
@@ -356,54 +363,69 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, n of each row; node, root of the nodes that have links)."""
+    """(_key, doc_id, node, n of each row; node, root of the nodes that have links)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text")))
-    info = cut(docs.select("_key", "doc_id", "text").mapInArrow(informer, INFO))
+    info, doubled = told_apart(cut(docs.select("_key", "doc_id", "text").mapInArrow(informer, INFO)))
 
-    # Nodes by scheme: n, non-empty segments, units and the units to exceed.
+    # Nodes by partition: n, exact subsets, units and the units to exceed.
     nodes = info.filter("node IS NOT NULL").dropDuplicates(["node"])
     own = nodes.select("node", "n", F.lit(1).alias("own"), "band", "segments", "units")
     low = nodes.filter("low_units >= 0").select("node", "n", F.lit(0).alias("own"), (F.col("band") - 1).alias("band"), F.col("low_segments").alias("segments"), F.col("low_units").alias("units"))
-    top = F.pow(F.lit(2), F.col("band") + 1).cast("long")
-    other = F.when(F.col("n") < top, F.floor(F.col("n") * DEN / NUM)).otherwise(top - 1)
+    other = F.when(F.col("own") == 1, F.floor(F.col("n") * DEN / NUM)).otherwise(F.pow(F.lit(4), F.col("band") + 1).cast("long") - 1)
     schemes = own.unionByName(low).withColumn("need", F.floor((F.col("n") + other) * (DEN - NUM) / (DEN + NUM)))
 
-    signed = docs.select("text").mapInArrow(signer, "sig long, node long")
-    met = cut(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(runs(common), "a long, b long, sig long"))
+    signed = docs.select("text").mapInArrow(signer(common), "sig long, node long, hot boolean")
+    dealt = signed.repartition(F.when(F.col("hot"), F.xxhash64("sig", "node")).otherwise(F.col("sig")))
+    met = cut(dealt.sortWithinPartitions("sig").mapInArrow(runs(common), "a long, b long, sig long"))
     hot = met.filter("sig IS NOT NULL").select("sig", F.col("b").bitwiseAND(-2).alias("node"), F.col("b").bitwiseAND(1).cast("int").alias("own")).distinct()
     lost = hot.groupBy("node", "own").agg(F.count("*").alias("hot"))
     schemes = cut(schemes.hint("merge").join(lost.hint("merge"), ["node", "own"], "left").na.fill(0, ["hot"]))
 
-    # Pairs that share enough signatures for similar sets, in the scheme of the smaller set.
+    # Pairs that share enough signatures for similar sets, in the partition of the smaller set.
     counted = met.filter("sig IS NULL").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"))
     sides = []
     for c in ("a", "b"):
-        got = schemes.groupBy(F.col("node").alias(c)).agg(
-            F.first("n").alias(f"n_{c}"), F.max(F.when(F.col("own") == 1, F.col("band"))).alias(f"band_{c}"),
-            F.max(F.when(F.col("own") == 1, F.col("segments") - F.col("hot"))).alias(f"own_{c}"), F.max(F.when(F.col("own") == 0, F.col("segments") - F.col("hot"))).alias(f"low_{c}"))
+        left = lambda of: F.max(F.when(F.col("own") == of, F.col("units") - F.col("hot")))
+        got = schemes.groupBy(F.col("node").alias(c)).agg(F.first("n").alias(f"n_{c}"), F.max(F.when(F.col("own") == 1, F.col("band"))).alias(f"band_{c}"), left(1).alias(f"own_{c}"), left(0).alias(f"low_{c}"))
         sides.append(got.hint("merge"))
     scheme = F.least("band_a", "band_b")
     apart = F.floor((F.col("n_a") + F.col("n_b")) * (DEN - NUM) / (DEN + NUM))
     holds = lambda c: F.coalesce(F.when(F.col(f"band_{c}") == scheme, F.col(f"own_{c}")).otherwise(F.col(f"low_{c}")), F.lit(0))
     likely = cut(
         counted.hint("merge").join(sides[0], "a").hint("merge").join(sides[1], "b")
-        .filter((F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM) & (F.col("shared") >= F.greatest(F.lit(1), holds("a") - apart, holds("b") - apart)))
+        .filter((F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM) & (F.col("shared") >= F.greatest(F.lit(1), F.least(holds("a"), holds("b")) - apart)))
         .select("a", "b")
     )
 
     # Sets with too few units left can be missed with each other alone.
-    worth_each = F.when(F.col("band").isin([b for b in range(40) if allocate(b)[1]]), 2).otherwise(1)
-    hard = cut(hot.hint("merge").join(schemes.filter((F.col("units") - worth_each * F.col("hot") <= F.col("need")) & (F.col("hot") > 0)).select("node", "own").hint("merge"), ["node", "own"]).select("sig", "node", "own"))
+    worth_each = F.when(F.col("units") > F.col("segments"), 2).otherwise(1)
+    few = schemes.filter((F.col("units") - worth_each * F.col("hot") <= F.col("need")) & (F.col("hot") > 0)).select("node", "own")
+    hard = cut(hot.hint("merge").join(few.hint("merge"), ["node", "own"]).select("sig", "node", "own"))
     asked = likely.select(F.explode(F.array("a", "b")).alias("node")).unionByName(hard.select("node")).distinct()
     sets = cut(sets_of(asked, docs, info))
     roots = components(similar(likely, sets))
     if not hard.isEmpty():
         roots = among_hard(hard, roots, sets)
-    lacking = schemes.filter("units <= need").select("node").distinct()
+    lacking = cut(schemes.filter("units <= need").select("node").unionByName(doubled).distinct())
     if not lacking.isEmpty():
         roots = merged(roots, against_all(lacking, docs, info))
-    return info.select("doc_id", "node", "n"), roots
+    return info.select("_key", "doc_id", "node", "n"), roots
+
+
+def told_apart(info: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`info` in which different sets have different nodes, and the nodes of those that had one together (of 10^9 sets hardly any).
+
+    The index knows such sets by their old node alone; they leave it, and are compared with all others.
+    """
+    one = info.filter("node IS NOT NULL").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    several = cut(one.filter("low <> high").select("node"))
+    if several.isEmpty():
+        return info, several
+    marked = info.hint("merge").join(several.withColumn("_several", F.lit(True)).hint("merge"), "node", "left")
+    named = marked.withColumn("node", F.when(F.col("_several"), F.xxhash64("node", "check").bitwiseAND(-2)).otherwise(F.col("node")))
+    renamed = cut(named.select(*info.columns, F.coalesce("_several", F.lit(False)).alias("_several")))
+    return renamed.drop("_several"), renamed.filter("_several").select("node").distinct()
 
 
 def among_hard(hard: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
@@ -420,7 +442,7 @@ def among_hard(hard: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     return roots
 
 
-def in_blocks(spanning: DataFrame, sets: DataFrame, tokens: int = 250_000) -> DataFrame:
+def in_blocks(spanning: DataFrame, sets: DataFrame, tokens: int = 40_000) -> DataFrame:
     """Links between components that share a common signature.
 
     Of each cluster (what such signatures connect) the nodes outside the largest component of some signature are held
@@ -480,12 +502,16 @@ def block_links(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def against_all(lacking: DataFrame, docs: DataFrame, info: DataFrame) -> DataFrame:
-    """Links of the few sets whose segments are worth too little, counted shingle by shingle against all sets."""
-    sets = sets_of(info.filter("node IS NOT NULL").select("node").distinct(), docs, info)
+    """Links of the few sets that have too few units, counted shingle by shingle against all sets of such sizes."""
+    nodes = info.filter("node IS NOT NULL").select("node", "n").dropDuplicates(["node"])
+    sizes = nodes.hint("merge").join(lacking.hint("merge"), "node").agg(F.min("n"), F.max("n")).first()
+    near = nodes.filter((F.col("n") * DEN >= sizes[0] * NUM) & (F.col("n") * NUM <= sizes[1] * DEN)).select("node") if sizes[0] else nodes.select("node").limit(0)
+    sets = cut(sets_of(near, docs, info))
     rows = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     few = cut(rows.hint("merge").join(lacking.hint("merge"), "node").select(F.col("node").alias("a"), F.col("n").alias("n_a"), "token"))
     met = few.hint("merge").join(rows.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "token").hint("merge"), "token").filter("a <> b")
-    return cut(met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")).filter((F.col("n_a") + F.col("n_b")) * NUM <= F.col("k") * (DEN + NUM)).select("a", "b"))
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    return cut(counted.filter((F.col("n_a") + F.col("n_b")) * NUM <= F.col("k") * (DEN + NUM)).select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
@@ -507,13 +533,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with the smallest doc_id of their component, one for each such id, with all their columns.
+    """Of the rows of `docs` one of each component, with all their columns, whatever their names.
 
-    Rows without words are components of their own. Rows without an id stay.
+    The row with the smallest doc_id stays, null ids last, of equals one by its text's hash; of rows that repeat an id
+    each is judged by its own text. Rows without words (null, empty, blank) are components of their own and stay, repeated
+    ones once for each id, or each where they have none. An empty table gives an empty one.
     """
-    kept = jaccard_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    named = docs.filter("doc_id IS NOT NULL").hint("merge").join(kept.hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    info, roots = linked(docs)
+    rooted = info.hint("merge").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = rooted.filter("node IS NOT NULL").groupBy("root").agg(F.min_by(F.struct("doc_id", "_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("b"))
+    blank = info.filter("node IS NULL AND doc_id IS NOT NULL").select("doc_id", "_key").groupBy("doc_id").agg(F.min("_key").alias("_key"))
+    chosen = cut(best.select("b.doc_id", "b._key").unionByName(blank))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("_key"))
+    wordless = rows.filter(F.col("doc_id").isNull() & ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("row")
+    named = rows.hint("merge").join(chosen.hint("merge"), (rows.doc_id.eqNullSafe(chosen.doc_id)) & (rows._key == chosen._key), "left_semi")
+    return named.dropDuplicates(["doc_id", "_key"]).select("row").unionByName(wordless).select("row.*")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

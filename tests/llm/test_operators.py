@@ -99,7 +99,7 @@ def edited(rng, text, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("common", [jaccard_join.COMMON, 3])
+@pytest.mark.parametrize("common", [jaccard_join.COMMON, 3, 9])
 def test_jaccard_components(spark, common):
     rng = random.Random(7)
     texts = []
@@ -114,18 +114,51 @@ def test_jaccard_components(spark, common):
     assert Counter(tuple(r) for r in got.collect()) == components_truth(rows)
 
 
-def test_jaccard_allocation_and_stage(spark):
-    for band in range(2, 16):
-        m, deleted = jaccard_join.allocate(band)
-        assert 0 <= deleted <= m
-    tokens = jaccard_join.mixed(np.arange(1, 101, dtype=np.uint64))
-    tokens.sort()
-    band = jaccard_join.bands(100)[0]
-    less = {int(x) for x in jaccard_join.signatures(tokens[1:], band)}
-    assert len(less & {int(x) for x in jaccard_join.signatures(tokens, band)}) >= jaccard_join.worth(tokens, band)[0] - 1
-    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words are in this"), (4, ""), (None, "z")]
-    assert sorted(map(str, (r["doc_id"] for r in jaccard_join.first_of_each(table(spark, rows)).collect()))) == ["1", "3", "4", "None"]
-    assert jaccard_join.jaccard_components(table(spark, rows).limit(0)).count() == 0
+def test_jaccard_allocation(spark):
+    rng = np.random.default_rng(1)
+    for size in [*range(1, 70), 255, 256, 300, 1000, 1023, 1024, 1300]:
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        band, more = jaccard_join.bands(size)[0], int(rng.integers(0, size // 3 + 1))
+        b = np.unique(np.concatenate((a, rng.integers(0, 2**63, more, dtype=np.uint64))))
+        shared = {int(x) for x in jaccard_join.signatures(a, band)} & {int(x) for x in jaccard_join.signatures(b, band)}
+        exact, units = jaccard_join.worth(a, band)
+        both = min(units, jaccard_join.worth(b, band)[1])
+        assert exact <= units <= jaccard_join.allotment(size, band) and len(shared) >= both - more
+        assert size < 4 or jaccard_join.segments_of(band) < size * 5 and len(jaccard_join.signatures(a, band)) <= max(12, 0.6 * size)
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Words of Thue-Morse letters, which any polynomial modulo a power of two hashes alike, are different words."""
+    ab = "a"
+    for _ in range(11):
+        ab += ab.translate(str.maketrans("ab", "ba"))
+    ba = ab.translate(str.maketrans("ab", "ba"))
+    for n in (1024, 2048):
+        rows = [(1, ab[:n]), (2, ba[:n]), (3, f"{ab[:n]} x y z u v"), (4, f"{ba[:n]} x y z u v")]
+        assert [r[2] for r in sorted(tuple(r) for r in jaccard_join.jaccard_components(table(spark, rows)).collect())] == [1, 2, 3, 4]
+
+
+def test_sets_of_one_identity(spark, monkeypatch):
+    """Different sets whose identities collide are still told apart, and linked rightly."""
+    texts = sentences(14, 6, 40) + [s + " tail" for s in sentences(14, 6, 40)] + ["odd one", "odd one"]
+    rows = list(enumerate(texts))
+    info = table(spark, rows).select(F.xxhash64("doc_id", "text").alias("_key"), "doc_id", "text").mapInArrow(jaccard_join.informer, jaccard_join.INFO)
+    collided = info.withColumn("node", F.when(F.col("doc_id").isin(1, 2, 9), 4242).otherwise(F.col("node")))
+    apart, doubled = jaccard_join.told_apart(collided)
+    nodes = {r["doc_id"]: r["node"] for r in apart.collect()}
+    assert len(nodes) == 14 and nodes[12] == nodes[13] and len(set(nodes.values())) == 13 and {r["node"] for r in doubled.collect()} == {nodes[1], nodes[2], nodes[9]}
+    docs = table(spark, rows).select("doc_id", "text").withColumn("_key", F.xxhash64("doc_id", "text"))
+    names = {n: i for i, n in nodes.items()}
+    assert {frozenset((names[r["a"]], names[r["b"]])) for r in jaccard_join.against_all(doubled, docs, apart).collect()} == {frozenset((1, 7)), frozenset((2, 8)), frozenset((9, 3))}
+
+
+def test_one_of_each_stays(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words are in this"), (4, ""), (4, None), (None, "z"), (None, "z"), (None, ""), (None, " "), (5, "unlike all the others here"), (5, "a b c d e f"), (6, "unlike all the others here")]
+    clashing = table(spark, rows).toDF("doc_id", "text", "_key", "_kept", "node", "root", "row", "n")
+    kept = jaccard_join.first_of_each(clashing)
+    assert kept.columns == clashing.columns
+    assert Counter((r["doc_id"], (r["text"] or "").strip()) for r in kept.collect()) == Counter([(1, "a b c d e f"), (3, "other words are in this"), (4, ""), (None, "z"), (None, ""), (None, ""), (5, "unlike all the others here")])
+    assert jaccard_join.first_of_each(clashing.limit(0)).count() == jaccard_join.jaccard_components(clashing.limit(0)).count() == 0
 
 
 def test_lacking_sets_are_counted_against_all(spark):
