@@ -77,10 +77,12 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
         return np.empty(0, np.uint64)
     begin, end = edges[0], edges[-1]
     runs = np.diff(edges)
-    at = np.arange(begin, end) - np.repeat(edges[:-1], runs)
+    longest = runs.max()
+    at = np.arange(begin, end, dtype=np.int32 if longest <= 64 and end < 1 << 31 else np.int64)
+    at -= np.repeat(edges[:-1].astype(at.dtype), runs)
     at <<= 8
     at |= np.frombuffer(raw, np.uint8)[begin:end]
-    terms = DRAWN[at] if runs.max() <= 64 else drawn(at)
+    terms = DRAWN.take(at) if longest <= 64 else drawn(at)
     h = mixed(np.add.reduceat(terms, edges[:-1] - begin)[::2] + runs[::2].astype(np.uint64) * M2)
     size = min(k, len(h))
     n = len(h) - size + 1
@@ -146,10 +148,11 @@ def partition(tokens: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np
 
 def worth(tokens: np.ndarray, band: int) -> tuple[int, int]:
     """Exact subsets that a set indexes in a band's partition, and its units with the deletions."""
-    _, _, starts, counts = partition(tokens, band)
+    m = np.uint64(segments_of(band))
+    counts = np.bincount((((tokens * (M1 + np.uint64(2 * band))) >> np.uint64(40)) * m >> np.uint64(24)).astype(np.int64))
     wanted = allotment(len(tokens), band)
-    exact = min(wanted, len(starts))
-    return exact, min(wanted, exact + int((counts > 1).sum()))
+    exact = min(wanted, int(np.count_nonzero(counts)))
+    return exact, min(wanted, exact + int(np.count_nonzero(counts > 1)))
 
 
 def signatures(tokens: np.ndarray, band: int) -> np.ndarray:
@@ -196,12 +199,13 @@ def signer(common: int):
             return
         s, n = np.concatenate(sigs), np.concatenate(nodes)
         order = np.argsort(s, kind="stable")
-        s, n = s[order], n[order]
-        starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        inside = s[order]
+        starts = np.flatnonzero(np.concatenate(([True], inside[1:] != inside[:-1])))
         lengths = np.diff(np.append(starts, len(s)))
-        many = np.repeat(lengths > common, lengths)
-        rank = np.arange(len(s)) - np.repeat(starts, lengths)
-        shown = ~many | (rank <= common)
+        # In the order of the sets, which a shuffle packs better.
+        many, shown = np.zeros(len(s), bool), np.ones(len(s), bool)
+        many[order] = np.repeat(lengths > common, lengths)
+        shown[order] = np.arange(len(s)) - np.repeat(starts, lengths) <= common
         hot = np.concatenate((np.zeros(shown.sum(), bool), np.ones(many.sum(), bool)))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((s[shown], s[many])).view(np.int64)), pa.array(np.concatenate((n[shown], n[many]))), pa.array(hot)], names=["sig", "node", "hot"])
 
