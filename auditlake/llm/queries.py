@@ -8,11 +8,12 @@ from .mixing import op6_mixing
 from .quality import op2_quality
 from .secrets import op8_secrets
 from .sharding import op7_sharding
-from .tool_calls import OP1_SQL, op1_tool_calls
+from .tool_calls import OP1_SQL, OP1_STRICT_SQL, op1_tool_calls, op1_tool_calls_strict
 from .url_filter import OP3_JUNK_SQL, OP3_SQL, op3_url_filter, op3_url_filter_junk
 
 QUERIES = {
     "op1_tool_calls": op1_tool_calls,
+    "op1_tool_calls_strict": op1_tool_calls_strict,
     "op2_quality": op2_quality,
     "op3_url_filter": op3_url_filter,
     "op3_url_filter_junk": op3_url_filter_junk,
@@ -26,6 +27,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_tool_calls": OP1_SQL,
+    "op1_tool_calls_strict": OP1_STRICT_SQL,
     "op3_url_filter": OP3_SQL,
     "op3_url_filter_junk": OP3_JUNK_SQL,
     "op4_exact_dedup": OP4_SQL,

@@ -461,3 +461,25 @@ def test_tool_calls(spark):
     assert plain.count() == 5  # two calls, one of them answered, and three answers to no call
     assert tool_calls.link_calls(*tool_calls.from_turns(messages.limit(0))).count() == 0
     assert spark.range(1).select(tool_calls.canonical_json(F.lit('{"b":[1, 2],"a":{"d":null,"c":"é\\n"}}'))).first()[0] == '{"a":{"c":"é\\n","d":null},"b":[1,2]}'
+
+
+def test_tool_call_keys_numbers_and_clashes(spark):
+    deep = {"t": {"o": ("object", True, {"properties": {"k": ("string", True, {"enum": ["a", "b"]}), "n": ("number", False, {"minimum": 0, "maximum": 9})}}), "l": ("array", False, {"items": "integer"})}}
+    rows = [("a/b", "c", 0, 0, "t", '{"o":{"k":"a","n":1e1},"l":[1,"x"]}', None), ("a", "b/c", 0, 0, "t", '{"o":{"k":"z"}}', ["b/c"]), (None, "c", 0, 0, "t", '{"o":{"q":1}}', [None]), ("", "c", 0, 0, "t", "", []), ("a/b", "c", 0, 0, "t", None, []), ("", "d", 1, 0, "t", json.dumps({"o": {"k": "b\\\" 1.0,[2e0]" * 20_000, "n": 2.50}}), [])]
+    calls = spark.createDataFrame([(*r, 7, "g", "k") for r in rows], "conv_id string, call_id string, turn long, place int, name string, arguments string, depends_on array<string>, level int, got string, key string")
+    results = spark.createDataFrame([("a/b", "c", 2, "second", 1), ("a/b", "c", 1, "first", 1), (None, "c", 1, "null's", 1)], "conv_id string, call_id string, turn long, content string, level int")
+    got = {(r["conv_id"], r["call_id"], r["arguments"] is None): r for r in tool_calls.link_calls(calls, results, deep).collect()}
+    assert len(got) == 6 and got["a/b", "c", False]["result"] == got["a/b", "c", True]["result"] == "first" and got["a", "b/c", False]["status"] == "cycle" and got[None, "c", False]["result"] == "null's" and got["", "c", True]["status"] == "unanswered"
+    assert got["a/b", "c", False]["errors"] == "an item of l is not of type integer; o.n is above 9" and got["a", "b/c", False]["errors"] == "o.k is none of a, b" and got[None, "c", False]["errors"] == "o.k is missing; o.q is not known"
+    assert got["a/b", "c", False]["arguments"] == '{"l":[1,"x"],"o":{"k":"a","n":10}}' and got["", "c", True]["errors"] == "arguments are not JSON"
+    long = got["", "d", False]
+    assert json.loads(long["arguments"]) == {"o": {"k": "b\\\" 1.0,[2e0]" * 20_000, "n": 2.5}} and long["arguments"].endswith('"n":2.5}}') and json.loads(long["record"])["arguments"]["o"]["n"] == 2.5
+    one = lambda t: spark.range(1).select(tool_calls.canonical_json(F.lit(t))).first()[0]
+    assert one("[1e2,100,100.0,-1.50,0.1,12345678901234567890,1e30]") == "[100,100,100,-1.5,0.1,12345678901234567890,1.0E30]" and one("1e2") == one("100") and one('{"a":1,"a":2}') is None
+
+
+def test_tool_calls_are_hash_joined(spark):
+    rows = [(1, 0, "user", "hello"), (1, 1, "assistant", "x")]
+    made = tool_calls.link_calls(*tool_calls.from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
