@@ -1,106 +1,152 @@
 """License scans with a positional index of rare words.
 
-Every license template is a sequence of words, some of which form its mandatory key phrase. The index posts,
-for each template, its words with the highest inverse document frequency in the corpus and the words of its key
-phrase, with their offsets. A file's words are looked up there; a posting and the word's position give where
-the template would start, and postings that agree on the start are intersected. What covers enough of the
-template by weight, with the whole key phrase, is a hit. Built-in functions only.
+Every license template is a sequence of words, one run of which is its mandatory key phrase. The index posts each
+word of a template with its offset. Of a file the licence words that are rarest in the corpus (highest inverse
+document frequency) are looked up, and the rarest word of every key phrase that the file holds. A posting and the word's
+position give where the template would start; equal starts are one candidate. There the key phrase must stand whole,
+and the words in their places must be enough of the template by weight. Built-in functions only: a file is one row
+throughout, and only the words' document frequencies are shuffled.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, text_of, words_of
+from .common import read, text_of, words_of
+from .license_texts import TEXTS
 
-#: label, words, key phrase. The first three are the base phrases: all their words are mandatory.
+#: label, text, key phrase. Base phrases are key phrases altogether.
 BASE = [("mit", "mit license", "mit license"), ("apache", "apache license", "apache license"), ("gpl", "general public license", "general public license")]
-TEMPLATES = [
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted"),
-    ("apache", "licensed under the apache license version 2 0", "apache license"),
-    ("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "general public license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "nc 4 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
-    ("all-rights-reserved", "all rights reserved", "all rights reserved"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-]
-#: Words posted of each template besides its key phrase, and the share of its posted weight that a hit covers.
-RARE, COVER = 6, 0.75
-#: Too common to be looked up, unless a key phrase holds them.
-PLAIN = {"a", "and", "any", "are", "can", "in", "is", "it", "of", "or", "the", "this", "to", "under", "use", "with", "you"}
-
-
-def key_offsets(words: str, phrase: str) -> list[int]:
-    w, p = words.split(), phrase.split()
-    start = next(i for i in range(len(w)) if w[i : i + len(p)] == p)
-    return list(range(start, start + len(p)))
-
-
-def looked_up(templates: list) -> set[str]:
-    return {w for _, words, phrase in templates for i, w in enumerate(words.split()) if w not in PLAIN or i in key_offsets(words, phrase)}
-
-
-def posted(templates: list, idf: dict[str, float], rare: int = RARE) -> list[tuple]:
-    """template, word, offset, weight, mandatory: of each template its rarest words and its key phrase."""
-    rows = []
-    for number, (_, words, phrase) in enumerate(templates):
-        keys = set(key_offsets(words, phrase))
-        order = sorted((i for i, w in enumerate(words.split()) if i in keys or w not in PLAIN), key=lambda i: (-idf.get(words.split()[i], 0.0), i))
-        chosen = keys | set(order[:rare])
-        rows += [(number, words.split()[i], i, max(idf.get(words.split()[i], 0.0), 0.01), i in keys) for i in sorted(chosen)]
-    return rows
-
-
-def license_hits(docs: DataFrame, templates: list, base: list = BASE, id_col: str = "doc_id", text_col: str = "text", cover: float = COVER) -> DataFrame:
-    """Hits: doc_id, key (hash of id and text), template (its number among base + templates), start, share (of the posted weight)."""
-    spark, every = docs.sparkSession, [*base, *templates]
-    vocabulary = spark.createDataFrame([(w,) for w in sorted(looked_up(every))], "word string")
-    keys = [F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key")]
-    words = docs.select(*keys, F.posexplode(words_of(text_of(text_col))).alias("pos", "word"))
-    # The vocabulary is fixed by the templates.
-    met = cut(words.join(F.broadcast(vocabulary), "word").distinct())
-    n = docs.count()
-    df = met.select("word", "doc_id", "key").distinct().groupBy("word").agg(F.count("*").alias("df")).collect()  # one row for each word of the templates
-    idf = {w: math.log((n + 1) / 1) for w in looked_up(every)} | {r["word"]: math.log((n + 1) / (r["df"] + 1)) for r in df}
-    rows = posted(every, idf)
-    index = spark.createDataFrame(rows, "template int, word string, at int, weight double, mandatory boolean")
-    total = {t: sum(r[3] for r in rows if r[0] == t) for t in range(len(every))}
-    needed = {t: sum(r[4] for r in rows if r[0] == t) for t in range(len(every))}
-    shape = spark.createDataFrame([(t, total[t], needed[t], 0.999999 if t < len(base) else cover) for t in range(len(every))], "template int, total double, needed int, least double")
-    at = met.join(F.broadcast(index), "word").select("doc_id", "key", "template", (F.col("pos") - F.col("at")).alias("start"), "weight", "mandatory")
-    met_at = at.groupBy("doc_id", "key", "template", "start").agg(F.sum("weight").alias("weight"), F.count_if("mandatory").alias("held"))
-    return met_at.join(F.broadcast(shape), "template").filter("held = needed AND weight >= total * least").select("doc_id", "key", "template", "start", F.least(F.lit(1.0), F.col("weight") / F.col("total")).alias("share"))
-
-
-def licenses(docs: DataFrame, templates: list = TEMPLATES, base: list = BASE) -> DataFrame:
+#: Rarest licence words of a file that are looked up besides those of key phrases, and the share of a template's weight that a hit covers.
+RARE, COVER = 8, 0.75
+#: Least inverse document frequency of a rare word: in one of a hundred documents.
+FLOOR = math.log(100)
+
+
+def plain_words(text: str) -> list[str]:
+    """As `words_of`."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
+
+
+def parsed(templates: list[tuple[str, str, str]]) -> list[dict]:
+    """label, words, key (words of the key phrase) and at (its first place) of templates."""
+    out = []
+    for label, text, phrase in templates:
+        words, key = plain_words(text), plain_words(phrase)
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        out.append({"label": label, "words": words, "key": key, "at": at})
+    return out
+
+
+def constant(value: object, type_: str) -> Column:
+    """A value fixed by the templates, as a column."""
+    return F.from_json(F.lit(json.dumps(value)), type_)
+
+
+def place(template: int, offset: int) -> int:
+    """A posting; with a word's position added, a template and where it would start, as one number."""
+    return (template << 40) + 2**32 - offset
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def inverse_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, float]:
+    """log((documents + 1) / (documents with the word + 1)) of every word of the vocabulary, over all documents."""
+    held = F.array_intersect(constant(vocabulary, "array<string>"), words_of(text_of(text_col)))
+    # Each document counts once without a word, so one pass gives the number of documents too.
+    rows = docs.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), held)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    found = {r["word"]: r["df"] for r in rows.collect()}  # one row for each word of the templates
+    n = found.get(None, 0)
+    return {w: math.log((n + 1) / (found.get(w, 0) + 1)) for w in vocabulary}
+
+
+def license_hits(docs: DataFrame, templates: list, base: list = BASE, text_col: str = "text", cover: float = COVER, rare: int = RARE) -> DataFrame:
+    """`docs` with n_words and `hits`: of each the template's number among base + templates, start, and covered share of its weight."""
+    every = parsed([*base, *templates])
+    vocabulary = sorted({w for t in every for w in t["words"]})
+    idf = inverse_frequencies(docs, vocabulary, text_col)
+    by_idf = sorted(vocabulary, key=lambda w: (-idf[w], w))
+    anchors = sorted({min(t["key"], key=by_idf.index) for t in every})
+    for number, t in enumerate(every):
+        t["weights"] = [max(idf[w], 0.01) for w in t["words"]]
+        t["least"] = 0.999999 if number < len(base) else cover
+    # Common words tell nothing, unless a key phrase has no rarer one.
+    looked_up = [w for w in by_idf if idf[w] >= FLOOR or w in anchors]
+    posts = lambda w, of: [place(n, i) for n, t in enumerate(every) for i, x in enumerate(t["words"]) if x == w and of(t)]
+    whole = constant(every, "array<struct<words:array<string>,key:array<string>,at:int,weights:array<double>,least:double>>")
+    postings = constant([posts(w, lambda t: True) for w in looked_up], "array<array<bigint>>")
+    marked = constant([posts(w, lambda t: w == min(t["key"], key=by_idf.index)) for w in looked_up], "array<array<bigint>>")
+    order, marks = constant(looked_up, "array<string>"), constant(anchors, "array<string>")
+
+    def judged(words: Column, c: Column) -> Column:
+        t, start = F.get(whole, F.shiftright(c, 40).cast("int")), (c.bitwiseAND(2**40 - 1) - 2**32).cast("int")
+        begin = start + t["at"]
+        phrase = (begin >= 0) & (F.slice(words, F.greatest(begin, F.lit(0)) + 1, F.size(t["key"])) == t["key"])
+        sums = F.aggregate(F.sequence(F.lit(0), F.size(t["words"]) - 1), F.lit(0.0), lambda s, i: s + F.when(F.get(words, start + i) == F.get(t["words"], i), F.get(t["weights"], i)).otherwise(0.0))
+        total = F.aggregate(t["weights"], F.lit(0.0), lambda s, w: s + w)
+        hit = lambda share: F.when(share >= t["least"], F.struct(F.shiftright(c, 40).cast("int").alias("template"), start.alias("start"), F.least(F.lit(1.0), share).alias("share")))
+        return F.when(phrase, once(sums / total, hit))
+
+    def found(words: Column, asked: Column) -> Column:
+        places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(asked, w), F.struct(F.array_position(order, w).cast("int").alias("w"), i.alias("i")))), lambda p: p.isNotNull())
+        starts = lambda table: lambda seen: F.flatten(F.transform(seen, lambda p: F.transform(F.get(table, p["w"] - 1), lambda q: q + p["i"])))
+        both = lambda seen: F.array_intersect(starts(postings)(seen), starts(marked)(seen))
+        return F.filter(F.transform(once(places, both), lambda c: judged(words, c)), lambda h: h.isNotNull())
+
+    def scan(words: Column) -> Column:
+        # The result of an intersection keeps the order of the first array: rarest first.
+        asked = lambda held: F.array_union(F.slice(held, 1, rare), F.array_intersect(marks, held))
+        hits = once(once(F.array_intersect(order, words), asked), lambda a: F.when(F.size(a) > 0, found(words, a)))
+        none = F.array().cast("array<struct<template:int,start:int,share:double>>")
+        return F.struct(F.size(words).cast("long").alias("n_words"), F.coalesce(hits, none).alias("hits"))
+
+    scanned = docs.withColumn("_scan", once(words_of(text_of(text_col)), scan))
+    return scanned.select(*[F.col(f"`{c}`") for c in docs.columns], "_scan.n_words", "_scan.hits")
+
+
+def licenses(docs: DataFrame, templates: list = TEXTS, base: list = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Words are runs of digits, letters and non-ASCII characters of the text with A-Z lower-cased. n_base counts the
     places of all base phrases, first_word and last_word are their smallest and largest start. score is the largest
     covered share among the hits of templates and base phrases, 0 without one. Null and empty texts have no words
-    and no hits; a template that begins before the text does is a hit all the same. Repeated rows get equal results;
-    rows that share an id but not a text are judged each by its own. Other columns are not read.
+    and no hits; a template that begins before the text does, or ends after it, is a hit where its key phrase stands and
+    enough is covered. Repeated rows get equal results; rows that share an id but not a text are judged each by its own.
+    An empty table gives no rows. Other columns are not read, whatever their names. Every key phrase is looked up by its
+    rarest word in every file, so no hit depends on how many other words are.
     """
-    hits = license_hits(docs, templates, base)
-    label = F.array(*[F.lit(t[0]) for t in [*base, *templates]])[F.col("template")]
-    is_base = F.col("template") < len(base)
-    found = hits.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(
-        F.count_if(is_base).alias("n_base"), F.min(F.when(is_base, F.col("start"))).alias("first_word"), F.max(F.when(is_base, F.col("start"))).alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(is_base, label))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set(label)), ",").alias("labels"), F.max("share").alias("score"))
-    n_words = F.regexp_count(text_of(), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), n_words.alias("n_words"))
-    joined = rows.hint("merge").join(found.hint("merge"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    return joined.select(
-        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    rows = license_hits(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), templates, base)
+    names = constant([t[0] for t in [*base, *templates]], "array<string>")
+    of_base = F.filter("hits", lambda h: h["template"] < len(base))
+    starts = F.transform(of_base, lambda h: h["start"])
+    labels = lambda hits: F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: F.get(names, h["template"])))), ",")
+    return rows.select(
+        "doc_id", "n_words", F.size(of_base).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        labels(of_base).alias("base_labels"), labels(F.col("hits")).alias("labels"), F.coalesce(F.array_max(F.transform("hits", lambda h: h["share"])), F.lit(0.0)).alias("score"))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(read(spark, sf_dir, "documents"))
+
+
+def op9_license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of `op9_licenses` that SQL can express."""
+    return op9_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+OP9_PLACES_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, i, CASE WHEN w[i + 1] = 'mit' AND w[i + 2] = 'license' THEN 'mit' WHEN w[i + 1] = 'apache' AND w[i + 2] = 'license' THEN 'apache' WHEN w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license' THEN 'gpl' END AS label
+  FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d)),
+g AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS s FROM p WHERE label IS NOT NULL GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(s, '') AS base_labels FROM d LEFT JOIN g USING (doc_id)
+"""

@@ -3,7 +3,7 @@
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .jaccard_join import OP5_SQL, op5_jaccard_join
-from .licenses import op9_licenses
+from .licenses import OP9_PLACES_SQL, op9_license_places, op9_licenses
 from .mixing import op6_mixing
 from .quality import op2_quality
 from .secrets import op8_secrets
@@ -23,6 +23,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_secrets": op8_secrets,
     "op9_licenses": op9_licenses,
+    "op9_license_places": op9_license_places,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL = {
@@ -32,5 +33,6 @@ ORACLE_SQL = {
     "op3_url_filter_junk": OP3_JUNK_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op5_jaccard_join": OP5_SQL,
+    "op9_license_places": OP9_PLACES_SQL,
     "op10_decontaminate": OP10_SQL,
 }

@@ -419,16 +419,47 @@ def base_truth(text):
     return len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
 
 
+def license_truth(rows):
+    """Every template at every start, by the definition."""
+    every = [(label, plain_words(t), plain_words(key)) for label, t, key in [*licenses.BASE, *licenses.TEXTS]]
+    texts = [plain_words(t) for _, t in rows]
+    df = Counter(w for t in texts for w in set(t))
+    weight = lambda w: max(np.log((len(rows) + 1) / (df[w] + 1)), 0.01)
+    out = []
+    for (d, _), w in zip(rows, texts, strict=True):
+        labels, best = set(), 0.0
+        for k, (label, t, key) in enumerate(every):
+            at, total = next(i for i in range(len(t)) if t[i : i + len(key)] == key), sum(map(weight, t))
+            for p in (i for i in range(len(w)) if w[i : i + len(key)] == key):
+                share = sum(weight(x) for i, x in enumerate(t) if 0 <= p - at + i < len(w) and w[p - at + i] == x) / total
+                if share >= (0.999999 if k < len(licenses.BASE) else licenses.COVER):
+                    labels.add(label)
+                    best = max(best, min(1.0, share))
+        out.append((d, ",".join(sorted(labels)), round(best, 9)))
+    return Counter(out)
+
+
+def test_license_texts(spark):
+    texts = {k: (label, t) for k, (label, t, _) in enumerate(licenses.TEXTS)}
+    rows = [(k, f"some words before it {t} and after it") for k, (_, t) in texts.items()] + [(100 + k, t.replace("copy", "COPY ", 1).replace("software", "program", 1)) for k, (_, t) in texts.items()] + [(200, licenses.TEXTS[1][1][40:]), (201, licenses.TEXTS[2][1][:60])] + ODD
+    got = licenses.licenses(table(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["labels"], round(r["score"], 9)) for r in got) == license_truth(rows)
+    named = {r["doc_id"]: r["labels"].split(",") for r in got}
+    assert all(label in named[k] for k, (label, _) in texts.items()) and named[201] == [""]
+
+
 def test_licenses(spark):
     lines = ["Released under the MIT License.", "MIT licensed", "the mit  LICENSE mit license", "Apache-License v2", "GNU General Public License, version 3", "general public", "Licensed under CC BY-NC 4.0", "mit", "license"]
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice(lines + sentences(i, 2, 6)) for _ in range(rng.randrange(6)))) for i in range(150)] + ODD + [(1, "MIT license"), (1, "nothing")]
+    assert licenses.licenses(table(spark, rows).limit(0)).count() == 0
     got = licenses.licenses(table(spark, rows)).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got) == Counter((i, *base_truth(t)) for i, t in rows)
     for r in got:
         assert 0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
         assert bool(r["labels"]) == (r["score"] > 0)
     assert "cc-by-nc" in {x for r in got for x in r["labels"].split(",")}
+    assert Counter((r["doc_id"], r["labels"], round(r["score"], 9)) for r in got) == license_truth(rows)
     assert licenses.licenses(table(spark, rows).limit(0)).count() == 0
 
 
