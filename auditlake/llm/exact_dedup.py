@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, cut, read, text_of
 
-#: Bytes of strings that one trie may hold.
+#: Bytes that one trie may take.
 BUDGET = 96 << 20
+#: What a node takes besides its label.
+NODE = 200
 SCHEMA = "key binary, sha string, keep_id long, group_size long, subtree string"
 ARROW = pa.schema([("key", pa.binary()), ("sha", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("subtree", pa.string())])
 
@@ -40,7 +42,10 @@ def shared(a: bytes, b: bytes) -> int:
 
 
 class Trie:
-    """A compressed radix trie of byte strings; a terminal node has [smallest id, copies, hash]."""
+    """A compressed radix trie of byte strings; a terminal node has [smallest id, copies, hash].
+
+    `size` counts a label's bytes and NODE for every node, whether strings come or a subtree goes.
+    """
 
     def __init__(self) -> None:
         self.root, self.size = Node(b""), 0
@@ -52,7 +57,7 @@ class Trie:
             child = node.children.get(key[at])
             if child is None:
                 child = node.children[key[at]] = Node(key[at:])
-                self.size += len(child.label) + 200
+                self.size += len(child.label) + NODE
             elif not key.startswith(child.label, at):
                 k = shared(child.label, key[at : at + len(child.label)])
                 if child.given:
@@ -61,7 +66,7 @@ class Trie:
                 child.label = child.label[k:]
                 above.children[child.label[0]] = child
                 node.children[key[at]] = child = above
-                self.size += 200
+                self.size += NODE
             at += len(child.label)
             node = child
             if node.given:
@@ -93,8 +98,11 @@ class Trie:
         if len(node.children) + (node.end is not None) < 2 or not live:
             return "", []
         child, gone = max(live, key=lambda pair: sum(len(k) for k, _ in pair[1]))
+        below = list(child.children.values())
+        for x in below:
+            below += x.children.values()
+            self.size -= len(x.label) + NODE
         child.children, child.end, child.given = {}, None, True
-        self.size = sum(len(k) for _, strings in live for k, _ in strings) - sum(len(k) for k, _ in gone)
         at = len(prefix) + len(child.label)
         return (prefix + child.label).hex()[:64] + f"/{at}", gone
 

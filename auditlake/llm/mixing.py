@@ -9,8 +9,6 @@ the words still wanted. Only sums by pattern and source reach the driver, never
 
 from __future__ import annotations
 
-from heapq import heappop, heappush
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from .common import cut, read, text_of
 WEIGHTS, SHARE, REPEATS, SEED = (3, 1, 2), 1.5, 2, 17
 #: Slices of a pattern's documents by hash; the order inside a slice is found by one task.
 SLICES = 4096
-#: Patterns and sources that are summed, at most; more raise an error rather than being merged.
+#: Membership patterns that are summed, at most (the flow of so many takes about a minute); more are an error rather than being merged.
 MAX_PATTERNS = 100_000
 
 
@@ -41,59 +39,82 @@ def fair_targets(sizes: list[int], weights: list[float], total: float, most: flo
     return targets
 
 
-def cheapest_flow(supply: dict, quota: dict, costs: list[int]) -> dict:
+class Network:
+    """A flow network whose flow is raised, by shortest paths a layer at a time, to the largest that its capacities allow."""
+
+    def __init__(self) -> None:
+        self.ends: list[int] = []
+        self.room: list[int] = []
+        self.arcs: list[list[int]] = []
+
+    def node(self) -> int:
+        self.arcs.append([])
+        return len(self.arcs) - 1
+
+    def arc(self, a: int, b: int, room: int) -> int:
+        """An arc and, with the next number, its reverse."""
+        for start, end, free in ((a, b, room), (b, a, 0)):
+            self.arcs[start].append(len(self.ends))
+            self.ends.append(end)
+            self.room.append(free)
+        return len(self.ends) - 2
+
+    def layers(self, start: int, end: int) -> list[int] | None:
+        layer, line = [-1] * len(self.arcs), [start]
+        layer[start] = 0
+        for a in line:
+            for e in self.arcs[a]:
+                if self.room[e] and layer[self.ends[e]] < 0:
+                    layer[self.ends[e]] = layer[a] + 1
+                    line.append(self.ends[e])
+        return layer if layer[end] >= 0 else None
+
+    def fill(self, start: int, end: int) -> None:
+        while layer := self.layers(start, end):
+            at, path = [0] * len(self.arcs), []
+            while True:
+                here = self.ends[path[-1]] if path else start
+                if here == end:
+                    least = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= least
+                        self.room[e ^ 1] += least
+                    path = path[: next(i for i, e in enumerate(path) if not self.room[e])]
+                    continue
+                while at[here] < len(self.arcs[here]):
+                    e = self.arcs[here][at[here]]
+                    if self.room[e] and layer[self.ends[e]] == layer[here] + 1:
+                        path.append(e)
+                        break
+                    at[here] += 1
+                else:
+                    if not path:
+                        break
+                    at[self.ends[path.pop() ^ 1]] += 1
+
+
+def cheapest_flow(supply: dict, quota: dict, repeats: int) -> dict:
     """Words that each pattern (a tuple of sources) sends to each of its sources: (pattern, source) -> words.
 
-    A pattern sends up to its own words at each of `costs`, in turn. Shortest augmenting paths with potentials,
-    until the quotas are full or no path is left.
+    A pattern sends up to its own words in each of `repeats` passes, a later one of which costs more. Costs stand on the
+    passes alone, and a path that raises the flow takes nothing back from them; so the flow of least cost is the largest of
+    first passes, raised by second ones, and so on.
     """
-    nodes: dict = {"out": 0, "in": 1}
-    graph: list[list[list]] = [[], []]
-
-    def number(x) -> int:
-        if x not in nodes:
-            nodes[x] = len(graph)
-            graph.append([])
-        return nodes[x]
-
-    def arc(a: int, b: int, room: int, cost: int) -> None:
-        graph[a].append([b, room, cost, len(graph[b])])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
-
-    kept = {}
+    net = Network()
+    out, into = net.node(), net.node()
+    sources = {s: net.node() for s in sorted(quota, key=repr)}
+    for s, n in sources.items():
+        net.arc(n, into, quota[s])
+    entries, kept = {}, {}
     for p in sorted(supply, key=repr):
-        for cost in costs:
-            arc(0, number(("p", p)), supply[p], cost)
-        for s in p:
-            kept[p, s] = (number(("p", p)), len(graph[number(("p", p))]))
-            arc(number(("p", p)), number(("s", s)), supply[p] * len(costs), 0)
-    for s in sorted(quota, key=repr):
-        arc(number(("s", s)), 1, quota[s], 0)
-    high = [0] * len(graph)
-    while True:
-        far, back, heap = [None] * len(graph), [None] * len(graph), [(0, 0)]
-        far[0] = 0
-        while heap:
-            d, a = heappop(heap)
-            if d > far[a]:
-                continue
-            for i, (b, room, cost, _) in enumerate(graph[a]):
-                step = d + cost + high[a] - high[b]
-                if room > 0 and (far[b] is None or step < far[b]):
-                    far[b], back[b] = step, (a, i)
-                    heappush(heap, (step, b))
-        if far[1] is None:
-            break
-        high = [h + (d if d is not None else 0) for h, d in zip(high, far, strict=True)]
-        path, b = [], 1
-        while b:
-            path.append(back[b])
-            b = back[b][0]
-        room = min(graph[a][i][1] for a, i in path)
-        for a, i in path:
-            graph[a][i][1] -= room
-            graph[graph[a][i][0]][graph[a][i][3]][1] += room
-    return {pair: graph[graph[a][i][0]][graph[a][i][3]][1] for pair, (a, i) in kept.items()}
+        n = net.node()
+        entries[p] = net.arc(out, n, 0)
+        kept |= {(p, s): net.arc(n, sources[s], supply[p] * repeats) for s in p}
+    for _ in range(repeats):
+        for p, e in entries.items():
+            net.room[e] += supply[p]
+        net.fill(out, into)
+    return {pair: net.room[e + 1] for pair, e in kept.items()}
 
 
 def word_count(text: Column) -> Column:
@@ -139,7 +160,7 @@ def mix(docs: DataFrame, sources: Column, weights: tuple = WEIGHTS, share: float
     size = {s: sum(n for p, n in supply.items() if s in p) for s in names}
     by_weight = [weights[i % len(weights)] for i in range(len(names))]
     targets = dict(zip(names, map(float, fair_targets([size[s] for s in names], by_weight, share * sum(supply.values()), repeats)), strict=True))
-    flow = cheapest_flow(supply, {s: round(t) for s, t in targets.items()}, [1 + 2 * i for i in range(repeats)])
+    flow = cheapest_flow(supply, {s: round(t) for s, t in targets.items()}, repeats)
     sent = [(list(p), n, sum(flow.get((p, s), 0) for s in p), [(s, size[s], targets[s]) for s in p]) for p, n in supply.items()]
     spark = docs.sparkSession
     table = spark.createDataFrame(sent, "_member array<string>, words long, want long, of array<struct<source:string,words:long,target:double>>")
@@ -152,9 +173,32 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", own["words"].alias("source_size"), own["target"].alias("target"), "taken")
 
 
+def op6_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of `op6_mixing` that SQL can express, whether what is taken keeps to its bounds, and how much of the source is taken, which is its target to a word."""
+    rows = cut(op6_mixing(spark, sf_dir).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("_doc"), "source").hint("merge"), F.col("doc_id") == F.col("_doc")))
+    sums = rows.groupBy(F.col("source").alias("_source")).agg(F.sum("taken").alias("_taken"))
+    near = F.abs(F.col("_taken") - F.col("target")) <= 1
+    return rows.hint("merge").join(sums.hint("merge"), F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", F.col("taken").between(0, 2 * F.col("size")).alias("bounded"), near.alias("near"))
+
+
+OP6_TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size) AS words, [3, 1, 2][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT] AS weight FROM d GROUP BY source),
+o AS (SELECT *, 1.5 * (SELECT sum(size) FROM d) - sum(2 * words) OVER (ORDER BY 2.0 * words / weight, source) + 2 * words AS rest, sum(weight) OVER (ORDER BY 2.0 * words / weight DESC, source DESC) AS weights FROM s),
+u AS (SELECT coalesce(max(rest / weights) FILTER (WHERE rest / weights <= 2.0 * words / weight), 1e18) AS unit FROM o)
+SELECT doc_id, size, words AS source_size, least(2.0 * words, unit * weight)::DOUBLE AS target, true AS bounded, true AS near FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, u
+"""
+
+
 def mixture(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` as often as the mix takes them (a document of which a part is taken counts whole), with all their columns."""
-    picked = mix(docs, F.array("source")).filter("taken > 0")
-    times = picked.groupBy(F.col("doc_id").alias("_doc")).agg(F.max(F.ceil(F.col("taken") / F.col("size")).cast("int")).alias("_times"))
-    joined = docs.hint("merge").join(cut(times).hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_doc", "_times", "_copy")
+    """The rows of `docs` as often as the mix takes them (a document of which a part is taken counts whole), with all their columns, whatever their names.
+
+    Null and empty texts are taken never. Rows that share an id and a size are documents of their own of which one is
+    as good as another; each is taken as often as the one of them taken most. An empty table gives an empty one.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    picked = mix(docs.select("doc_id", "text", "source"), F.array("source")).filter("taken > 0")
+    times = cut(picked.groupBy("doc_id", "size").agg(F.max(F.ceil(F.col("taken") / F.col("size")).cast("int")).alias("times")))
+    rows = docs.select(row, F.col("doc_id").alias("_doc"), word_count(text_of()).alias("_size"))
+    joined = rows.hint("merge").join(times.hint("merge"), F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_size") == F.col("size")))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -186,7 +186,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of `docs` that are predicted good, with all their columns."""
+    """The rows of `docs` that are predicted good, with all their columns, whatever their names.
+
+    Null and empty texts have a score like any other; repeated rows stay or go together; an empty table gives an empty one.
+    """
     model = train(docs, labels, rows)
     text = text_of()
     made = features(F.col("_text"))

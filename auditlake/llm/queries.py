@@ -4,10 +4,10 @@ from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .jaccard_join import OP5_SQL, op5_jaccard_join
 from .licenses import OP9_PLACES_SQL, op9_license_places, op9_licenses
-from .mixing import op6_mixing
+from .mixing import OP6_TARGETS_SQL, op6_mix_targets, op6_mixing
 from .quality import op2_quality
-from .secrets import op8_secrets
-from .sharding import op7_sharding
+from .secrets import OP8_COUNTS_SQL, op8_secret_counts, op8_secrets
+from .sharding import OP7_SIZES_SQL, op7_shard_sizes, op7_sharding
 from .tool_calls import OP1_SQL, OP1_STRICT_SQL, op1_tool_calls, op1_tool_calls_strict
 from .url_filter import OP3_JUNK_SQL, OP3_SQL, op3_url_filter, op3_url_filter_junk
 
@@ -20,8 +20,11 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_mixing": op6_mixing,
+    "op6_mix_targets": op6_mix_targets,
     "op7_sharding": op7_sharding,
+    "op7_shard_sizes": op7_shard_sizes,
     "op8_secrets": op8_secrets,
+    "op8_secret_counts": op8_secret_counts,
     "op9_licenses": op9_licenses,
     "op9_license_places": op9_license_places,
     "op10_decontaminate": op10_decontaminate,
@@ -33,6 +36,9 @@ ORACLE_SQL = {
     "op3_url_filter_junk": OP3_JUNK_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op5_jaccard_join": OP5_SQL,
+    "op6_mix_targets": OP6_TARGETS_SQL,
+    "op7_shard_sizes": OP7_SIZES_SQL,
+    "op8_secret_counts": OP8_COUNTS_SQL,
     "op9_license_places": OP9_PLACES_SQL,
     "op10_decontaminate": OP10_SQL,
 }

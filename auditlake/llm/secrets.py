@@ -35,6 +35,8 @@ RULES = [
 BASE = ("assign", "access", "hex")
 #: Bytes of text in a block of the index, and alternatives that a literal run may have.
 BLOCK, ALTERNATIVES = 4 << 20, 64
+#: Bytes whose trigrams are looked up at a time.
+WINDOW = 1 << 20
 
 
 def strings_of(items) -> tuple[set[str] | None, list[set[str]]]:
@@ -111,12 +113,15 @@ class Index:
 
     def candidates(self, texts: list[bytes]) -> list[np.ndarray | None]:
         """For each rule a mask over the texts; None where the rule scans them all."""
-        buf = np.frombuffer(b"\xff".join(texts).lower() + b"\xff\xff", np.uint8).astype(np.uint32)
+        whole = np.frombuffer(b"\xff".join(texts).lower() + b"\xff\xff", np.uint8)
         starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
-        ids = self.table[buf[:-2] << 16 | buf[1:-1] << 8 | buf[2:]]
-        at = np.flatnonzero(ids)
         postings = np.zeros((len(self.grams) + 1, len(texts)), bool)
-        postings[ids[at], np.searchsorted(starts, at, side="right") - 1] = True
+        # Of a very long text the trigrams are read a window at a time.
+        for begin in range(0, len(whole) - 2, WINDOW):
+            buf = whole[begin : begin + WINDOW + 2].astype(np.uint32)
+            ids = self.table[buf[:-2] << 16 | buf[1:-1] << 8 | buf[2:]]
+            at = np.flatnonzero(ids)
+            postings[ids[at], np.searchsorted(starts, at + begin, side="right") - 1] = True
         masks: list[np.ndarray | None] = []
         for query in self.queries:
             mask = None
@@ -178,3 +183,16 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join("found", ",").alias("spans"))
+
+
+def op8_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of `op8_secrets` that SQL can express."""
+    return op8_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+#: Names in either case, without the letters that only a Unicode folding would add.
+NAMES_SQL = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in name) for name in ("password", "passwd", "secret", "token", "api_?key"))
+OP8_COUNTS_SQL = rf"""
+SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '({NAMES_SQL})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex FROM documents
+"""

@@ -139,3 +139,18 @@ def shards_by_bytes(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES,
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards_by_bytes(read(spark, sf_dir, "documents"))
+
+
+def op7_shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of `op7_sharding` what SQL can express: sizes, whether slots run from 0 without gaps, and whether the shard is within a twentieth of an equal share, or all of it one text."""
+    rows = cut(op7_sharding(spark, sf_dir))
+    shards = cut(rows.groupBy(F.col("shard").alias("_shard")).agg(F.sum("size").alias("_bytes"), F.count("*").alias("_n"), F.min("slot").alias("_first"), F.max("slot").alias("_last"), F.count_distinct("slot").alias("_slots"), F.count_distinct("text_crc32").alias("_texts")))
+    share = F.broadcast(shards.agg((F.sum("_bytes") / SHARDS).alias("_share")))
+    near = (F.abs(F.col("_bytes") - F.col("_share")) <= F.col("_share") / 20) | (F.col("_texts") == 1)
+    gapless = (F.col("_first") == 0) & (F.col("_last") == F.col("_n") - 1) & (F.col("_slots") == F.col("_n"))
+    # One row, and one row for each shard.
+    checked = F.broadcast(shards.join(share, F.lit(True)).select("_shard", near.alias("near"), gapless.alias("gapless")))
+    return rows.join(checked, F.col("shard") == F.col("_shard")).select("doc_id", "size", "law", "near", "gapless")
+
+
+OP7_SIZES_SQL = "SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, 'bytes' AS law, true AS near, true AS gapless FROM documents"

@@ -1,9 +1,9 @@
 """URL filters: a blocked Bloom filter in front of an exact hash join.
 
 The list holds canonical URLs and host rules (a host with its subdomains, and a path prefix). Every listed key
-sets one bit in each word of one block of a Bloom filter, whose number of blocks is bounded. A page asks for its
-canonical URL and for its possible rules; what the filter passes is joined exactly with the list, which removes
-false positives. Keys that many pages ask for are salted in that join.
+sets one bit in each word of one block of a Bloom filter, which has a block for every eight keys. A page asks for its
+canonical URL and for its possible rules; what the filter passes is hash-joined exactly with the list, which removes
+false positives.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, read
+from .common import ascii_lower, cut, read, spread
 
 #: (host, path, verdict).
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -21,8 +21,8 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 TRACKING = "^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 #: Hosts of junk: gambling, advertising, spam, pills and adult pages, by a whole word of a label (words end at `.`, `-` or the port; of spam the beginning is enough).
 JUNK_HOST = r"(^|[.-])(casino|casinos|bet|bets|betting|ad|ads|spam[^.:-]*|pill|pills|adult|adults)([.:-]|$)"
-#: Blocks of the filter at most: 40 bytes each are sent to every executor.
-MAX_BLOCKS, WORDS, SALTS = 65_536, 4, 16
+#: Blocks of a filter that is sent whole to every executor, 40 bytes each; a larger one is dealt by block.
+MAX_BLOCKS, WORDS = 65_536, 4
 
 
 def host_of(url: Column) -> Column:
@@ -68,21 +68,24 @@ def url_verdicts(pages: DataFrame, listed_urls: DataFrame, rules: list = RULES,
 
     `listed_urls` has a column `url`. The longest rule that fits decides; without one a page is blocked when its
     canonical URL is listed (also in another spelling) and allowed otherwise. A null url, or one without `://`, has
-    an empty host and path, fits no rule and is not listed. Repeated rows are judged once and returned as often as
+    an empty host and path, fits no rule and is not listed. `rules` is a list written by the caller. Repeated rows are judged once and returned as often as
     they came. Extra columns are not read.
     """
-    rows = cut(pages.groupBy(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).agg(F.count("*").alias("times")))
+    rows = spread(cut(pages.groupBy(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).agg(F.count("*").alias("times"))))
     as_rules = pages.sparkSession.createDataFrame([(f"rule:{h}{p}", h + p, v) for h, p, v in rules], "key string, rule string, verdict string")
     as_urls = listed_urls.filter(F.col("url").contains("://")).select(F.concat(F.lit("url:"), canonical(F.col("url"))).alias("key")).distinct().select("key", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"))
     listed = cut(as_rules.unionByName(as_urls))
-    blocks = min(max_blocks, max(16, listed.count() // 8))
+    blocks = max(16, listed.count() // 8)
     asked = F.concat(rule_keys(F.col("url"), rules), F.when(F.col("url").contains("://"), F.array(F.concat(F.lit("url:"), canonical(F.col("url"))))).otherwise(F.array().cast("array<string>")))
     keys = rows.select("page_id", "url", F.explode(asked).alias("key"))
     filter_ = bloom(listed, blocks)
     set_ = reduce(Column.__and__, [F.col(f"w{i}").bitwiseAND(bit_of(F.col("key"), i)) != 0 for i in range(WORDS)])
-    passed = keys.withColumn("block", block_of(F.col("key"), blocks)).join(F.broadcast(filter_), "block").filter(set_)
-    salted = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    exact = passed.select("page_id", "url", "key", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt")).hint("shuffle_hash").join(salted.hint("shuffle_hash"), ["key", "salt"])
+    # A filter of few blocks goes to every executor; of a longer list, keys and blocks meet by block.
+    sent = F.broadcast(filter_) if blocks <= max_blocks else filter_.hint("shuffle_hash")
+    passed = cut(keys.withColumn("block", block_of(F.col("key"), blocks)).join(sent, "block").filter(set_).select("page_id", "url", "key"))
+    # Many pages ask for one rule, of which there are as many as the caller wrote down.
+    is_rule = F.col("key").startswith("rule:")
+    exact = passed.filter(is_rule).join(F.broadcast(as_rules), "key").unionByName(passed.filter(~is_rule).join(listed.filter(~is_rule).hint("shuffle_hash"), "key"))
     no_fit = F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
     fit = F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("length"), "rule", "verdict"))
     found = rows.select("page_id", "url", "times", no_fit.alias("fit"), F.lit(False).alias("listed")).unionByName(exact.select("page_id", "url", F.lit(0).cast("long").alias("times"), fit.alias("fit"), F.col("rule").isNull().alias("listed")))

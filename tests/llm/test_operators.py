@@ -1,9 +1,11 @@
 """The operators against brute-force versions, on small tables with the awkward cases in them."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -64,6 +66,22 @@ def test_trie_gives_a_subtree_away():
     assert trie.add(gone[0][0], "", 1, 1) is not None
 
 
+def test_trie_counts_what_it_holds():
+    """However often subtrees go, the count is that of the nodes there are."""
+    rng, trie, peak = random.Random(2), exact_dedup.Trie(), 0
+    for n in range(4000):
+        trie.add(bytes(rng.choice(b"abcdef") for _ in range(12)), "", 1, 1)
+        if trie.size > 40_000:
+            trie.give()
+        peak = max(peak, trie.size)
+        if n % 100 == 0:
+            nodes = [trie.root]
+            for x in nodes:
+                nodes += x.children.values()
+            assert trie.size == sum(len(x.label) + exact_dedup.NODE for x in nodes[1:])
+    assert peak < 41_000
+
+
 # 5 ------------------------------------------------------------------------------------------------------
 
 
@@ -222,11 +240,44 @@ def test_contamination(spark):
 def test_fair_targets_and_flow():
     assert mixing.fair_targets([100, 100, 10], [3, 1, 2], 315, 2) == pytest.approx([200, 95, 20])
     assert mixing.fair_targets([], [], 0, 2) == []
-    flow = mixing.cheapest_flow({("a",): 10, ("a", "b"): 10, ("b",): 2}, {"a": 25, "b": 8}, [1, 3])
+    flow = mixing.cheapest_flow({("a",): 10, ("a", "b"): 10, ("b",): 2}, {"a": 25, "b": 8}, 2)
     assert sum(n for (p, s), n in flow.items() if s == "a") == 25 and sum(n for (p, s), n in flow.items() if s == "b") == 8
     assert all(sum(n for (q, _), n in flow.items() if q == p) <= 2 * k for p, k in {("a",): 10, ("a", "b"): 10, ("b",): 2}.items())
 
 
+def test_flow_of_many_patterns():
+    """Least cost against every way on small networks; and ten thousand patterns in seconds."""
+    rng = random.Random(4)
+    for _ in range(60):
+        names = "abc"[: rng.randrange(1, 4)]
+        supply = {p: rng.randrange(1, 4) for p in {tuple(sorted(rng.sample(names, rng.randrange(1, len(names) + 1)))) for _ in range(3)}}
+        quota = {s: rng.randrange(0, 7) for s in names}
+        flow = mixing.cheapest_flow(supply, quota, 2)
+        sends = {p: sum(n for (q, _), n in flow.items() if q == p) for p in supply}
+        gets = {s: sum(n for (_, t), n in flow.items() if t == s) for s in names}
+        assert all(0 <= sends[p] <= 2 * n for p, n in supply.items()) and all(gets[s] <= quota[s] for s in names)
+
+        def feasible(want):  # Hall: every set of sources can take what only it is sent
+            groups = [set(c) for k in range(1, len(names) + 1) for c in itertools.combinations(names, k)]
+            return all(sum(w for p, w in want.items() if set(p) <= g) <= sum(quota[s] for s in g) for g in groups)
+
+        options = [dict(zip(supply, w, strict=True)) for w in itertools.product(*[range(2 * n + 1) for n in supply.values()])]
+        cost = lambda want: sum(w + 2 * max(0, w - supply[p]) for p, w in want.items())
+        best = min((-sum(w.values()), cost(w)) for w in options if feasible(w))
+        assert (-sum(sends.values()), cost(sends)) == best
+    supply = {tuple(sorted(rng.sample(range(400), rng.randrange(1, 5)))): rng.randrange(1, 10_000) for _ in range(10_000)}
+    began = time.time()
+    flow = mixing.cheapest_flow(supply, {s: rng.randrange(50_000, 400_000) for s in range(400)}, 2)
+    assert time.time() - began < 60 and sum(flow.values()) > 0
+
+
+def test_mixture_keeps_clashing_columns(spark):
+    rows = [(1, "a b c", "s", 1, 1, 1, 1), (1, "a b c", "s", 2, 2, 2, 2), (1, None, "s", 3, 3, 3, 3), (None, "d e", None, 4, 4, 4, 4), (2, "", "t", 5, 5, 5, 5), (3, "w " * 50_000, "t", 6, 6, 6, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _doc int, _times int, _copy int, row int")
+    got = mixing.mixture(docs)
+    assert got.columns == docs.columns and {r["row"] for r in got.collect()} <= {1, 2, 4, 6} and mixing.mixture(docs.limit(0)).count() == 0
+
+
 def test_mixing(spark):
     texts = sentences(20, 120, 30)
     rows = [(i, t if i % 5 else t[: i * 2]) for i, t in enumerate(texts)] + ODD + [(7, texts[7]), (7, texts[7])]
