@@ -19,27 +19,35 @@ from auditlake.llm.sharding import shards_by_bytes
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Null and empty texts have a score like any other, null ids are no label's; repeated rows stay or go together; a table
+    of any length of text, or of no rows, and columns of any other name pass through.
+    """
     return good_documents(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of the n-gram Jaccard join."""
+    """The document with the smallest doc_id of each component of the n-gram Jaccard join.
+
+    Ties (a repeated id) are settled by the text's hash; null ids come last, so they stay where a component has no other.
+    Texts without words are components of their own: they stay, repeated ones once for each id.
+    """
     return first_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Documents in which no benchmark window occurs. Null and empty texts stay; rows that share an id are judged each by its own text."""
     return clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. Texts without words are never taken; a null source is a source of its own."""
     return mixture(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document of the mix."""
+    """Shard and slot of every document of the mix; repeated rows, null ids and null texts have slots like any other."""
     return shards_by_bytes(docs)
 
 
