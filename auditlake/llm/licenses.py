@@ -13,12 +13,11 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, text_of, words_of
+from .common import once, read, text_of, words_of
 from .license_texts import TEXTS
 
 #: label, text, key phrase. Base phrases are key phrases altogether.
@@ -54,11 +53,6 @@ def place(template: int, offset: int) -> int:
     return (template << 40) + 2**32 - offset
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is computed once, however often `use` names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def inverse_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, float]:
     """log((documents + 1) / (documents with the word + 1)) of every word of the vocabulary, over all documents."""
     held = F.array_intersect(constant(vocabulary, "array<string>"), words_of(text_of(text_col)))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, text_of
+from .common import cut, once, read, text_of
 
 #: Tool -> field -> (JSON type, required[, rules: enum, minimum, maximum, items (a JSON type), properties (fields of an object)]).
 SCHEMAS = {"instruct": {"text": ("string", True), "turn": ("integer", True)}, "ask": {"text": ("string", True), "turn": ("integer", True)}}
@@ -68,11 +68,14 @@ def wrong_in(value: Column, fields: dict, label: str) -> Column:
 
 def complaints(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
     """What is wrong with a call's arguments (canonical JSON, so that 2.0 is an integer), in a fixed order; nothing for a valid call."""
-    value = F.try_parse_json(arguments)
-    branches = F.when(value.isNull(), F.array(F.lit("arguments are not JSON"))).when(~F.schema_of_variant(value).rlike("^OBJECT"), F.array(F.lit("arguments are not an object")))
-    for tool, fields in sorted(schemas.items()):
-        branches = branches.when(name == tool, wrong_in(value, fields, ""))
-    return branches.otherwise(F.array(F.lit("no such tool")))
+
+    def judged(value: Column) -> Column:
+        branches = F.when(value.isNull(), F.array(F.lit("arguments are not JSON"))).when(~F.schema_of_variant(value).rlike("^OBJECT"), F.array(F.lit("arguments are not an object")))
+        for tool, fields in sorted(schemas.items()):
+            branches = branches.when(name == tool, wrong_in(value, fields, ""))
+        return branches.otherwise(F.array(F.lit("no such tool")))
+
+    return once(F.try_parse_json(arguments), judged)
 
 
 def hashed(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -130,7 +133,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) ->
         "conv_id", "call_id", none("int", "topo_level"), none("long", "turn"), none("int", "place"), none("string", "name"), none("string", "arguments"), none("array<string>", "wrong"),
         F.col("content").alias("result"), F.col("turn").alias("result_turn"), F.lit("orphan").alias("status"))
     whole = linked.unionByName(orphans)
-    record = plain_numbers(F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), F.col("topo_level").alias("level"), "name", "result", "status")))
+    record = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), F.col("topo_level").alias("level"), "name", "result", "status"))
     valid, errors = F.coalesce(F.size("wrong") == 0, F.lit(False)), F.coalesce(F.array_join("wrong", "; "), F.lit(""))
     ends = ["conv_id", "call_id", "topo_level", "turn", "place", "name", "arguments", valid.alias("valid"), errors.alias("errors"), "result", "result_turn", "status", record.alias("record")]
     return whole.select(*ends)
