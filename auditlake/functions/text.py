@@ -112,7 +112,9 @@ def est_request_tokens(instructions: Column, prompt: Column) -> Column:
     return F.ceil((F.length(instructions) + F.length(prompt)) / 3).cast("int")
 
 
+# Lengths that prompts are cut to, and what they say there.
 CHUNK_CHARS, CUT_MARK, SNIPPET_OVERHEAD = 2500, "… [excerpt cut here]", 150
+EXPLAIN_CHARS, EXPLAIN_MARK = 12_000, "\n\n/* truncated for analysis */"
 
 
 def cut(col: Column, n: int, mark: str = "") -> Column:
@@ -120,6 +122,11 @@ def cut(col: Column, n: int, mark: str = "") -> Column:
     return F.when(F.length(col) > n, F.concat(F.substring(col, 1, n), F.lit(mark))).otherwise(col)
 
 
+def explain_cut(content: Column) -> Column:
+    """A file as a question about it shows it."""
+    return cut(content, EXPLAIN_CHARS, EXPLAIN_MARK)
+
+
 def snippet_chars(content: Column, path: Column) -> Column:
     """Characters that a chunk takes in a review request."""
     return F.least(F.length(content), F.lit(CHUNK_CHARS)) + F.when(F.length(content) > CHUNK_CHARS, len(CUT_MARK) + 1).otherwise(0) + F.length(path) + SNIPPET_OVERHEAD

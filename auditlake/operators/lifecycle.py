@@ -217,6 +217,25 @@ def revoke(state: DataFrame, requests: DataFrame, key: str, now: Column) -> Data
     return state.join(asked, key, "left").withColumn("revoked_at", F.when(F.col("_r") & F.col("revoked_at").isNull(), now).otherwise(F.col("revoked_at"))).select(state.columns)
 
 
+def cancel_subscriptions(users: DataFrame, ended: DataFrame) -> DataFrame:
+    """Users whose subscription (user_id) has ended, on the free plan and without it."""
+    gone = ended.select("user_id").distinct().withColumn("_ended", F.lit(True))
+    sets = {"plan": F.lit("free"), "plan_status": F.lit("canceled"), "subscription_id": F.lit(None), "price_id": F.lit(None)}
+    joined = users.join(gone, "user_id", "left")
+    return joined.withColumns({c: F.when(F.col("_ended"), v).otherwise(F.col(c)) for c, v in sets.items()}).select(users.columns)
+
+
+def split_scores(reports: DataFrame) -> DataFrame:
+    """project_id, scores (category -> number), summaries (category -> redacted text), skip_reason of reports with category_scores as stored: JSON of all three."""
+    stored = F.col("category_scores")
+    keys = F.filter(F.json_object_keys(stored), lambda k: ~k.isin("summaries", "aiReviewSkipped"))
+    scores = F.map_filter(F.from_json(stored, "map<string,string>"), lambda k, v: F.array_contains(keys, k))
+    summaries = F.from_json(F.get_json_object(stored, "$.summaries"), "map<string,string>")
+    return reports.select(
+        "project_id", F.transform_values(scores, lambda k, v: v.cast("double")).alias("scores"), F.transform_values(summaries, lambda k, v: text.redact_public(v)).alias("summaries"),
+        F.get_json_object(stored, "$.aiReviewSkipped").alias("skip_reason"))
+
+
 def refund(usage: DataFrame, refunds: DataFrame) -> DataFrame:
     return usage.join(refunds, "event_id", "left_anti")
 

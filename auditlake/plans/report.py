@@ -24,7 +24,7 @@ def project_tables(files: DataFrame, sizes: DataFrame, min_lines: int = rules.LA
 
 
 def build_reports(files: DataFrame, sizes: DataFrame, claims: DataFrame | None = None, chunks: DataFrame | None = None, min_lines: int = rules.LARGE_FILE, policy: str = "diminishing") -> DataFrame:
-    """One row per project: scores by category, health, the three summaries and the grouped issues, worst first.
+    """One row per project: scores by category, health, `summaries` (three sentences) and the grouped `issues`, worst first.
 
     claims and chunks: what a reviewer claims and was shown; without them the report holds the rules' findings alone.
     """
@@ -37,4 +37,5 @@ def build_reports(files: DataFrame, sizes: DataFrame, claims: DataFrame | None =
     scores = scoring.POLICIES[policy](tables["measures"], grouped if policy == "diminishing" else found)
     issue = F.struct(fi.text.severity_rank(F.col("severity")).alias("rank"), "category", "ord", "severity", "title", "description", "file_path", "occurrences")
     issues = grouped.groupBy("project_id").agg(F.array_sort(F.collect_list(issue)).alias("issues"))  # rules and reviews cap a project's findings
-    return scores.join(rules.summaries(tables["measures"]), "project_id").join(issues, "project_id", "left")
+    said = rules.summaries(tables["measures"]).select("project_id", F.struct("code_quality", "testing", "security").alias("summaries"))
+    return scores.join(said, "project_id").join(issues, "project_id", "left")
