@@ -17,9 +17,9 @@ MAX_CHUNKS, MAX_CHARS, MAX_ISSUES = 24, 19_000, 10
 
 
 def rank_chunks_in_file(chunks: DataFrame) -> DataFrame:
-    """`turn`: a file's chunks by risk, then line; `risk`, and `chars`, what a chunk takes in a request."""
+    """`turn`: a file's chunks by risk, then line, then their order in it (`seq`, where it is known); `risk`, and `chars`, what a chunk takes in a request."""
     scored = chunks.withColumns({"risk": text.risk_score(F.col("content")), "chars": text.snippet_chars(F.col("content"), F.col("file_path"))})
-    return scored.withColumn("turn", F.row_number().over(Window.partitionBy("project_id", "file_path").orderBy(F.desc("risk"), F.coalesce("start_line", F.lit(0)), "content")))
+    return scored.withColumn("turn", F.row_number().over(Window.partitionBy("project_id", "file_path").orderBy(F.desc("risk"), F.coalesce("start_line", F.lit(0)), *[c for c in ("seq", "content") if c in chunks.columns])))
 
 
 def rank_files(ranked: DataFrame) -> DataFrame:

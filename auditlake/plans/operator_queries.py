@@ -446,7 +446,7 @@ RISK_SQL = " + ".join("regexp_matches(content, '" + p.replace("'", "''") + "')::
 SAMPLE_SQL = rf"""WITH RECURSIVE {FILES}, p AS (SELECT project_id, path AS file_path, content AS whole, unnest(range(0, greatest(1, ceil((length(content) - 200) / 1400))::INT)) AS seq FROM files WHERE length(content) > 0),
 c AS (SELECT project_id, file_path, seq, rtrim(whole[seq * 1400 + 1:seq * 1400 + 1600], ' ' || chr(9) || chr(10) || chr(13)) AS content, 1 + length(whole[1:seq * 1400]) - length(replace(whole[1:seq * 1400], chr(10), '')) AS start_line FROM p),
 k AS (SELECT *, {RISK_SQL} AS risk, least(length(content), 2500) + CASE WHEN length(content) > 2500 THEN {len(text.CUT_MARK) + 1} ELSE 0 END + length(file_path) + 150 AS chars FROM c WHERE content <> ''),
-r AS (SELECT *, row_number() OVER (PARTITION BY project_id, file_path ORDER BY risk DESC, start_line, content) AS turn FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY project_id, file_path ORDER BY risk DESC, start_line, seq) AS turn FROM k),
 f AS (SELECT project_id, file_path, CASE WHEN risk > 0 THEN 1 ELSE 5 END AS level, risk, split_part(file_path, '/', 1) AS dir, row_number() OVER (PARTITION BY project_id ORDER BY CASE WHEN risk > 0 THEN 1 ELSE 5 END, risk DESC, file_path) AS file_rank FROM r WHERE turn = 1),
 g AS (SELECT *, row_number() OVER (PARTITION BY project_id, level, dir ORDER BY file_rank) AS dir_turn, min(file_rank) OVER (PARTITION BY project_id, level, dir) AS dir_first FROM f),
 h AS (SELECT project_id, file_path, row_number() OVER (PARTITION BY project_id ORDER BY level, dir_turn, dir_first) AS place FROM g),

@@ -17,16 +17,28 @@ from pyspark.sql import types as T
 from ..functions import paths
 
 MAX_ENTRIES, MAX_FILES, MAX_BYTES, MAX_FILE_BYTES = 50_000, 1000, 100 << 20, 500 << 10
+#: Bytes of all entries, also those that are filtered later, after which an archive is not read on.
+READ_BYTES = 16 * MAX_BYTES
 ENTRY = "project_id string, entry_path string, size_bytes long, bytes binary, verdict string"
 
 
-def unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of archives, read up to the cap of a file: what an entry's header says of its size is not believed."""
+def named(path: str, root: str) -> str:
+    """A project's name: its archive's path below the folder that is read, without the ending; so equal names in two folders are two projects."""
+    folder = root.rstrip("/").split("://")[-1]
+    below = path.split(folder + "/", 1)[-1] if folder and "*" not in folder and folder + "/" in path else path
+    return below.removesuffix(".zip")
+
+
+def unzip(frames: Iterator[pd.DataFrame], root: str = "") -> Iterator[pd.DataFrame]:
+    """Entries of archives, read up to the cap of a file: what an entry's header says of its size is not believed.
+
+    An archive of which more than the cap of a project has been read is read no further.
+    """
     cols = ENTRY.split(", ")
     names = [c.split()[0] for c in cols]
     for f in frames:
         for path, content in zip(f["path"], f["content"], strict=True):
-            project = path.rsplit("/", 1)[-1].removesuffix(".zip")
+            project, total = named(path, root), 0
             held: list[tuple] = []
             try:
                 archive = zipfile.ZipFile(io.BytesIO(content))
@@ -40,6 +52,10 @@ def unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     with archive.open(e) as stream:
                         body = stream.read(MAX_FILE_BYTES + 1)
                     large = len(body) > MAX_FILE_BYTES
+                    total += len(body)
+                    if total > READ_BYTES:
+                        held.append((project, None, total, None, "too_large_archive"))
+                        break
                     held.append((project, e.filename, len(body), None if large else body, "too_large" if large else "ok"))
                     if len(held) >= 200:
                         yield pd.DataFrame(held, columns=names)
@@ -51,8 +67,9 @@ def unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of all ZIP archives at a path, one task per archive or more archives a task; a project is named by its archive."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content").mapInPandas(unzip, ENTRY)
+    """Entries of all ZIP archives below a path, one task per archive or more archives a task; a project is named by its archive's path below that."""
+    held = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return held.mapInPandas(lambda frames: unzip(frames, path), ENTRY)
 
 
 def strip_common_root(entries: DataFrame) -> DataFrame:
@@ -112,16 +129,22 @@ def decode_text(entries: DataFrame) -> DataFrame:
     return made.filter(~F.col("content").contains("\x00"))
 
 
-def import_verdict(entries: DataFrame, skipped: Column | None = None) -> DataFrame:
-    """project_id, ok, error, total_bytes, skipped_large of each project's entries."""
-    source = paths.keep_path(F.col("entry_path")) & paths.is_source_file(F.col("entry_path"))
-    read = source & (F.col("verdict") == "ok")
+def import_verdict(entries: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """project_id, ok, error, total_bytes, skipped_large of each project's entries, without those that its ignore file (`patterns`) leaves out.
+
+    Source files count towards the limit whatever their size; the bytes are those of what is read, manifests included.
+    """
+    if patterns is not None:
+        entries = apply_ignore(entries.withColumn("path", paths.normalise(F.coalesce("entry_path", F.lit("")))), patterns).drop("path")
+    kept = F.coalesce(paths.keep_path(F.col("entry_path")), F.lit(False))
+    source = kept & paths.is_source_file(F.col("entry_path"))
+    read = (source | (kept & (paths.basename(F.col("entry_path")) == "package.json"))) & (F.col("verdict") == "ok")
     sums = entries.groupBy("project_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("verdict") == "corrupt").alias("bad"), F.count_if(F.col("verdict") == "too_many_entries").alias("many"), F.count_if(read).alias("sources"),
+        F.count("*").alias("n"), F.count_if(F.col("verdict") == "corrupt").alias("bad"), F.count_if(F.col("verdict") == "too_many_entries").alias("many"), F.count_if(source).alias("sources"), F.count_if(read & source).alias("usable"), F.count_if(F.col("verdict") == "too_large_archive").alias("huge"),
         F.coalesce(F.sum(F.when(read, F.col("size_bytes"))), F.lit(0)).alias("total_bytes"), F.count_if(source & (F.col("verdict") == "too_large")).alias("skipped_large"))
     error = (
         F.when(F.col("bad") > 0, "corrupt archive").when((F.col("many") > 0) | (F.col("n") > MAX_ENTRIES), "too many entries").when(F.col("sources") > MAX_FILES, "too many source files")
-        .when(F.col("total_bytes") > MAX_BYTES, "too large").when(F.col("sources") == 0, "no source files")
+        .when((F.col("total_bytes") > MAX_BYTES) | (F.col("huge") > 0), "too large").when(F.col("usable") == 0, "no source files")
     )
     return sums.select("project_id", error.isNull().alias("ok"), error.alias("error"), "total_bytes", "skipped_large")
 

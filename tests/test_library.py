@@ -176,11 +176,16 @@ def test_archives(spark, tmp_path):
         z.writestr("root/.gitignore", "gen.ts\n!keep.ts\n# no\n")
         z.writestr("root/package.json", json.dumps({"dependencies": {"next": "1", "react": "2"}}))
     (tmp_path / "p.zip").write_bytes(body.getvalue())
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/p.zip").write_bytes(body.getvalue())
     (tmp_path / "bad.zip").write_bytes(b"nonsense")
     entries = archives.strip_common_root(archives.read_archives(spark, str(tmp_path)))
     verdicts = {r["project_id"]: r for r in archives.import_verdict(entries).collect()}
     assert verdicts["p"]["ok"] and verdicts["p"]["skipped_large"] == 1 and verdicts["bad"]["error"] == "corrupt archive"
-    files = archives.decode_text(entries)
+    assert verdicts["other/p"]["ok"] and verdicts["p"]["total_bytes"] == 20 + len(json.dumps({"dependencies": {"next": "1", "react": "2"}}))
+    files = archives.decode_text(entries).filter("project_id = 'p'")
+    ignored = {r["project_id"]: r["total_bytes"] for r in archives.import_verdict(entries, archives.ignore_patterns(files)).collect()}
+    assert ignored["p"] == verdicts["p"]["total_bytes"] - 10 and ignored["other/p"] == verdicts["p"]["total_bytes"]
     kept = archives.apply_ignore(files, archives.ignore_patterns(files))
     assert {r["path"] for r in kept.collect()} == {"src/a.ts", ".gitignore", "package.json"}
     assert archives.detect_framework(files, files.select("project_id", "path")).first()["framework"] == "Next.js"
@@ -265,3 +270,56 @@ def test_daily_counters_and_redaction_stream(spark, tmp_path):
 def test_entry_and_names(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_type_declarations_go(spark):
+    logic = {"interface A { f(): () => void }": False, "type B =\n  | (() => void)\n  | null;": False, "export declare type C = { g: (x: number) => void }\nconst c = 1": False, "type D = string\nexport const f = () => 1": True, "interface E { a: Array<{ b: () => void }> }\nclass F {}": True, "type G = {\n h(): Promise<() => void>": False, "const s = 'return'; // function": False}
+    rows = spark.createDataFrame(list(enumerate(logic)), "i int, content string")
+    got = {r["i"]: r["x"] for r in rows.select("i", graph.has_logic(F.col("content")).alias("x")).collect()}
+    assert got == dict(enumerate(logic.values()))
+
+
+def test_answers_that_fall_short(spark):
+    said = {"The snippets do not define it.": True, "Your code doesn't reference X": True, "The code does not have a bug.": False, "The repository does not provide it": False, "There is no such thing": True, "All good": False}
+    rows = spark.createDataFrame(list(enumerate(said)), "i int, t string")
+    assert {r["i"]: r["x"] for r in rows.select("i", text.abstains(F.col("t")).alias("x")).collect()} == dict(enumerate(said.values()))
+
+
+def test_nearest_by_the_raw_value(spark):
+    rows = [("p", 9, [1.0, 0.0]), ("p", 1, [1.0, 0.001])]
+    chunks_ = spark.createDataFrame(rows, "project_id string, chunk_id int, embedding array<double>")
+    query = spark.createDataFrame([("p", 0, [1.0, 0.0])], "project_id string, query_id int, embedding array<double>")
+    assert [r["chunk_id"] for r in vectors.vector_topk(query, chunks_).orderBy("rank").collect()] == [9, 1]
+
+
+def test_rate_limit_over_several_batches(spark, tmp_path):
+    """Hits of one key that come in frames of two rows, out of order, are decided in order of time."""
+    t, schema = dt.datetime(2026, 1, 1), "key string, ts timestamp, max int, window_seconds int"
+    rows = [("k", t + dt.timedelta(seconds=s), 3, 100) for s in (0, 50, 120, 10, 60, 130)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        stream = jobs.rate_limit(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        stream.writeStream.format("memory").queryName("frames").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r["n"] for r in spark.table("frames").orderBy("ts").collect()] == [1, 2, 3, 4, 1, 2]
+
+
+def test_streams_of_progress_and_drafts(spark, tmp_path):
+    t = dt.datetime(2026, 1, 1)
+    rows = [(1, t, "processing"), (2, t, "processing"), (2, t + dt.timedelta(minutes=1), "failed"), (3, t + dt.timedelta(hours=5), "processing")]
+    schema = "project_id long, ts timestamp, status string"
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], schema).write.mode("append").parquet(str(tmp_path / "p"))
+    silent = jobs.detect_stuck(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "p")))
+    silent.writeStream.format("memory").queryName("silent").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start().awaitTermination()
+    assert [r["project_id"] for r in spark.table("silent").collect()] == [1]
+    spark.createDataFrame([("p", "a"), ("p", "a"), ("p", "b")], "project_id string, content string").write.parquet(str(tmp_path / "d"))
+    kept: list = []
+    cache = lambda s: s.createDataFrame(kept, "project_id string, content_hash string, embedding array<float>, embedding_model string")
+    for n in range(2):
+        drafts = spark.readStream.schema("project_id string, content string").parquet(str(tmp_path / "d"))
+        jobs.embed_stream(drafts, cache, lambda df, _: kept.extend(tuple(r) for r in df.collect()), "m", lambda texts: [[float(len(x)), 1.0] for x in texts], 2, str(tmp_path / f"e{n}")).awaitTermination()
+    assert len(kept) == 2
