@@ -53,7 +53,7 @@ def chunk_spans(files: DataFrame, spans: DataFrame) -> DataFrame:
     """A chunk per declaration, in order: large ones split, tiny expressions left out; files without spans whole or split; blank files give none."""
     files = files.filter(F.col("content").rlike(r"(?U)\S"))
     spans = spans.dropDuplicates(["project_id", "file_path", "start_offset", "end_offset", "node_type"])
-    joined = files.withColumnRenamed("path", "file_path").join(spans, ["project_id", "file_path"], "left")
+    joined = files.withColumnRenamed("path", "file_path").hint("merge").join(spans.hint("merge"), ["project_id", "file_path"], "left")
     declared = F.col("start_offset").isNotNull()
     body = F.when(declared, F.regexp_replace(F.substr("content", F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset")), r"(?U)^\s+|\s+$", "")).otherwise(F.col("content"))
     cut = joined.select("project_id", "file_path", "node_type", F.coalesce("start_offset", F.lit(0)).alias("offset"), body.alias("body"), F.when(declared, F.col("start_line")).otherwise(1).alias("first"), F.when(declared, F.col("end_line")).otherwise(text.line_count(F.col("content"))).alias("last"))

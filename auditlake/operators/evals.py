@@ -58,7 +58,7 @@ def precision_recall(cases: DataFrame, findings: DataFrame, expected: DataFrame,
     """
     counted = lambda df, name: df.groupBy("case").agg(F.count("*").alias(name))
     parts = [counted(findings, "found"), counted(expected, "wanted"), counted(matches, "hits")]
-    cases = reduce(lambda a, b: a.join(b, "case", "left"), parts, cases.select("case").distinct()).na.fill(0, ["found", "wanted", "hits"])
+    cases = reduce(lambda a, b: a.hint("merge").join(b.hint("merge"), "case", "left"), parts, cases.select("case").distinct()).na.fill(0, ["found", "wanted", "hits"])
     pooled = cases.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("found", "wanted", "hits")]).select(F.lit(None).cast("string").alias("case"), "found", "wanted", "hits")
     return cases.unionByName(pooled).select("*", ratio(F.col("hits"), F.col("found")).alias("precision"), ratio(F.col("hits"), F.col("wanted")).alias("recall"))
 
@@ -107,7 +107,7 @@ def classify_citations(cited: DataFrame, retrieved: DataFrame, known: DataFrame)
     named = lambda df, keys: df.select(*keys, F.explode(F.array(F.col("path"), paths.basename(F.col("path")))).alias("as")).distinct()
     got = named(retrieved, ["repo", "question"]).withColumn("_r", F.lit(True))
     all_ = named(known, ["repo"]).withColumn("_k", F.lit(True))
-    joined = cited.join(got, ["repo", "question", "as"], "left").join(all_, ["repo", "as"], "left")
+    joined = cited.hint("merge").join(got.hint("merge"), ["repo", "question", "as"], "left").hint("merge").join(all_.hint("merge"), ["repo", "as"], "left")
     return joined.withColumn("kind", F.when(F.col("_r"), "retrieved").when(F.col("_k"), "unseen").otherwise("unknown")).drop("_r", "_k")
 
 

@@ -40,7 +40,7 @@ def import_edges(files: DataFrame) -> DataFrame:
     target = lambda col: paths.module_key(paths.resolve_import(path, F.col(col)))
     edges = seen.select("project_id", "path", "from_test", F.explode("specs").alias("spec")).select("project_id", "path", "from_test", target("spec").alias("target")).filter("target IS NOT NULL").distinct()
     mocked = seen.filter("from_test").select("project_id", "path", F.explode("mocked").alias("spec")).select("project_id", "path", target("spec").alias("target")).distinct()
-    real = edges.join(mocked, ["project_id", "path", "target"], "left_anti")
+    real = edges.hint("merge").join(mocked.hint("merge"), ["project_id", "path", "target"], "left_anti")
     return real.select("project_id", paths.module_key(path).alias("source"), "target", paths.is_facade(path).alias("facade"), "from_test").distinct()
 
 
@@ -72,7 +72,7 @@ def tested_by_name(sources: DataFrame, tests: DataFrame) -> DataFrame:
     guess = tests.select("project_id", paths.guess_source(F.col("path")).alias("guess")).distinct()
     ends = F.col("guess").endswith(F.col("bare")) | F.col("bare").endswith(F.col("guess"))
     base, guess = base.withColumn("last", paths.basename(F.col("bare"))), guess.withColumn("last", paths.basename(F.col("guess")))
-    whole = base.join(guess, ["project_id", "last"]).filter(ends)
+    whole = base.hint("merge").join(guess.hint("merge"), ["project_id", "last"]).filter(ends)
     flat = lambda df, col: df.filter(~F.col(col).contains("/")).drop("last")
     loose = [flat(base, "bare").join(guess.drop("last"), "project_id").filter(ends), base.drop("last").join(flat(guess, "guess"), "project_id").filter(ends)]
     return whole.select("project_id", "path").unionByName(loose[0].select("project_id", "path")).unionByName(loose[1].select("project_id", "path")).distinct()

@@ -27,6 +27,11 @@ def plan_table(spark) -> DataFrame:
     return spark.createDataFrame(PLANS, "plan string, max_projects int, analyses_per_day int, tokens_per_day long, chat_per_hour int")
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A caller's list, sent to every task once it is counted and is one; a longer one is joined as Spark sees fit."""
+    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most else df
+
+
 def effective_plan(plan: Column, status: Column) -> Column:
     """Premium only while active or in its grace period."""
     return F.when((plan == "premium") & status.isin("active", "past_due"), "premium").otherwise("free")
@@ -35,7 +40,7 @@ def effective_plan(plan: Column, status: Column) -> Column:
 def with_limits(users: DataFrame, plans: DataFrame) -> DataFrame:
     """Users with their effective plan and its limits. `plans` has a row for each plan."""
     named = users.withColumn("effective_plan", effective_plan(F.col("plan"), F.col("plan_status")))
-    return named.join(F.broadcast(plans.withColumnRenamed("plan", "effective_plan")), "effective_plan", "left")
+    return named.join(small(plans.withColumnRenamed("plan", "effective_plan")), "effective_plan", "left")
 
 
 def entitlements(subs: DataFrame, price_id: str) -> DataFrame:
@@ -95,7 +100,7 @@ def quota_verdicts(snapshot: DataFrame) -> DataFrame:
 
 def with_price(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Calls with their model's price, null for an unknown one. `prices` is a list of models."""
-    return calls.join(F.broadcast(prices), "model", "left")
+    return calls.join(small(prices), "model", "left")
 
 
 def call_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
@@ -106,7 +111,7 @@ def call_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
 
 def with_switch(df: DataFrame, switches: DataFrame) -> DataFrame:
     """`enabled` of each row's feature; a feature without a switch is on. `switches` is a list of features."""
-    return df.join(F.broadcast(switches), "feature", "left").withColumn("enabled", F.coalesce("enabled", F.lit(True)))
+    return df.join(small(switches), "feature", "left").withColumn("enabled", F.coalesce("enabled", F.lit(True)))
 
 
 def profile(df: DataFrame, by: str, values: list[str], exact: bool = True, ok: str | None = None, cost: str | None = None) -> DataFrame:

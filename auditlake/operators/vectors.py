@@ -69,7 +69,7 @@ def reuse_vectors(drafts: DataFrame, known: DataFrame, fresh: DataFrame) -> Data
     """Drafts with content_hash, embedding and whether it was reused; of both, the known vector counts."""
     hashed = drafts.withColumn("content_hash", text.content_hash(F.col("content")))
     keys = ["project_id", "content_hash"]
-    joined = hashed.join(known.select(*keys, F.col("embedding").alias("_known")), keys, "left").join(fresh.select(*keys, F.col("embedding").alias("_fresh")), keys, "left")
+    joined = hashed.hint("merge").join(known.select(*keys, F.col("embedding").alias("_known")).hint("merge"), keys, "left").hint("merge").join(fresh.select(*keys, F.col("embedding").alias("_fresh")).hint("merge"), keys, "left")
     return joined.select(*drafts.columns, "content_hash", F.coalesce("_known", "_fresh").alias("embedding"), F.col("_known").isNotNull().alias("reused"))
 
 
@@ -96,7 +96,7 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, key: str
 def retrieve(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, key: str = "chunk_id") -> DataFrame:
     """Top-k chunks of each question with their place in the sources."""
     sources = chunks.select("project_id", key, "file_path", "start_line", "end_line", "content")
-    return vector_topk(questions, chunks, k, key).join(sources, ["project_id", key])
+    return vector_topk(questions, chunks, k, key).hint("merge").join(sources.hint("merge"), ["project_id", key])
 
 
 def first_hit_rank(topk: DataFrame, expected: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def strip_common_root(entries: DataFrame) -> DataFrame:
     """Paths without their first folder, in projects whose entries all share one."""
     top = F.substring_index("entry_path", "/", 1)
     roots = entries.filter("entry_path IS NOT NULL").groupBy("project_id").agg((F.min(top) == F.max(top)).alias("_one"), F.min(F.size(F.split("entry_path", "/"))).alias("_depth"))
-    joined = entries.join(roots, "project_id", "left")
+    joined = entries.hint("merge").join(roots.hint("merge"), "project_id", "left")
     bare = F.when(F.col("_one") & (F.col("_depth") > 1), F.expr("substring(entry_path, length(substring_index(entry_path, '/', 1)) + 2)")).otherwise(F.col("entry_path"))
     return joined.withColumn("entry_path", bare).drop("_one", "_depth")
 
@@ -119,8 +119,8 @@ def ignore_patterns(files: DataFrame) -> DataFrame:
 
 def apply_ignore(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """Files that the last pattern matching them does not exclude."""
-    hit = files.select("project_id", "path").join(patterns, "project_id").filter(F.expr("path RLIKE regex")).groupBy("project_id", "path").agg(F.max_by("negated", "ord").alias("_kept"))
-    return files.join(hit.filter("NOT _kept"), ["project_id", "path"], "left_anti")
+    hit = files.select("project_id", "path").hint("merge").join(patterns.hint("merge"), "project_id").filter(F.expr("path RLIKE regex")).groupBy("project_id", "path").agg(F.max_by("negated", "ord").alias("_kept"))
+    return files.hint("merge").join(hit.filter("NOT _kept").hint("merge"), ["project_id", "path"], "left_anti")
 
 
 def decode_text(entries: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def detect_framework(files: DataFrame, all_paths: DataFrame) -> DataFrame:
     deps = shallowest(files).select("project_id", F.concat(*[F.coalesce(F.json_object_keys(F.get_json_object("content", f"$.{k}")), F.array().cast("array<string>")) for k in ("dependencies", "devDependencies")]).alias("deps"))
     config = lambda stem: F.max(paths.basename(F.col("path")).rlike("^" + stem.replace(".", r"\.") + r"\.(js|mjs|cjs|ts|mts)$"))
     seen = all_paths.groupBy("project_id").agg(*[config(stem).alias(f"c{i}") for i, (stem, _) in enumerate(CONFIGS)], F.max(F.col("path").rlike(r"\.tsx?$")).alias("ts"), F.max(F.col("path").rlike(r"\.jsx?$")).alias("js"))
-    joined = seen.join(deps, "project_id", "left")
+    joined = seen.hint("merge").join(deps.hint("merge"), "project_id", "left")
     by_deps = F.coalesce(*[F.when(F.array_contains("deps", d), F.lit(name)) for d, name in FRAMEWORKS])
     by_config = F.coalesce(*[F.when(F.col(f"c{i}"), F.lit(name)) for i, (_, name) in enumerate(CONFIGS)])
     return joined.select("project_id", F.coalesce(by_deps, by_config, F.when(F.col("ts"), "TypeScript").when(F.col("js"), "JavaScript").otherwise("Unknown")).alias("framework"))
