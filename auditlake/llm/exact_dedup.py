@@ -102,7 +102,9 @@ class Trie:
         for x in below:
             below += x.children.values()
             self.size -= len(x.label) + NODE
-        child.children, child.end, child.given = {}, None, True
+        # Of its label one byte stays, so that the trie gets as small as what it keeps; all that begins alike follows it.
+        self.size -= len(child.label) - 1
+        child.label, child.children, child.end, child.given = child.label[:1], {}, None, True
         at = len(prefix) + len(child.label)
         return (prefix + child.label).hex()[:64] + f"/{at}", gone
 
