@@ -457,3 +457,17 @@ ORACLE_SQL["w7_round_robin"] = SAMPLE_SQL.split(",\nb AS (")[0] + " SELECT proje
 ORACLE_SQL["w9_review_sample"] = f"{SAMPLE_SQL} SELECT project_id, file_path, seq, chars FROM s"
 ORACLE_SQL["a35_sample_stats"] = f"{SAMPLE_SQL} SELECT project_id, count(*) AS chunks, sum(least(length(content), 2500)) AS chars, count(DISTINCT file_path) AS files, count(DISTINCT split_part(file_path, '/', 1)) AS directories, 0 AS tests, ceil(sum(least(length(content), 2500)) / 4) AS tokens FROM s GROUP BY project_id"
 ORACLE_SQL["f4_prompt_version"] = "SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN lower(printf('%08x', list_reduce(list_concat([2166136261::BIGINT], list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295))) END AS version FROM conversations"
+
+
+def redact_sql() -> str:
+    """Nested replacements, with an alternative for each quotation mark in place of the reference back to it."""
+    quoted = "(?:" + "|".join(f"({q})[^\"'`\\n]{{4,}}{q}" for q in "\"'`") + ")"
+    sql = "text"
+    for pattern, put in text.LOG_SECRETS + text.PUBLIC_SECRETS:
+        pattern = pattern.replace("([\"'`])[^\"'`\\n]{4,}\\3", quoted)
+        put = put.replace("$3", "\\3\\4\\5").replace("$", "\\")
+        sql = f"regexp_replace({sql}, '{pattern.replace(chr(39), chr(39) * 2)}', '{put}', 'g')"
+    return sql
+
+
+ORACLE_SQL["f10_redact_public"] = f"SELECT doc_id, sha256(redacted) AS redacted, redacted <> text AS changed FROM (SELECT doc_id, text, {redact_sql()} AS redacted FROM documents)"
