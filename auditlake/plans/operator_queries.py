@@ -459,15 +459,17 @@ ORACLE_SQL["a35_sample_stats"] = f"{SAMPLE_SQL} SELECT project_id, count(*) AS c
 ORACLE_SQL["f4_prompt_version"] = "SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN lower(printf('%08x', list_reduce(list_concat([2166136261::BIGINT], list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295))) END AS version FROM conversations"
 
 
-def redact_sql() -> str:
+def redact_sql(pairs: list[tuple[str, str]]) -> str:
     """Nested replacements, with an alternative for each quotation mark in place of the reference back to it."""
     quoted = "(?:" + "|".join(f"({q})[^\"'`\\n]{{4,}}{q}" for q in "\"'`") + ")"
     sql = "text"
-    for pattern, put in text.LOG_SECRETS + text.PUBLIC_SECRETS:
+    for pattern, put in pairs:
         pattern = pattern.replace("([\"'`])[^\"'`\\n]{4,}\\3", quoted)
         put = put.replace("$3", "\\3\\4\\5").replace("$", "\\")
         sql = f"regexp_replace({sql}, '{pattern.replace(chr(39), chr(39) * 2)}', '{put}', 'g')"
     return sql
 
 
-ORACLE_SQL["f10_redact_public"] = f"SELECT doc_id, sha256(redacted) AS redacted, redacted <> text AS changed FROM (SELECT doc_id, text, {redact_sql()} AS redacted FROM documents)"
+ORACLE_SQL["f10_redact_public"] = f"SELECT doc_id, sha256(redacted) AS redacted, redacted <> text AS changed FROM (SELECT doc_id, text, {redact_sql(text.LOG_SECRETS + text.PUBLIC_SECRETS)} AS redacted FROM documents)"
+ORACLE_SQL["t7_redact"] = f"""WITH r AS (SELECT doc_id, {redact_sql(text.LOG_SECRETS)} AS t FROM documents), m AS (SELECT doc_id, CASE WHEN length(t) > 2000 THEN t[1:2000] || '…' ELSE t END AS t FROM r)
+SELECT doc_id::VARCHAR AS id, '[REDACTED]' AS api_key, length('{{"id":"' || doc_id || '",' || coalesce('"message":' || to_json(t) || ',', '') || '"api_key":"[REDACTED]"}}') AS chars FROM m"""
