@@ -2,6 +2,7 @@
 
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .jaccard_join import OP5_SQL, op5_jaccard_join
 from .licenses import OP9_PLACES_SQL, op9_license_places, op9_licenses
 from .mixing import OP6_TARGETS_SQL, op6_mix_targets, op6_mixing
@@ -30,6 +31,7 @@ QUERIES = {
     "op9_license_places": op9_license_places,
     "op10_decontaminate": op10_decontaminate,
     "op12_suffix_repeats": op12_suffix_repeats,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL = {
     "op1_tool_calls": OP1_SQL,
@@ -44,4 +46,5 @@ ORACLE_SQL = {
     "op9_license_places": OP9_PLACES_SQL,
     "op10_decontaminate": OP10_SQL,
     "op12_suffix_repeats": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
