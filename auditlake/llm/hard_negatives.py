@@ -26,7 +26,6 @@ BLOCK = 512 << 10
 #: Scores are kept within what a long holds with either sign.
 LIMIT = (1 << 63) - 1
 
-ROW = "id long, label long, v array<long>"
 BLOCKS = "ids array<long>, labels array<long>, dims int, data binary, lows array<array<long>>, highs array<array<long>>"
 SCHEMA = pa.schema([
     ("ids", pa.list_(pa.int64())), ("labels", pa.list_(pa.int64())), ("dims", pa.int32()), ("data", pa.binary()),

@@ -9,6 +9,7 @@ from .mixing import OP6_TARGETS_SQL, op6_mix_targets, op6_mixing
 from .quality import op2_quality
 from .secrets import OP8_COUNTS_SQL, op8_secret_counts, op8_secrets
 from .sharding import OP7_SIZES_SQL, op7_shard_sizes, op7_sharding
+from .spelling import OP11_SQL, op11_spelling
 from .suffix_repeats import OP12_SQL, op12_suffix_repeats
 from .tool_calls import OP1_SQL, OP1_STRICT_SQL, op1_tool_calls, op1_tool_calls_strict
 from .url_filter import OP3_JUNK_SQL, OP3_SQL, op3_url_filter, op3_url_filter_junk
@@ -30,6 +31,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op9_license_places": op9_license_places,
     "op10_decontaminate": op10_decontaminate,
+    "op11_spelling": op11_spelling,
     "op12_suffix_repeats": op12_suffix_repeats,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -45,6 +47,7 @@ ORACLE_SQL = {
     "op8_secret_counts": OP8_COUNTS_SQL,
     "op9_license_places": OP9_PLACES_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op11_spelling": OP11_SQL,
     "op12_suffix_repeats": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }
