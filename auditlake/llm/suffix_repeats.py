@@ -289,7 +289,7 @@ def sliced(length: int, gram: int):
 
 
 def strings(length: int, gram: int):
-    """Every string of `length` bytes of the slices asked for, hashed, with its offset before the anchor."""
+    """Every string of `length` bytes of the slices asked for, hashed with its offset before the anchor: a string that holds two anchors is one of each."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         runs = slices_of(length, gram)
@@ -300,7 +300,7 @@ def strings(length: int, gram: int):
                     for offset in range(runs[k][0], runs[k][1] + 1):
                         begin = len(left) - offset
                         if begin >= 0 and begin + length <= len(whole):
-                            yield hashlib.blake2b(whole[begin : begin + length], digest_size=16).digest(), g, c, offset, n
+                            yield hashlib.blake2b(offset.to_bytes(4, "big") + whole[begin : begin + length], digest_size=16).digest(), g, c, offset, n
 
     return lambda batches: in_batches(rows(batches), STRINGS)
 
