@@ -160,8 +160,41 @@ def sanitize_fields(fields: Column, longest: int = 2000) -> Column:
     return F.transform_values(fields, lambda k, v: F.when(k.rlike(SENSITIVE_KEY), F.lit(REDACTED)).otherwise(cut(redact(v), longest, "…")))
 
 
-def sanitize_list(values: Column, most: int = 20) -> Column:
-    return F.transform(F.slice(values, 1, most), redact)
+#: Levels below the top that a log value may have, and how many items of a list are kept at each.
+LOG_DEPTH, LOG_ITEMS, TRUNCATED = 4, 20, "[Truncated]"
+
+
+def quoted(col: Column) -> Column:
+    """A string in JSON."""
+    return F.regexp_replace(F.to_json(F.array(col)), r"(?s)^\[|\]$", "")
+
+
+def sanitize_value(value: Column, depth: int = 0, longest: int = 2000) -> Column:
+    """A VARIANT as JSON, with sensitive keys masked and texts redacted and cut at every level; lists keep their first items, and what lies too deep is left out.
+
+    Levels are bounded, so the walk is one expression: an object or a list becomes an array of entries, and each entry's value the same
+    one level down. Keys of an object are in order, as VARIANT keeps them.
+    """
+    kind = F.schema_of_variant(value)
+    is_object, is_list = kind.startswith("OBJECT"), kind.startswith("ARRAY")
+    scalar = F.when(kind == "STRING", quoted(cut(redact(F.try_variant_get(value, "$", "string")), longest, "…"))).when(kind.isNull() | (kind == "VOID"), F.lit("null")).otherwise(F.to_json(value))
+    if depth > LOG_DEPTH:
+        return F.when(is_object | is_list, F.lit(f'"{TRUNCATED}"')).otherwise(scalar)
+    fields = F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    items = F.transform(F.slice(F.try_variant_get(value, "$", "array<variant>"), 1, LOG_ITEMS), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+
+    def entry(e: Column) -> Column:
+        name = F.when(e["key"].isNull(), F.lit("")).otherwise(F.concat(quoted(e["key"]), F.lit(":")))
+        return F.concat(name, F.when(e["key"].rlike(SENSITIVE_KEY), F.lit(f'"{REDACTED}"')).otherwise(sanitize_value(e["value"], depth + 1, longest)))
+
+    inner = F.array_join(F.transform(F.when(is_object, fields).otherwise(items), entry), ",")
+    both = F.concat(F.when(is_object, "{").otherwise("["), inner, F.when(is_object, "}").otherwise("]"))
+    return F.when(is_object | is_list, both).otherwise(scalar)
+
+
+def sanitize_json(line: Column) -> Column:
+    """A log line in JSON, sanitized at every level; a line that is none is redacted and cut as a text. Null stays null."""
+    return F.when(line.isNull(), None).when(F.try_parse_json(line).isNull(), quoted(cut(redact(line), 2000, "…"))).otherwise(sanitize_value(F.try_parse_json(line)))
 
 
 # What an answer's source files look like, names that are none, and phrases that say the sources fall short.
@@ -204,6 +237,15 @@ def score_tone(score: Column) -> Column:
     return F.when(score.isNull(), "neutral").when(score >= 75, "good").when(score >= 50, "ok").otherwise("poor")
 
 
-def data_block(label: Column, body: Column, boundary: Column) -> Column:
-    """Untrusted text between marks that it cannot forge, as it does not know the boundary."""
-    return F.concat(F.lit("<data "), boundary, F.lit(" "), label, F.lit(">\n"), F.replace(body, boundary, F.lit("")), F.lit("\n</data "), boundary, F.lit(">"))
+# How prompts mark data.
+DATA_BEGIN, DATA_END = "<<<DATA ", ">>>"
+
+
+def data_block(header: Column, body: Column, boundary: Column) -> Column:
+    """Untrusted text, its header too, between marks that it cannot forge, as it does not know the boundary."""
+    return F.concat_ws("\n", F.concat(F.lit(DATA_BEGIN), boundary), header, body, F.concat(F.lit("DATA "), boundary, F.lit(DATA_END)))
+
+
+def line_range(start: Column, end: Column, unknown: str = "lines unknown") -> Column:
+    """`L1-L9`, where both lines are known (counted from 1)."""
+    return F.when((F.coalesce(start, F.lit(0)) > 0) & (F.coalesce(end, F.lit(0)) > 0), F.concat(F.lit("L"), start.cast("string"), F.lit("-L"), end.cast("string"))).otherwise(F.lit(unknown))

@@ -7,8 +7,9 @@ seq, content, start_line, end_line.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,23 +65,44 @@ def chunk_spans(files: DataFrame, spans: DataFrame) -> DataFrame:
     return out.select("project_id", "file_path", F.struct("offset", F.col("p.at").alias("at")).alias("seq"), F.col("p.content").alias("content"), F.col("p.start_line").alias("start_line"), F.col("p.end_line").alias("end_line"))
 
 
+def tokens_of(length: int) -> int:
+    """`text.est_tokens` of a text of that many characters."""
+    return max(1, -(-length // 4))
+
+
+def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks sorted by file and place; only the open chunk is carried from one to the next, across the batches."""
+    key, at, last = None, 0, None  # the open chunk: content, start_line, end_line
+    for b in batches:
+        out: list[tuple] = []
+        for project, path, content, start, end in zip(*(b[c].to_pylist() for c in ("project_id", "file_path", "content", "start_line", "end_line")), strict=True):
+            if last is not None and key == (project, path) and tokens_of(len(last[0])) < LEAST and tokens_of(len(last[0]) + 2 + len(content)) <= MOST:
+                last = (f"{last[0]}\n\n{content}", last[1], end)
+                continue
+            if last is not None:
+                out.append((*key, at, *last))
+            at, key, last = (at + 1 if key == (project, path) else 0), (project, path), (content, start, end)
+        if out:
+            yield row_batch(out, b.schema)
+        schema = b.schema
+    if last is not None:
+        yield row_batch([(*key, at, *last)], schema)
+
+
+def row_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    kinds = [schema.field("project_id").type, pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["project_id", "file_path", "seq", "content", "start_line", "end_line"])
+
+
 def merge_small(chunks: DataFrame) -> DataFrame:
     """Neighbours of a file joined while the first is small and both together are not large: a fold over the file's chunks in order.
 
-    A file is one import-limited source file, so its chunks fit one array.
+    A file's chunks are read in turn by one task, in time linear in their number; of them only the open one, of `MOST` tokens or
+    one chunk at most, is held. A null line number stays null; a file without chunks has no rows.
     """
-    empty = F.array().cast("array<struct<content:string,start_line:int,end_line:int>>")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "start_line", "end_line", "content"))), lambda c: F.struct(c["content"].alias("content"), c["start_line"].cast("int").alias("start_line"), c["end_line"].cast("int").alias("end_line")))
-
-    def fold(done: Column, c: Column) -> Column:
-        last = F.element_at(done, -1)
-        both = F.concat(last["content"], F.lit("\n\n"), c["content"])
-        merged = F.struct(both.alias("content"), last["start_line"].alias("start_line"), c["end_line"].alias("end_line"))
-        fits = (F.size(done) > 0) & (text.est_tokens(last["content"]) < LEAST) & (text.est_tokens(both) <= MOST)
-        return F.when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(merged))).otherwise(F.concat(done, F.array(c)))
-
-    folded = chunks.groupBy("project_id", "file_path").agg(ordered.alias("o")).select("project_id", "file_path", F.aggregate("o", empty, lambda a, c: F.when(F.size(a) == 0, F.array(c)).otherwise(fold(a, c))).alias("o"))
-    return folded.select("project_id", "file_path", F.posexplode("o").alias("seq", "c")).select("project_id", "file_path", "seq", "c.*")
+    rows = chunks.select("project_id", "file_path", "seq", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "content")
+    ordered = rows.repartition("project_id", "file_path").sortWithinPartitions("project_id", "file_path", "seq", "start_line", "end_line", "content")
+    return ordered.mapInArrow(folded, f"project_id {dict(chunks.dtypes)['project_id']}, file_path string, seq int, content string, start_line int, end_line int")
 
 
 def chunk_corpus(files: DataFrame, spans: DataFrame) -> DataFrame:

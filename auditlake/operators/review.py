@@ -14,6 +14,7 @@ from .graph import kept
 from .rules import top_n
 
 MAX_CHUNKS, MAX_CHARS, MAX_ISSUES = 24, 19_000, 10
+MAX_TITLE, MAX_DESCRIPTION = 200, 1000
 
 
 def rank_chunks_in_file(chunks: DataFrame) -> DataFrame:
@@ -117,26 +118,59 @@ def verify_evidence(claims: DataFrame, chunks: DataFrame) -> tuple[DataFrame, Da
     return findings, dropped
 
 
+# The sentences around the data of a request.
+EXCERPT, NO_SOURCES, NAME_CHARS = "an excerpt: the file goes on before and after it", "(No relevant sources were retrieved.)", 100
+
+
 def assemble_prompts(sample: DataFrame, projects: DataFrame, instructions: str) -> DataFrame:
     """project_id, prompt, tokens: the project's snippets in path order, each between data marks. projects: project_id, name, framework, boundary."""
-    order = F.array_sort(F.collect_list(F.struct("file_path", F.coalesce("start_line", F.lit(0)).alias("start_line"), "end_line", text.cut(F.col("content"), text.CHUNK_CHARS, "\n" + text.CUT_MARK).alias("content"))))
-    grouped = sample.groupBy("project_id").agg(order.alias("o")).join(projects, "project_id")
-    block = lambda c, i: text.data_block(F.format_string("Chunk %d. File: %s (L%d-L%d)", (i + 1).cast("int"), c["file_path"], c["start_line"], F.coalesce(c["end_line"], c["start_line"])), c["content"], F.col("boundary"))
-    header = F.concat(F.lit("Project: "), F.coalesce("name", F.lit("")), F.lit("\nFramework: "), F.coalesce("framework", F.lit("Unknown")), F.lit("\n\n"))
-    made = grouped.select("project_id", F.concat(header, F.array_join(F.transform("o", block), "\n\n")).alias("prompt"))
+    # A sample is MAX_CHUNKS snippets a project at most.
+    content = text.cut(F.col("content"), text.CHUNK_CHARS, "\n" + text.CUT_MARK).alias("content")
+    order = F.array_sort(F.collect_list(F.struct("file_path", F.coalesce("start_line", F.lit(0)).alias("start_line"), "end_line", content)))
+    grouped = sample.groupBy("project_id").agg(order.alias("o")).hint("merge").join(projects.hint("merge"), "project_id")
+
+    def block(c: Column, i: Column) -> Column:
+        header = F.concat(F.lit("Chunk "), (i + 1).cast("string"), F.lit(". File: "), c["file_path"], F.lit(" ("), text.line_range(c["start_line"], c["end_line"]), F.lit(f", {EXCERPT})"))
+        return text.data_block(header, c["content"], F.col("boundary"))
+
+    name = F.concat(F.lit("Project: "), F.substring(F.coalesce("name", F.lit("")), 1, NAME_CHARS))
+    framework = F.concat(F.lit("Framework: "), F.coalesce("framework", F.lit("Unknown")))
+    made = grouped.select("project_id", F.concat_ws("\n", name, framework, F.lit(""), F.lit("Code snippets:"), F.array_join(F.transform("o", block), "\n\n")).alias("prompt"))
     return made.withColumn("tokens", text.est_request_tokens(F.lit(instructions), F.col("prompt")))
 
 
+def chat_prompts(questions: DataFrame, retrieved: DataFrame, projects: DataFrame, role: str, rules: list[str]) -> DataFrame:
+    """project_id, query_id, prompt, sources of every question: the role, the rules and the retrieved chunks in order of rank, each between data marks.
+
+    questions (project_id, query_id), retrieved as `vectors.retrieve` gives it, projects (project_id, name, framework, boundary).
+    `sources` are what an answer shows: file_path, start_line, end_line, score. A question without chunks has a sentence in their place.
+    """
+    # Of a question the first k chunks come, which are few.
+    found = retrieved.groupBy("project_id", "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "file_path", "start_line", "end_line", "score", "content"))).alias("o"))
+    joined = questions.select("project_id", "query_id").hint("merge").join(found.hint("merge"), ["project_id", "query_id"], "left").hint("merge").join(projects.hint("merge"), "project_id")
+
+    def block(c: Column, i: Column) -> Column:
+        header = F.concat(F.lit("Source "), (i + 1).cast("string"), F.lit(". File: "), c["file_path"], F.lit(" ("), text.line_range(c["start_line"], c["end_line"]), F.lit(")"))
+        return text.data_block(header, c["content"], F.col("boundary"))
+
+    context = F.coalesce(F.nullif(F.array_join(F.transform("o", block), "\n\n"), F.lit("")), F.lit(NO_SOURCES))
+    head = [F.lit(role), F.concat(F.lit("Project: "), F.coalesce("name", F.lit(""))), F.concat(F.lit("Detected framework: "), F.coalesce("framework", F.lit("Unknown")))]
+    said = [F.lit(""), F.lit("Rules:"), *[F.replace(F.lit(f"- {r}"), F.lit("{boundary}"), F.col("boundary")) for r in rules], F.lit(""), F.lit("Retrieved code sources:")]
+    sources = F.coalesce(F.transform("o", lambda c: F.struct(c["file_path"].alias("file_path"), c["start_line"].alias("start_line"), c["end_line"].alias("end_line"), F.coalesce(c["score"], F.lit(0.0)).alias("score"))), F.array().cast("array<struct<file_path:string,start_line:int,end_line:int,score:double>>"))
+    return joined.select("project_id", "query_id", F.concat_ws("\n", *head, *said, context).alias("prompt"), sources.alias("sources"))
+
+
 def review_requests(projects: DataFrame, chunks: DataFrame, instructions: str, most_tokens: int = 7500) -> DataFrame:
     """Review requests of all projects; `fits` tells whether one keeps to the token limit."""
     return assemble_prompts(review_sample(chunks), projects, instructions).withColumn("fits", F.col("tokens") <= most_tokens)
 
 
 def ingest_reviews(claims: DataFrame, sample: DataFrame, most: int = MAX_ISSUES) -> tuple[DataFrame, DataFrame]:
-    """(findings: the first ten verified claims of each project, cut to length; project_id, dropped)."""
-    short = top_n(claims, ["project_id"], [F.col("ord")], most, "_n").drop("_n").withColumns({"title": text.cut(F.col("title"), 200), "description": text.cut(F.col("description"), 1000)})
-    findings, dropped = verify_evidence(short, sample)
-    return findings, dropped.groupBy("project_id").agg(F.count("*").alias("dropped"))
+    """(findings: of each project the first ten claims, in the reviewer's order, whose evidence is in the sample, cut to length; project_id, dropped: how many had none)."""
+    findings, dropped = verify_evidence(claims, sample)
+    first = top_n(findings, ["project_id"], [F.col("ord")], most, "_n").drop("_n")
+    short = first.withColumns({"title": text.cut(F.col("title"), MAX_TITLE), "description": text.cut(F.col("description"), MAX_DESCRIPTION)})
+    return short, dropped.groupBy("project_id").agg(F.count("*").alias("dropped"))
 
 
 def reuse_reviews(inputs: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .rules import top_n
+from .search import blocked_topk
 
 TOP_K, TEXT_CUT = 8, 8000
 
@@ -88,9 +88,7 @@ def store_knowledge(state: DataFrame, drafts: DataFrame, cache: DataFrame, model
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, key: str = "chunk_id") -> DataFrame:
     """project_id, query_id, chunk key, score, rank: each query's k nearest chunks of its own project by exact cosine, ties by key."""
-    q = queries.select("project_id", "query_id", F.col("embedding").alias("_q"))
-    scored = chunks.select("project_id", key, F.col("embedding").alias("_c")).join(q, "project_id").select("project_id", "query_id", key, cosine(F.col("_q"), F.col("_c")).alias("score"))
-    return top_n(scored, ["project_id", "query_id"], [F.desc("score"), F.col(key)], k)
+    return blocked_topk(queries, chunks, k, key)
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, key: str = "chunk_id") -> DataFrame:

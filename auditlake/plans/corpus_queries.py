@@ -243,7 +243,22 @@ def spans_of(spark, sf_dir) -> DataFrame:
     return lines.select("project_id", "file_path", F.when(F.col("i") % 5 == 4, "expression_statement").otherwise("function_declaration").alias("node_type"), (ends - F.length("line") - 1).cast("int").alias("start_offset"), (ends - 1).cast("int").alias("end_offset"), (F.col("i") + 1).alias("start_line"), (F.col("i") + 1).alias("end_line"))
 
 
-@query()
+#: White space in Java's sense of `(?U)\\s`.
+BLANK = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Lines as declarations, large ones in pieces, then neighbours joined by a recursion from chunk to chunk of each file.
+CHUNKS_SQL = rf"""WITH RECURSIVE {FILES}, l AS (SELECT project_id, path AS file_path, unnest(range(0, len(string_split(content, chr(10))))) AS i, unnest(string_split(content, chr(10))) AS line FROM files WHERE regexp_matches(content, '[^\t-\r \x{{85}}\x{{A0}}]')),
+t AS (SELECT project_id, file_path, i, regexp_replace(line, '^{BLANK}+|{BLANK}+$', '', 'g') AS body FROM l),
+b AS (SELECT * FROM t WHERE body <> '' AND NOT (greatest(1, ceil(length(body) / 4)) < 20 AND i % 5 = 4)),
+p AS (SELECT *, unnest(CASE WHEN ceil(length(body) / 4) > 400 THEN range(0, greatest(1, ceil((length(body) - 200) / 1400))::INT) ELSE [0] END) AS piece FROM b),
+c AS (SELECT project_id, file_path, i, piece, CASE WHEN ceil(length(body) / 4) > 400 THEN regexp_replace(body[piece * 1400 + 1:piece * 1400 + 1600], '{BLANK}+$', '') ELSE body END AS content FROM p),
+o AS (SELECT *, (row_number() OVER (PARTITION BY project_id, file_path ORDER BY i, piece)) AS place FROM c WHERE content <> ''),
+m AS (SELECT project_id, file_path, place, 0 AS seq, content, i + 1 AS start_line, i + 1 AS end_line FROM o WHERE place = 1
+  UNION ALL SELECT project_id, file_path, place, CASE WHEN fits THEN seq ELSE seq + 1 END, CASE WHEN fits THEN pair ELSE content END, CASE WHEN fits THEN start_line ELSE i + 1 END, i + 1
+  FROM (SELECT o.project_id, o.file_path, o.place, o.i, o.content, m.seq, m.start_line, m.content || chr(10) || chr(10) || o.content AS pair, greatest(1, ceil(length(m.content) / 4)) < 200 AND ceil((length(m.content) + 2 + length(o.content)) / 4) <= 400 AS fits
+    FROM m JOIN o ON o.project_id = m.project_id AND o.file_path = m.file_path AND o.place = m.place + 1))"""
+
+
+@query(f"{CHUNKS_SQL} SELECT project_id, file_path, seq, sha256(arg_max(content, place)) AS content, arg_max(start_line, place)::INT AS start_line, arg_max(end_line, place)::INT AS end_line FROM m GROUP BY project_id, file_path, seq")
 def c4_chunk_corpus(spark, sf_dir):
     out = chunks.chunk_corpus(files_of(spark, sf_dir), spans_of(spark, sf_dir))
     return out.select("project_id", "file_path", "seq", F.sha2("content", 256).alias("content"), "start_line", "end_line")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import findings as fi
 from ..operators import graph, rules, scoring
-from ..operators.review import verify_evidence
+from ..operators.review import ingest_reviews
 
 
 def project_tables(files: DataFrame, sizes: DataFrame, min_lines: int = rules.LARGE_FILE, edges: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -31,11 +31,11 @@ def build_reports(files: DataFrame, sizes: DataFrame, claims: DataFrame | None =
     tables = project_tables(files, sizes, min_lines)
     found = rules.run_rules(tables, whole=True)
     if claims is not None and chunks is not None:
-        verified, _ = verify_evidence(claims, chunks)
-        found = fi.all_findings(found, verified)
+        reviewed, _ = ingest_reviews(claims, chunks)
+        found = fi.all_findings(found, reviewed)
     grouped = fi.group_findings(found)
     scores = scoring.POLICIES[policy](tables["measures"], grouped if policy == "diminishing" else found)
     issue = F.struct(fi.text.severity_rank(F.col("severity")).alias("rank"), "category", "ord", "severity", "title", "description", "file_path", "occurrences")
-    issues = grouped.groupBy("project_id").agg(F.array_sort(F.collect_list(issue)).alias("issues"))  # rules and reviews cap a project's findings
+    issues = grouped.groupBy("project_id").agg(F.array_sort(F.collect_list(issue)).alias("issues"))  # the rules' caps and ten claims of a review bound a project's findings
     said = rules.summaries(tables["measures"]).select("project_id", F.struct("code_quality", "testing", "security").alias("summaries"))
     return scores.join(said, "project_id").join(issues, "project_id", "left")

@@ -11,48 +11,23 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text
 from ..operators import lifecycle, usage, vectors
+from .keyed import DECIDED, SILENT, Limiter, OrderedLimiter, Silence, by_key, decide
 
-DECIDED = "key string, ts timestamp, n int, allowed boolean"
-
-
-def decide(times: list, limits: list, windows: list, start: float | None, n: int) -> tuple[list, list, float | None, int]:
-    """Counts in windows that open at a key's first hit after the last window: numbers, verdicts, and the state after them."""
-    numbers, verdicts = [], []
-    for t, most, seconds in zip(times, limits, windows, strict=True):
-        if start is None or t >= start + seconds:
-            start, n = t, 0
-        n += 1
-        numbers.append(n)
-        verdicts.append(n <= most)
-    return numbers, verdicts, start, n
-
-
-def limited(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    start, n = state.get if state.exists else (None, 0)
-    if state.hasTimedOut:
-        state.remove()
-        return
-    longest = 0.0
-    # One batch's hits of a key may come in several frames, whose times overlap: they are put in one order first.
-    parts = [f for f in frames if len(f)]
-    if parts:
-        f = pd.concat(parts).sort_values("ts", kind="stable")
-        numbers, verdicts, start, n = decide([t.timestamp() for t in f["ts"]], list(f["max"]), list(f["window_seconds"]), start, n)
-        longest = start + float(f["window_seconds"].iloc[-1])
-        yield pd.DataFrame({"key": key[0], "ts": f["ts"], "n": numbers, "allowed": verdicts})
-    if start is not None:
-        state.update((start, n))
-        # A window that is over needs no state: it goes once the watermark has passed it.
-        state.setTimeoutTimestamp(max(int(longest * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-
-
-def rate_limit(hits: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """key, ts, n, allowed of a stream of hits (key, ts, max, window_seconds)."""
-    return hits.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(limited, DECIDED, "start double, n int", "append", GroupStateTimeout.EventTimeTimeout)
+#: What the batch form's Python function returns.
+VERDICTS = "key string, ts timestamp, n int, allowed boolean"
+
+
+def rate_limit(hits: DataFrame, delay: str = "1 hour", ordered: bool = False) -> DataFrame:
+    """key, ts, n, allowed of a stream of hits (key, ts, max, window_seconds).
+
+    Verdicts come at once, in order of time within a micro-batch; with `ordered` they wait for the watermark, and are those of
+    `rate_limit_batch` however the hits are dealt to micro-batches.
+    """
+    found = by_key(hits, "key", "ts", delay, OrderedLimiter() if ordered else Limiter(), DECIDED)
+    return found.select("key", F.timestamp_micros("at").alias("ts"), "n", "allowed")
 
 
 def in_turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +44,7 @@ def in_turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def rate_limit_batch(hits: DataFrame) -> DataFrame:
     """The same of a table. Whether a hit opens a window depends on the ones before, so a key's hits are read in turn by one task, which holds one batch of them."""
     rows = hits.filter("key IS NOT NULL").select("key", F.col("ts").cast("timestamp").alias("ts"), F.col("max").cast("int").alias("max"), F.col("window_seconds").cast("double").alias("window_seconds"))
-    return rows.repartition("key").sortWithinPartitions("key", "ts").mapInPandas(in_turn, DECIDED)
+    return rows.repartition("key").sortWithinPartitions("key", "ts").mapInPandas(in_turn, VERDICTS)
 
 
 def daily_counters(calls: DataFrame, delay: str | None = "1 day") -> DataFrame:
@@ -88,33 +63,17 @@ def enrich_calls(calls: DataFrame, prices: DataFrame, switches: DataFrame) -> Da
     return usage.with_switch(usage.call_costs(calls, prices), switches)
 
 
-def stuck(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, seconds: int) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else 0.0
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame({"project_id": [key[0]], "silent_since": [pd.Timestamp(last, unit="s")]})
-        return
-    ended = False
-    for f in frames:
-        if len(f):
-            f = f.sort_values("ts", kind="stable")
-            if f["ts"].iloc[-1].timestamp() >= last:
-                last, ended = f["ts"].iloc[-1].timestamp(), f["status"].iloc[-1] != "processing"
-    if ended:
-        if state.exists:
-            state.remove()
-    else:
-        state.update((last,))
-        state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-
-
 def detect_stuck(progress: DataFrame, seconds: int = lifecycle.STUCK_SECONDS, delay: str = "0 seconds") -> DataFrame:
-    """project_id, silent_since of projects without a progress write (project_id, ts, status) for some time."""
+    """project_id, silent_since of every silence of a running project: a progress write (project_id, ts, status) that none follows for `seconds`."""
+    return by_key(progress, "project_id", "ts", delay, Silence(seconds), SILENT).select("project_id", F.timestamp_micros("at").alias("silent_since"))
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        yield from stuck(key, frames, state, seconds)
 
-    return progress.withWatermark("ts", delay).groupBy("project_id").applyInPandasWithState(run, "project_id long, silent_since timestamp", "last double", "append", GroupStateTimeout.EventTimeTimeout)
+def silences(progress: DataFrame, now: Column, seconds: int = lifecycle.STUCK_SECONDS) -> DataFrame:
+    """The same of a table, up to `now`. A project's writes are compared with the next one only; of writes at one time the one that ends the run counts."""
+    writes = progress.filter("ts IS NOT NULL AND project_id IS NOT NULL").select("project_id", "ts", (F.col("status") == "processing").alias("running"))
+    ahead = F.lead("ts").over(Window.partitionBy("project_id").orderBy("ts", F.desc("running")))
+    quiet = F.coalesce(F.unix_micros("_next") > F.unix_micros("ts") + seconds * 1_000_000, F.unix_micros(now) > F.unix_micros("ts") + seconds * 1_000_000)
+    return writes.withColumn("_next", ahead).filter("running").filter(quiet).select("project_id", F.col("ts").alias("silent_since"))
 
 
 def detect_stuck_batch(progress: DataFrame, now: Column, seconds: int = lifecycle.STUCK_SECONDS) -> DataFrame:

@@ -3,15 +3,20 @@
 import datetime as dt
 import io
 import json
+import math
+import random
+import re
+import time
 import zipfile
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from auditlake.functions import paths, text
-from auditlake.operators import chunks, evals, findings, graph, lifecycle, review, rules, scoring, usage, vectors
+from auditlake.operators import chunks, evals, findings, graph, lifecycle, review, rules, scoring, search, usage, vectors
 from auditlake.plans.report import build_reports
 from auditlake.sources import archives, tables
 from auditlake.streaming import jobs
@@ -323,3 +328,116 @@ def test_streams_of_progress_and_drafts(spark, tmp_path):
         drafts = spark.readStream.schema("project_id string, content string").parquet(str(tmp_path / "d"))
         jobs.embed_stream(drafts, cache, lambda df, _: kept.extend(tuple(r) for r in df.collect()), "m", lambda texts: [[float(len(x)), 1.0] for x in texts], 2, str(tmp_path / f"e{n}")).awaitTermination()
     assert len(kept) == 2
+
+
+def sanitized(value, depth=0):
+    """What a log value becomes, by recursion."""
+    if isinstance(value, (dict, list)) and depth > 4:
+        return "[Truncated]"
+    if isinstance(value, dict):
+        return {k: "[REDACTED]" if re.search(text.SENSITIVE_KEY, k) else sanitized(v, depth + 1) for k, v in value.items()}
+    if isinstance(value, list):
+        return [sanitized(v, depth + 1) for v in value[:20]]
+    return value if not isinstance(value, str) or len(value) <= 2000 else value[:2000] + "…"
+
+
+def test_nested_log_values(spark):
+    rng = random.Random(1)
+
+    def made(depth):
+        kind = rng.randrange(8 if depth < 7 else 5)
+        if kind < 5:
+            return rng.choice([None, True, 12, "plain", 'quo"te\\ \n é', "x" * 2001, "", 2.5])
+        if kind == 5:
+            return [made(depth + 1) for _ in range(rng.choice([0, 2, 25]) if depth < 4 else 2)]
+        return {rng.choice(["a", "b", "api_key", "Cookie", "name", "k\"y"]): made(depth + 1) for _ in range(3)}
+
+    values = [{"top": made(1), "list": made(1)} for _ in range(60)] + [[1, [2, [3, [4, [5, [6]]]]]], {}, [], "text", None, 3]
+    lines = [json.dumps(v, ensure_ascii=False) for v in values]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    got = {r["i"]: json.loads(r["x"]) for r in rows.select("i", text.sanitize_json(F.col("line")).alias("x")).collect()}
+    assert got == {i: sanitized(v) for i, v in enumerate(values)}
+    odd = spark.createDataFrame([(None,), ("{not json",), ("Bearer abcdefghijklmnop",)], "line string").select(text.sanitize_json(F.col("line")).alias("x")).collect()
+    assert odd[0]["x"] is None and json.loads(odd[1]["x"]) == "{not json" and "abcdef" not in odd[2]["x"]
+
+
+def test_small_chunks_of_a_long_file(spark):
+    """A file of very many chunks, in batches of a few rows, takes time linear in their number; it equals a plain fold."""
+    rng = random.Random(4)
+    pieces = [("p", "a.ts", i, "x" * rng.choice([3, 30, 700, 900, 1599]), i, i + 1) for i in range(400)] + [("p", "b.ts", 0, "y", 1, 1), ("q", "a.ts", 0, "y", None, None)]
+    want = []
+    for project, path, _, content, start, end in pieces:
+        last = want[-1] if want and want[-1][:2] == [project, path] else None
+        if last and chunks.tokens_of(len(last[3])) < 200 and chunks.tokens_of(len(last[3]) + 2 + len(content)) <= 400:
+            last[3:] = [f"{last[3]}\n\n{content}", last[4], end]
+        else:
+            want.append([project, path, last[2] + 1 if last else 0, content, start, end])
+    schema = "project_id string, file_path string, seq int, content string, start_line int, end_line int"
+    rng.shuffle(pieces)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = chunks.merge_small(spark.createDataFrame(pieces, schema)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(list, got), key=lambda r: r[:3]) == sorted(want, key=lambda r: r[:3])
+    many = spark.range(100_000).select(F.lit("p").alias("project_id"), F.lit("f").alias("file_path"), F.col("id").alias("seq"), F.lit("word").alias("content"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
+    began = time.time()
+    assert chunks.merge_small(many).count() == -(-100_000 // 134) and time.time() - began < 30
+
+
+def test_search_in_blocks(spark):
+    """Every query against every vector of its project by brute force: ties, other lengths, no direction, keys of text, blocks of a few rows."""
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(0, 3)), f"k{i:03}", [float(x) for x in rng.integers(-3, 4, 5)]) for i in range(300)]
+    rows += [(0, "n0", None), (0, "n1", [0.0] * 5), (0, "n2", [1.0]), (0, "n3", [float("nan")] * 5), (1, None, [1.0] * 5)]
+    asked = [(p, 10 * p + i, rows[50 * p + i][2]) for p in range(3) for i in range(4)] + [(0, 99, [2.0]), (1, 98, [0.0] * 5), (7, 97, [1.0] * 5), (0, 96, None)]
+    frame = spark.createDataFrame(rows, "project_id int, name string, embedding array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        tops = search.blocked_topk(spark.createDataFrame(asked, "project_id int, query_id long, embedding array<double>"), frame, 8, "name", parts=3, query_parts=2)
+        got = {}
+        for r in tops.orderBy("rank").collect():
+            got.setdefault((r["project_id"], r["query_id"]), []).append((r["name"], r["score"]))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for p, q, v in asked:
+        scored = []
+        for project, name, w in rows:
+            if project == p and v and w and name and len(v) == len(w) and any(v) and any(w) and not any(math.isnan(x) for x in w):
+                dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+                scored.append((-(dot(w, v) / math.sqrt(dot(v, v) * dot(w, w))), name))
+        if scored:
+            want[p, q] = [(name, -down) for down, name in sorted(scored)[:8]]
+    assert got == want and len(want) == 13
+
+
+def test_no_more_than_k_rows_of_a_part_leave_it(spark):
+    """The exchange before the last ranking carries k rows for each query and part, not one for each pair."""
+    tops = search.Tops(["a", "b"], [[1.0, 0.0], [0.0, 1.0]], 3)
+    for i in range(50):
+        tops.see([f"{i}-{j}" for j in range(20)], [[math.cos(i + j), math.sin(i + j)] for j in range(20)])
+    assert len(list(tops.rows())) == 6
+
+
+def test_reviews_keep_the_first_ten_that_hold(spark):
+    """Claims without evidence do not use up the ten."""
+    seen = spark.createDataFrame([("p", "a.ts", "const x = 1;\nconst y = 2;", 5, 6)], "project_id string, file_path string, content string, start_line int, end_line int")
+    rows = [("p", i, "security", "high", "t" * 300, "d" * 1100, "a.ts", "const y" if i % 2 else "not there") for i in range(30)]
+    claims = spark.createDataFrame(rows, "project_id string, ord int, category string, severity string, title string, description string, file_path string, quote string")
+    found, dropped = review.ingest_reviews(claims, seen)
+    got = found.orderBy("ord").collect()
+    assert [r["ord"] for r in got] == list(range(1, 21, 2)) and {(len(r["title"]), len(r["description"]), r["evidence"]["start_line"]) for r in got} == {(200, 1000, 6)}
+    assert dropped.collect()[0]["dropped"] == 15
+
+
+def test_prompts_of_questions(spark):
+    questions = spark.createDataFrame([("p", 1), ("p", 2)], "project_id string, query_id int")
+    projects = spark.createDataFrame([("p", "Shop", None, "B")], "project_id string, name string, framework string, boundary string")
+    found = spark.createDataFrame([("p", 1, 2, "b.ts", None, None, 0.5, "two"), ("p", 1, 1, "a.ts", 3, 9, 0.9, "one")], "project_id string, query_id int, rank int, file_path string, start_line int, end_line int, score double, content string")
+    got = {r["query_id"]: r for r in review.chat_prompts(questions, found, projects, "Role.", ["Cite.", "Data has {boundary}."]).collect()}
+    head = "Role.\nProject: Shop\nDetected framework: Unknown\n\nRules:\n- Cite.\n- Data has B.\n\nRetrieved code sources:\n"
+    assert got[1]["prompt"] == head + "<<<DATA B\nSource 1. File: a.ts (L3-L9)\none\nDATA B>>>\n\n<<<DATA B\nSource 2. File: b.ts (lines unknown)\ntwo\nDATA B>>>"
+    assert got[2]["prompt"] == head + "(No relevant sources were retrieved.)" and got[2]["sources"] == [] and [s["score"] for s in got[1]["sources"]] == [0.9, 0.5]
