@@ -6,14 +6,13 @@ is null.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from .graph import kept
 from .rules import top_n
 
 MIB = 1024 * 1024
@@ -24,25 +23,26 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def match_expected(findings: DataFrame, expected: DataFrame) -> DataFrame:
-    """finding_ord, expected_ord per case: each finding in order takes the first expectation not yet taken with its category and file whose title pattern it matches.
+    """case, finding_ord, expected_ord: each finding in order takes the first expectation not yet taken with its category and file whose title pattern it matches.
 
-    findings: case, ord, category, file_path, title; expected: case, ord, category, file_path, title_regex. A finding
-    and an expectation can only meet on case, category and file, so each such group is a small matching of its own.
+    findings: case, ord, category, file_path, title; expected: case, ord, category, file_path, title_regex; a null category or file
+    meets a null one. All findings prefer earlier expectations and all expectations earlier findings, so where a pair is the first choice
+    on both sides no other pair can undo it: such pairs are settled in rounds, until none is left. The earliest finding that still has a
+    choice is settled in each round, in each of its groups.
     """
-    keys = ["case", "category", "file_path"]
-    f = findings.select(*keys, F.col("ord").alias("finding_ord"), "title", F.lit(None).cast("int").alias("expected_ord"), F.lit(None).cast("string").alias("title_regex"))
-    e = expected.select(*keys, F.lit(None).cast("int").alias("finding_ord"), F.lit(None).cast("string").alias("title"), F.col("ord").alias("expected_ord"), "title_regex")
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        wanted = [(int(o), re.compile(p)) for o, p in rows[rows["expected_ord"].notna()].sort_values("expected_ord")[["expected_ord", "title_regex"]].to_numpy()]
-        out = []
-        for o, title in rows[rows["finding_ord"].notna()].sort_values("finding_ord")[["finding_ord", "title"]].to_numpy():
-            at = next((i for i, (_, p) in enumerate(wanted) if p.search(title or "")), None)
-            if at is not None:
-                out.append((rows["case"].iloc[0], int(o), wanted.pop(at)[0]))
-        return pd.DataFrame(out, columns=["case", "finding_ord", "expected_ord"])
-
-    return f.unionByName(e).groupBy(*keys).applyInPandas(greedy, "case string, finding_ord int, expected_ord int")
+    e = expected.select(F.col("case").alias("_case"), F.col("category").alias("_category"), F.col("file_path").alias("_file"), F.col("ord").alias("expected_ord"), "title_regex")
+    f = findings.select("case", F.col("ord").alias("finding_ord"), "category", "file_path", F.coalesce("title", F.lit("")).alias("title"))
+    same = (F.col("case") == F.col("_case")) & F.col("category").eqNullSafe(F.col("_category")) & F.col("file_path").eqNullSafe(F.col("_file"))
+    pairs = kept(f.hint("merge").join(e.hint("merge"), same).filter(F.expr("title RLIKE title_regex")).select("case", "finding_ord", "expected_ord").distinct())
+    settled = []
+    while not pairs.isEmpty():
+        mine = F.min("expected_ord").over(Window.partitionBy("case", "finding_ord"))
+        its = F.min("finding_ord").over(Window.partitionBy("case", "expected_ord"))
+        both = kept(pairs.withColumns({"_mine": mine, "_its": its}).filter("expected_ord = _mine AND finding_ord = _its").select("case", "finding_ord", "expected_ord"))
+        settled.append(both)
+        left = pairs.hint("merge").join(both.select("case", "finding_ord").hint("merge"), ["case", "finding_ord"], "left_anti")
+        pairs = kept(left.hint("merge").join(both.select("case", "expected_ord").hint("merge"), ["case", "expected_ord"], "left_anti").select("case", "finding_ord", "expected_ord"))
+    return reduce(DataFrame.unionByName, settled) if settled else pairs
 
 
 def forbidden_hits(findings: DataFrame, rules: DataFrame) -> DataFrame:

@@ -66,16 +66,24 @@ def tested_by_name(sources: DataFrame, tests: DataFrame) -> DataFrame:
     """project_id, path of the sources whose bare path ends with a test's guessed source, or the other way round.
 
     Either way the shorter one's last segment ends the longer one's, so pairs are joined by the last segment where it
-    is whole in both; a shorter one without any slash can end inside a segment and is compared with all of its project.
+    is whole in both. A shorter one without any slash can end inside a segment: it is looked up among the endings of the others'
+    last segments, which are file names and so not long.
     """
     base = sources.select("project_id", "path", paths.strip_ext(F.col("path")).alias("bare"))
     guess = tests.select("project_id", paths.guess_source(F.col("path")).alias("guess")).distinct()
     ends = F.col("guess").endswith(F.col("bare")) | F.col("bare").endswith(F.col("guess"))
     base, guess = base.withColumn("last", paths.basename(F.col("bare"))), guess.withColumn("last", paths.basename(F.col("guess")))
-    whole = base.hint("merge").join(guess.hint("merge"), ["project_id", "last"]).filter(ends)
-    flat = lambda df, col: df.filter(~F.col(col).contains("/")).drop("last")
-    loose = [flat(base, "bare").join(guess.drop("last"), "project_id").filter(ends), base.drop("last").join(flat(guess, "guess"), "project_id").filter(ends)]
-    return whole.select("project_id", "path").unionByName(loose[0].select("project_id", "path")).unionByName(loose[1].select("project_id", "path")).distinct()
+    whole = base.hint("merge").join(guess.hint("merge"), ["project_id", "last"]).filter(ends).select("project_id", "path")
+    endings = lambda df: df.withColumn("last", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("last"), F.lit(1))), lambda k: F.substr(F.col("last"), k))))
+    flat = lambda df, col: df.filter(~F.col(col).contains("/"))
+    named = endings(guess).select("project_id", "last").distinct()
+    by_guess = flat(base, "bare").hint("merge").join(named.hint("merge"), ["project_id", "last"], "left_semi").select("project_id", "path")
+    by_base = endings(base).hint("merge").join(flat(guess, "guess").select("project_id", "last").hint("merge"), ["project_id", "last"], "left_semi").select("project_id", "path")
+    # Everything ends with an empty name.
+    empty = lambda df, col: df.filter(F.col(col) == "").select("project_id").distinct()
+    by_none = base.hint("merge").join(empty(guess, "guess").hint("merge"), "project_id", "left_semi").select("project_id", "path")
+    to_none = flat(base, "bare").filter("bare = ''").hint("merge").join(guess.select("project_id").distinct().hint("merge"), "project_id", "left_semi").select("project_id", "path")
+    return whole.unionByName(by_guess).unionByName(by_base).unionByName(by_none).unionByName(to_none).distinct()
 
 
 # How a declaration of a type begins and ends, and what counts as logic.

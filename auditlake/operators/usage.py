@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .graph import kept
+from .quantiles import percentiles
 
 # List prices in dollars a million tokens (so micro-dollars a token), and plan limits.
 PRICES = [("openai/gpt-oss-120b", 0.15, 0.6), ("openai/gpt-oss-20b", 0.075, 0.3)]
@@ -114,15 +116,23 @@ def with_switch(df: DataFrame, switches: DataFrame) -> DataFrame:
     return df.join(small(switches), "feature", "left").withColumn("enabled", F.coalesce("enabled", F.lit(True)))
 
 
+SHARES = {"p50": 0.5, "p95": 0.95}
+
+
 def profile(df: DataFrame, by: str, values: list[str], exact: bool = True, ok: str | None = None, cost: str | None = None) -> DataFrame:
-    """Median and 95th percentile of `values` by `by`; exact, or by sketches of bounded size where groups are large."""
-    at = (lambda v, p: F.percentile(v, F.lit(p))) if exact else (lambda v, p: F.percentile_approx(v, F.lit(p)))
-    aggs = [F.count("*").alias("n")] + [at(v, p).alias(f"{v}_{name}") for v in values for p, name in ((0.5, "p50"), (0.95, "p95"))]
+    """Median and 95th percentile of `values` by `by`; exact by counts of value ranges, or nearly so by sketches in one pass."""
+    aggs = [F.count("*").alias("n")]
     if ok:
         aggs.append(F.avg((~F.col(ok)).cast("double")).alias("failed_share"))
     if cost:
         aggs.append(F.sum(cost).alias("total_cost"))
-    return df.groupBy(by).agg(*aggs)
+    if not exact:
+        return df.groupBy(by).agg(*aggs, *[F.percentile_approx(v, F.lit(p)).alias(f"{v}_{k}") for v in values for k, p in SHARES.items()])
+    # Several passes read what a profile needs, not what it is derived from.
+    df = kept(df.select(*{by, *values, *filter(None, (ok, cost))}))
+    places = percentiles(df, by, values, SHARES)
+    sums = df.groupBy(F.col(by).alias("_by")).agg(*aggs)
+    return places.hint("merge").join(sums.hint("merge"), places[by].eqNullSafe(sums["_by"])).drop("_by")
 
 
 def usage_profile(calls: DataFrame, exact: bool = True) -> DataFrame:

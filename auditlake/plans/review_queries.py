@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import review, vectors
+from ..operators import evals, review, vectors
 from ..sources.tables import read_table
 from .corpus_queries import CLAIMS_SQL, TOPK_SQL, chunked, claims_of, embedded
 from .operator_queries import SAMPLE_SQL
@@ -118,3 +118,23 @@ def f11_nested_fields(spark, sf_dir):
     rows = log_lines_of(spark, sf_dir).withColumn("line", text.sanitize_json(F.col("line")))
     plain = F.regexp_replace("line", r'"message":"[^"\\]*+(?:\\.[^"\\]*+)*"', '"message":"plain"')
     return rows.select("conv_id", "turn", F.sha2(plain, 256).alias("line"))
+
+
+# Findings against expectations.
+
+MATCH_SQL = """WITH RECURSIVE f AS (SELECT user_id % 40 AS c, event_id AS o, event_type AS k, event_id % 3 AS p, 'issue ' || event_id % 7 AS title FROM events),
+e AS (SELECT c, o, k, p, o % 4 AS a, o % 5 AS b FROM f WHERE o % 5 < 3),
+g AS (SELECT *, row_number() OVER (PARTITION BY c, k, p ORDER BY o) AS i FROM f),
+w AS (SELECT c, k, p, list(struct_pack(o := o, a := a, b := b) ORDER BY o) AS l FROM e GROUP BY ALL),
+m AS (SELECT c, k, p, 0::BIGINT AS i, NULL::BIGINT AS o, NULL::BIGINT AS hit, l FROM w
+  UNION ALL SELECT c, k, p, i, o, hit, list_filter(l, lambda x: hit IS NULL OR x.o <> hit) FROM (SELECT m.c, m.k, m.p, g.i, g.o, m.l, list_filter(m.l, lambda x: g.title IN ('issue ' || x.a, 'issue ' || x.b))[1].o AS hit FROM m JOIN g ON g.c = m.c AND g.k = m.k AND g.p = m.p AND g.i = m.i + 1))
+SELECT c AS "case", o AS finding_ord, hit AS expected_ord FROM m WHERE hit IS NOT NULL"""
+
+
+@query(MATCH_SQL)
+def j20_match_expected(spark, sf_dir):
+    """Events as findings with seven titles; three in five of them as expectations of one or two titles."""
+    n = F.col("event_id")
+    f = read_table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("case"), n.alias("ord"), F.col("event_type").alias("category"), (n % 3).cast("string").alias("file_path"), F.concat(F.lit("issue "), (n % 7).cast("string")).alias("title"))
+    pattern = F.concat(F.lit("^issue ["), (F.col("ord") % 4).cast("string"), (F.col("ord") % 5).cast("string"), F.lit("]$"))
+    return evals.match_expected(f, f.filter(F.col("ord") % 5 < 3).select("case", "ord", "category", "file_path", pattern.alias("title_regex")))

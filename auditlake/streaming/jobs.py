@@ -70,9 +70,9 @@ def detect_stuck(progress: DataFrame, seconds: int = lifecycle.STUCK_SECONDS, de
 
 def silences(progress: DataFrame, now: Column, seconds: int = lifecycle.STUCK_SECONDS) -> DataFrame:
     """The same of a table, up to `now`. A project's writes are compared with the next one only; of writes at one time the one that ends the run counts."""
-    writes = progress.filter("ts IS NOT NULL AND project_id IS NOT NULL").select("project_id", "ts", (F.col("status") == "processing").alias("running"))
+    writes = progress.filter("ts IS NOT NULL AND project_id IS NOT NULL").select("project_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("status") == "processing").alias("running"))
     ahead = F.lead("ts").over(Window.partitionBy("project_id").orderBy("ts", F.desc("running")))
-    quiet = F.coalesce(F.unix_micros("_next") > F.unix_micros("ts") + seconds * 1_000_000, F.unix_micros(now) > F.unix_micros("ts") + seconds * 1_000_000)
+    quiet = F.coalesce(F.unix_micros("_next") > F.unix_micros("ts") + seconds * 1_000_000, F.unix_micros(now.cast("timestamp")) > F.unix_micros("ts") + seconds * 1_000_000)
     return writes.withColumn("_next", ahead).filter("running").filter(quiet).select("project_id", F.col("ts").alias("silent_since"))
 
 

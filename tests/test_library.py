@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from auditlake.functions import paths, text
-from auditlake.operators import chunks, evals, findings, graph, lifecycle, review, rules, scoring, search, usage, vectors
+from auditlake.operators import chunks, evals, findings, graph, lifecycle, quantiles, review, rules, scoring, search, usage, vectors
 from auditlake.plans.report import build_reports
 from auditlake.sources import archives, tables
 from auditlake.streaming import jobs
@@ -441,3 +441,56 @@ def test_prompts_of_questions(spark):
     head = "Role.\nProject: Shop\nDetected framework: Unknown\n\nRules:\n- Cite.\n- Data has B.\n\nRetrieved code sources:\n"
     assert got[1]["prompt"] == head + "<<<DATA B\nSource 1. File: a.ts (L3-L9)\none\nDATA B>>>\n\n<<<DATA B\nSource 2. File: b.ts (lines unknown)\ntwo\nDATA B>>>"
     assert got[2]["prompt"] == head + "(No relevant sources were retrieved.)" and got[2]["sources"] == [] and [s["score"] for s in got[1]["sources"]] == [0.9, 0.5]
+
+
+@pytest.mark.parametrize("few, parts, sent", [(5, 4, 50_000), (100_000, 1024, 50_000), (3, 7, 0)])
+def test_percentiles_by_ranges(spark, monkeypatch, few, parts, sent):
+    """Against sorted lists: ties, one value for a third of all rows, negative and very large numbers, nulls, a group of one and a null group."""
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "PARTS", parts)
+    monkeypatch.setattr(quantiles, "BROADCAST_ROWS", sent)
+    rng = random.Random(few)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([7.0, rng.gauss(0, 1), rng.gauss(0, 1) * 10 ** rng.randrange(-200, 200)]), rng.randrange(5)) for _ in range(120)]
+    rows += [("one", 3.0, None), ("none", None, None), ("ends", 1e308, 1), ("ends", -1e308, 2), ("ends", math.inf, 3), ("ends", -math.inf, 4), ("ends", 5e-324, 5), ("ends", 0.0, 6)]
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95}
+    got = quantiles.percentiles(spark.createDataFrame(rows, "g string, x double, y int"), "g", ["x", "y"], shares)
+    want = {}
+    for g in {r[0] for r in rows}:
+        for at, name in ((1, "x"), (2, "y")):
+            held = sorted(r[at] for r in rows if r[0] == g and r[at] is not None)
+            for label, share in shares.items():
+                place = share * (len(held) - 1)
+                under, over = math.floor(place), math.ceil(place)
+                want.setdefault(g, {})[f"{name}_{label}"] = None if not held else held[under] if under == over else (over - place) * held[under] + (place - under) * held[over]
+    assert {r["g"]: {k: r[k] for k in r.asDict() if k != "g"} for r in got.collect()} == want
+
+
+def test_one_to_one_matching_is_the_greedy_one(spark):
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma"]
+    f = [(rng.choice("cd"), i, rng.choice(["x", None]), rng.choice(["a.ts", None]), rng.choice([*words, None])) for i in range(60)]
+    e = [(rng.choice("cd"), i, rng.choice(["x", None]), rng.choice(["a.ts", None]), rng.choice(["a", "alpha|beta", "^g", "m"])) for i in range(40)]
+    want = set()
+    left = list(e)
+    for case, i, category, path, title in f:
+        hit = next((x for x in left if (x[0], x[2], x[3]) == (case, category, path) and re.search(x[4], title or "")), None)
+        if hit:
+            left.remove(hit)
+            want.add((case, i, hit[1]))
+    findings_ = spark.createDataFrame(f, "case string, ord int, category string, file_path string, title string")
+    expected = spark.createDataFrame(e, "case string, ord int, category string, file_path string, title_regex string")
+    assert {tuple(r) for r in evals.match_expected(findings_, expected).collect()} == want and len(want) > 15
+    assert evals.match_expected(findings_, expected.limit(0)).count() == 0
+
+
+def test_names_that_end_inside_a_segment(spark):
+    """Against all pairs of a project: slash-less and empty names on either side."""
+    rng = random.Random(3)
+    names = ["b", "ab", "cab", "x/ab", "y/x/ab", "x/cab", "ab/b", "bb"]
+    sources = sorted({(p, rng.choice(names) + ".ts") for p in "pqr" for _ in range(9)})
+    tests_ = sorted({(p, rng.choice(["", "x/", "__tests__/", "y/"]) + rng.choice(names) + ".test.ts") for p in "pq" for _ in range(4)} | {("r", ".test.ts")})
+    frame = lambda rows: spark.createDataFrame(rows, "project_id string, path string")
+    guess = {(r["project_id"], r["g"]) for r in frame(tests_).select("project_id", paths.guess_source(F.col("path")).alias("g")).collect()}
+    bare = {(r["project_id"], r["path"]): r["b"] for r in frame(sources).select("project_id", "path", paths.strip_ext(F.col("path")).alias("b")).collect()}
+    want = {k for k, b in bare.items() if any(p == k[0] and (g.endswith(b) or b.endswith(g)) for p, g in guess)}
+    assert {tuple(r) for r in graph.tested_by_name(frame(sources), frame(tests_)).collect()} == want
