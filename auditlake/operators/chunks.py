@@ -7,8 +7,9 @@ seq, content, start_line, end_line.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,37 @@ def split_text(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Da
     return cut.select("project_id", "file_path", F.col("p.at").alias("seq"), F.col("p.content").alias("content"), F.col("p.start_line").alias("start_line"), F.col("p.end_line").alias("end_line"))
 
 
+SPANS = "project_id string, file_path string, node_type string, name string, start_offset int, end_offset int, start_line int, end_line int"
+#: One declaration that an extractor finds: node_type, name, start_offset, end_offset (code points), start_line, end_line (from 1).
+Span = tuple[str, "str | None", int, int, int, int]
+
+
+def extracted_spans(files: DataFrame, extract: Callable[[str, str], Iterable[Span]]) -> DataFrame:
+    """The spans that a caller's extractor finds: `extract(path, content)` for each file, in tasks, a batch of files at a time.
+
+    Which languages it parses, and how, is the extractor's matter; what it returns is checked. A span that is no such tuple, lies outside its
+    file, ends before it begins or has no type ends the job with an error that names the file. Null contents are not read.
+    """
+
+    def checked(path: str, content: str, span: Span) -> Span:
+        try:
+            kind, name, start, end, first, last = span
+            fine = isinstance(kind, str) and (name is None or isinstance(name, str)) and all(type(x) is int for x in (start, end, first, last))
+        except (TypeError, ValueError):
+            fine = False
+        if not fine or not (kind and 0 <= start <= end <= len(content) and 1 <= first <= last <= content.count("\n") + 1):
+            raise ValueError(f"the extractor's span {span!r} does not fit {path}")
+        return span
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in SPANS.split(", ")]
+        for f in frames:
+            rows = [(project, path, *checked(path, content, s)) for project, path, content in f.itertuples(index=False) for s in extract(path, content)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return files.filter("content IS NOT NULL").select(F.col("project_id").cast("string").alias("project_id"), "path", "content").mapInPandas(run, SPANS)
+
+
 def chunk_spans(files: DataFrame, spans: DataFrame) -> DataFrame:
     """A chunk per declaration, in order: large ones split, tiny expressions left out; files without spans whole or split; blank files give none."""
     files = files.filter(F.col("content").rlike(r"(?U)\S"))

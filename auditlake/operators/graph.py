@@ -9,26 +9,31 @@ from itertools import count
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import paths, text
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """`df` written to a table in the cluster's shared checkpoint folder and read back, with its lineage cut.
-
-    A table has the size of its files, where a checkpoint keeps an estimate that grows with every join of a loop.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder among the cluster's checkpoints."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         # One machine, as in tests: any folder of it is shared.
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """`df` written to a table in the cluster's shared checkpoint folder and read back, with its lineage cut.
+
+    A table has the size of its files, where a checkpoint keeps an estimate that grows with every join of a loop.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources import versions
 from .search import blocked_topk
 
 TOP_K, TEXT_CUT = 8, 8000
@@ -86,6 +87,14 @@ def store_knowledge(state: DataFrame, drafts: DataFrame, cache: DataFrame, model
     return state.join(done, "project_id", "left_anti").unionByName(vectors.select(*state.columns)), cache.join(done, "project_id", "left_anti")
 
 
+def publish_knowledge(spark: SparkSession, root: str, drafts: DataFrame, model: str, fresh: DataFrame) -> int:
+    """Publishes tables `chunks` and `cache` with the drafts' projects swapped, both in one version: a reader finds the old chunks or the new ones."""
+    number, _ = versions.current(spark, root)
+    chunks, cache = (versions.read_version(spark, root, t, number) for t in ("chunks", "cache"))
+    new_chunks, new_cache = store_knowledge(chunks, drafts, cache, model, fresh)
+    return versions.publish(spark, root, {"chunks": new_chunks, "cache": new_cache}, expect=number)
+
+
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, key: str = "chunk_id") -> DataFrame:
     """project_id, query_id, chunk key, score, rank: each query's k nearest chunks of its own project by exact cosine, ties by key."""
     return blocked_topk(queries, chunks, k, key)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evals, review, vectors
+from ..operators import chunks, evals, review, vectors
+from ..operators.graph import shared_folder
+from ..sources import versions
 from ..sources.tables import read_table
-from .corpus_queries import CLAIMS_SQL, TOPK_SQL, chunked, claims_of, embedded
+from ..streaming import jobs
+from .corpus_queries import CLAIMS_SQL, FILES, TOPK_SQL, claims_of, embedded, files_of
 from .operator_queries import SAMPLE_SQL
 from .registry import ORACLE_SQL, query
 
@@ -138,3 +143,71 @@ def j20_match_expected(spark, sf_dir):
     f = read_table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("case"), n.alias("ord"), F.col("event_type").alias("category"), (n % 3).cast("string").alias("file_path"), F.concat(F.lit("issue "), (n % 7).cast("string")).alias("title"))
     pattern = F.concat(F.lit("^issue ["), (F.col("ord") % 4).cast("string"), (F.col("ord") % 5).cast("string"), F.lit("]$"))
     return evals.match_expected(f, f.filter(F.col("ord") % 5 < 3).select("case", "ord", "category", "file_path", pattern.alias("title_regex")))
+
+
+# Versions, late rows and extracted spans.
+
+KNOWLEDGE_SQL = "SELECT label AS project_id, count(*) AS chunks, count(*) FILTER (WHERE vec_id % 3 = 0) AS stored, count(*) FILTER (WHERE vec_id % 3 = 1) AS cached, count(*) FILTER (WHERE vec_id % 3 = 2) AS fresh FROM embeddings WHERE label % 2 = 0 GROUP BY label UNION ALL SELECT label, count(*), count(*) FILTER (WHERE vec_id % 3 = 0), 0, 0 FROM embeddings WHERE label % 2 <> 0 GROUP BY label"
+
+
+@query(KNOWLEDGE_SQL)
+def c11_publish_knowledge(spark, sf_dir):
+    """Projects of an even number are published anew. A third of their contents has a stored vector (2), a third a kept one (3; the stored 4 counts less), the rest a fresh one (1)."""
+    e = read_table(spark, sf_dir, "embeddings")
+    content = F.col("vec_id").cast("string")
+    vector = lambda of, x: F.when(of, F.array(F.lit(x)).cast("array<float>"))
+    rows = e.select(F.col("label").alias("project_id"), "vec_id", content.alias("content"), text.content_hash(content).alias("content_hash"), F.lit("m").alias("embedding_model"))
+    third = F.col("vec_id") % 3
+    stored = rows.withColumn("embedding", F.coalesce(vector(third == 0, 2.0), vector((third == 1) & (F.col("project_id") % 2 == 0), 4.0)))
+    cache = rows.filter((third == 1) & (F.col("project_id") % 2 == 0)).withColumn("embedding", F.array(F.lit(3.0)).cast("array<float>"))
+    root = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    columns = ["project_id", "content", "content_hash", "embedding", "embedding_model"]
+    versions.publish(spark, root, {"chunks": stored.select(*columns), "cache": cache.select("project_id", "content_hash", "embedding", "embedding_model")})
+    drafts = rows.filter("project_id % 2 = 0").select("project_id", "content")
+    fresh = vectors.embed_missing(drafts, versions.read_version(spark, root, "chunks"), versions.read_version(spark, root, "cache"), "m", one_number, 1)
+    vectors.publish_knowledge(spark, root, drafts, "m", fresh)
+    first = F.col("embedding")[0]
+    out = versions.read_version(spark, root, "chunks")
+    return out.groupBy("project_id").agg(F.count("*").alias("chunks"), F.count_if(first == 2.0).alias("stored"), F.count_if(first == 3.0).alias("cached"), F.count_if(first == 1.0).alias("fresh"))
+
+
+def one_number(texts: list[str]) -> list[list[float]]:
+    return [[1.0] for _ in texts]
+
+
+#: Events come in twenty batches by the hour of their id; a row is late when an earlier batch has one newer by over ten days.
+LATE_SQL = """b AS (SELECT *, (event_id * 7919) % 20 AS batch FROM events), x AS (SELECT batch, max(ts) AS newest FROM b GROUP BY batch), s AS (SELECT batch, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM x),
+l AS (SELECT b.*, coalesce(ts < seen - INTERVAL 10 DAY, false) AS late FROM b JOIN s USING (batch)), r AS (SELECT *, row_number() OVER (PARTITION BY event_id // 2 ORDER BY batch, ts, user_id) AS n FROM l WHERE NOT late)"""
+
+
+def arriving_of(spark, sf_dir) -> DataFrame:
+    """Events as calls, two of which share an id."""
+    e = read_table(spark, sf_dir, "events")
+    return e.select(F.floor(F.col("event_id") / 2).alias("event_id"), "user_id", (F.col("event_id") % 50).alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"), F.col("ts").cast("timestamp").alias("created_at"), (F.col("event_id") * 7919 % 20).alias("batch"))
+
+
+@query(f"WITH {LATE_SQL} SELECT batch, count(*) FILTER (WHERE late) AS late, (SELECT count(*) FROM r WHERE r.batch = l.batch AND n > 1) AS repeated FROM l GROUP BY batch")
+def t2_late_rows(spark, sf_dir):
+    return jobs.late_counters(arriving_of(spark, sf_dir), 10 * 86_400)[1]
+
+
+@query(f"WITH {LATE_SQL} SELECT user_id, date_trunc('day', ts) AS day, sum(event_id % 50 + 1)::BIGINT AS tokens, count(*) AS calls FROM r WHERE n = 1 GROUP BY ALL")
+def t2_timely_counters(spark, sf_dir):
+    return jobs.late_counters(arriving_of(spark, sf_dir), 10 * 86_400)[0].withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+def sentences_of(path: str, content: str) -> list:
+    """Stands for a parser: a declaration for each line that is not blank."""
+    found, at = [], 0
+    for number, line in enumerate(content.split("\n"), 1):
+        if line.strip(" \t\r"):
+            found.append(("function_declaration", path.rsplit("/", 1)[-1], at, at + len(line), number, number))
+        at += len(line) + 1
+    return found
+
+
+@query(f"""WITH {FILES}, l AS (SELECT project_id, path, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line, unnest(string_split(content, chr(10))) AS t FROM files)
+SELECT project_id, path AS file_path, count(*) AS spans, sum(length(t))::BIGINT AS chars, max(line)::INT AS last FROM l WHERE trim(t, ' ' || chr(9) || chr(13)) <> '' GROUP BY ALL""")
+def x5_extracted_spans(spark, sf_dir):
+    spans = chunks.extracted_spans(files_of(spark, sf_dir), sentences_of)
+    return spans.groupBy("project_id", "file_path").agg(F.count("*").alias("spans"), F.sum(F.col("end_offset") - F.col("start_offset")).alias("chars"), F.max("end_line").alias("last"))

@@ -132,11 +132,11 @@ def t4_detect_stuck(spark, sf_dir):
 
 
 @query("""SELECT user_id AS project_id, ts AS silent_since FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type <> 'error' DESC) AS next FROM events)
-WHERE event_type <> 'error' AND coalesce(next, TIMESTAMP '2024-01-30 00:00:00') > ts + INTERVAL 7 DAY""")
+WHERE event_type <> 'error' AND coalesce(next, TIMESTAMP '2024-01-30 00:00:00') > ts + INTERVAL 1 DAY""")
 def t4_silences(spark, sf_dir):
-    """Every week in which a running project wrote nothing."""
+    """Every day in which a running project wrote nothing."""
     progress = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("project_id"), "ts", F.when(F.col("event_type") == "error", "failed").otherwise("processing").alias("status"))
-    return jobs.silences(progress, at("2024-01-30 00:00:00"), 7 * 86_400).select("project_id", F.col("silent_since").cast("timestamp_ntz").alias("silent_since"))
+    return jobs.silences(progress, at("2024-01-30 00:00:00"), 86_400).select("project_id", F.col("silent_since").cast("timestamp_ntz").alias("silent_since"))
 
 
 @query("SELECT user_id AS subscription_id, arg_max(event_id, ts) AS event_id, max(ts) AS event_time, arg_max(event_type, ts) AS status FROM events GROUP BY user_id")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import lifecycle, usage, vectors
+from ..operators.graph import kept
+from ..sources import versions
 from .keyed import DECIDED, SILENT, Limiter, OrderedLimiter, Silence, by_key, decide
 
 #: What the batch form's Python function returns.
@@ -54,6 +56,53 @@ def daily_counters(calls: DataFrame, delay: str | None = "1 day") -> DataFrame:
     return sums.select("user_id", F.col("w.start").alias("day"), "tokens", "calls")
 
 
+COUNTERS, HORIZON, RECENT, LATE = "user_id long, day timestamp, tokens long, calls long", "seen timestamp", "event_id long, created_at timestamp", "batch long, late long, repeated long"
+
+
+def sync_counters(calls: DataFrame, root: str, delay_seconds: int, checkpoint: str):
+    """Runs what is there: daily counters in versioned tables, each micro-batch once, with late and repeated rows counted.
+
+    calls (event_id, user_id, input_tokens, output_tokens, created_at). A row is late if an earlier batch has had one that is newer by more than
+    the delay: it is left out of `counters` and counted in `late`. A repeated event_id within the delay counts once; only ids of that
+    time are remembered, in `recent`. All tables of a batch are published in one version, so a batch that is run again changes nothing.
+    """
+    state = {"counters": COUNTERS, "horizon": HORIZON, "recent": RECENT, "late": LATE}
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        at, tables = versions.current(spark, root)
+        old = {t: versions.read_version(spark, root, t, at) if t in tables else spark.createDataFrame([], schema) for t, schema in state.items()}
+        seen = old["horizon"].agg(F.max(F.unix_micros("seen"))).first()[0]
+        oldest = None if seen is None else seen - delay_seconds * 1_000_000
+        late = F.coalesce(F.unix_micros("created_at") < F.lit(oldest), F.lit(False))
+        rows = kept(batch.withColumns({"late": late, "_n": F.row_number().over(Window.partitionBy("event_id").orderBy(late, "created_at", "user_id"))}))
+        first = kept(rows.filter("NOT late AND _n = 1").hint("merge").join(old["recent"].select("event_id").hint("merge"), "event_id", "left_anti"))
+        n, n_late, newest = rows.agg(F.count("*"), F.count_if("late"), F.max(F.unix_micros("created_at"))).first()
+        counters = old["counters"].unionByName(daily_counters(first, None)).groupBy("user_id", "day").agg(F.sum("tokens").alias("tokens"), F.sum("calls").alias("calls"))
+        newest = max((x for x in (seen, newest) if x is not None), default=None)
+        horizon = spark.range(1).select(F.timestamp_micros(F.lit(newest)).alias("seen"))
+        young = F.lit(True) if newest is None else F.unix_micros("created_at") >= newest - delay_seconds * 1_000_000
+        recent = old["recent"].unionByName(first.select("event_id", "created_at")).filter(young)
+        counts = spark.createDataFrame([(number, n_late, n - n_late - first.count())], LATE)
+        late = old["late"].unionByName(counts)
+        versions.publish(spark, root, {"counters": counters, "horizon": horizon, "recent": recent, "late": late}, batch=number)
+
+    return calls.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def late_counters(calls: DataFrame, delay_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """(counters; batch, late, repeated) of a table whose `batch` tells in which micro-batch a row came: the batch form of `sync_counters`."""
+    # Batches are few; the newest time before each is a running maximum of one row a batch.
+    newest = calls.groupBy("batch").agg(F.max("created_at").alias("newest"))
+    before = newest.select("batch", F.max("newest").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)).alias("seen"))
+    rows = calls.hint("merge").join(before.hint("merge"), "batch").withColumn("late", F.coalesce(F.col("created_at") < F.col("seen") - F.make_dt_interval(secs=F.lit(delay_seconds)), F.lit(False)))
+    timely = rows.filter("NOT late").withColumn("_n", F.row_number().over(Window.partitionBy("event_id").orderBy("batch", "created_at", "user_id")))
+    counters = daily_counters(timely.filter("_n = 1"), None)
+    repeated = timely.groupBy("batch").agg(F.count_if(F.col("_n") > 1).alias("repeated"))
+    late = rows.groupBy("batch").agg(F.count_if("late").alias("late"))
+    return counters, late.hint("merge").join(repeated.hint("merge"), "batch", "left").select("batch", "late", F.coalesce("repeated", F.lit(0)).cast("long").alias("repeated"))
+
+
 def over_budget(counters: DataFrame, tokens_per_day: int) -> DataFrame:
     return counters.withColumn("over_budget", F.col("tokens") >= tokens_per_day)
 
