@@ -158,6 +158,5 @@ def embed_stream(drafts: DataFrame, read_cache: Callable[[SparkSession], DataFra
 
 
 def redact_stream(lines: DataFrame) -> DataFrame:
-    """Log lines (JSON objects of strings) with secrets masked."""
-    fields = F.from_json("value", "map<string,string>")
-    return lines.select(F.to_json(text.sanitize_fields(fields)).alias("value"))
+    """Log lines in JSON with sensitive keys masked and secrets in texts replaced, at every level."""
+    return lines.select(text.sanitize_json(F.col("value")).alias("value"))
