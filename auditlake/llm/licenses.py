@@ -1,11 +1,11 @@
 """License scans with a positional index of rare words.
 
-Every license template is a sequence of words, one run of which is its mandatory key phrase. The index posts each
-word of a template with its offset. Of a file the licence words that are rarest in the corpus (highest inverse
-document frequency) are looked up, and the rarest word of every key phrase that the file holds. A posting and the word's
-position give where the template would start; equal starts are one candidate. There the key phrase must stand whole,
-and the words in their places must be enough of the template by weight. Built-in functions only: a file is one row
-throughout, and only the words' document frequencies are shuffled.
+Every license template is a sequence of words, one run of which is its mandatory key phrase. The index posts, for each
+template, its words of highest inverse document frequency with their offsets: so many that a file which covers enough of the
+template by weight must hold two of them in their places (one, where the template is too short for that). A file's words that
+are posted are looked up; a posting and the word's position give where the template would start, and only starts on which
+enough postings agree are candidates. There the key phrase must stand whole, and the words in their places must be enough of the
+template by weight. Built-in functions only: a file is one row throughout, and only the words' document frequencies are shuffled.
 """
 
 from __future__ import annotations
@@ -22,10 +22,8 @@ from .license_texts import TEXTS
 
 #: label, text, key phrase. Base phrases are key phrases altogether.
 BASE = [("mit", "mit license", "mit license"), ("apache", "apache license", "apache license"), ("gpl", "general public license", "general public license")]
-#: Rarest licence words of a file that are looked up besides those of key phrases, and the share of a template's weight that a hit covers.
-RARE, COVER = 8, 0.75
-#: Least inverse document frequency of a rare word: in one of a hundred documents.
-FLOOR = math.log(100)
+#: The share of a template's weight that a hit covers.
+COVER = 0.75
 
 
 def plain_words(text: str) -> list[str]:
@@ -63,23 +61,42 @@ def inverse_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str =
     return {w: math.log((n + 1) / (found.get(w, 0) + 1)) for w in vocabulary}
 
 
-def license_hits(docs: DataFrame, templates: list, base: list = BASE, text_col: str = "text", cover: float = COVER, rare: int = RARE) -> DataFrame:
-    """`docs` with n_words and `hits`: of each the template's number among base + templates, start, and covered share of its weight."""
+def posted(template: dict, idf: dict[str, float], most: int | None = None) -> tuple[set[str], int]:
+    """The rarest words of a template that the index posts, and how many postings a hit agrees with at least.
+
+    A hit misses less than 1 - `least` of the weight. While the posted places weigh more than that and the heaviest of them together, it
+    holds two of them; where all places do not weigh so much, places that weigh more than 1 - `least` leave one.
+    """
+    weight = dict(zip(template["words"], template["weights"], strict=True))
+    missed = (1 - template["least"]) * sum(template["weights"])
+    words = sorted(weight, key=lambda w: (-idf[w], w))
+    for votes in (2, 1):
+        taken: set[str] = set()
+        for w in words:
+            taken.add(w)
+            places = [weight[x] for x in template["words"] if x in taken]
+            if sum(places) - (max(places) if votes == 2 else 0) > missed + 1e-9:
+                return set(words[: len(taken)][:most]), votes
+    return set(words[:most]), 1
+
+
+def license_hits(docs: DataFrame, templates: list, base: list = BASE, text_col: str = "text", cover: float = COVER, rare: int | None = None) -> DataFrame:
+    """`docs` with n_words and `hits`: of each the template's number among base + templates, start, and covered share of its weight.
+
+    `rare` posts no more words of a template, which can lose hits; base phrases are posted by what the bound asks for in any case.
+    """
     every = parsed([*base, *templates])
     vocabulary = sorted({w for t in every for w in t["words"]})
     idf = inverse_frequencies(docs, vocabulary, text_col)
-    by_idf = sorted(vocabulary, key=lambda w: (-idf[w], w))
-    anchors = sorted({min(t["key"], key=by_idf.index) for t in every})
     for number, t in enumerate(every):
         t["weights"] = [max(idf[w], 0.01) for w in t["words"]]
         t["least"] = 0.999999 if number < len(base) else cover
-    # Common words tell nothing, unless a key phrase has no rarer one.
-    looked_up = [w for w in by_idf if idf[w] >= FLOOR or w in anchors]
-    posts = lambda w, of: [place(n, i) for n, t in enumerate(every) for i, x in enumerate(t["words"]) if x == w and of(t)]
-    whole = constant(every, "array<struct<words:array<string>,key:array<string>,at:int,weights:array<double>,least:double>>")
-    postings = constant([posts(w, lambda t: True) for w in looked_up], "array<array<bigint>>")
-    marked = constant([posts(w, lambda t: w == min(t["key"], key=by_idf.index)) for w in looked_up], "array<array<bigint>>")
-    order, marks = constant(looked_up, "array<string>"), constant(anchors, "array<string>")
+        t["posted"], t["votes"] = posted(t, idf, None if number < len(base) else rare)
+    looked_up = sorted({w for t in every for w in t["posted"]}, key=lambda w: (-idf[w], w))
+    posts = lambda w: [place(n, i) for n, t in enumerate(every) if w in t["posted"] for i, x in enumerate(t["words"]) if x == w]
+    whole = constant([{k: v for k, v in t.items() if k != "posted"} for t in every], "array<struct<words:array<string>,key:array<string>,at:int,weights:array<double>,least:double,votes:int>>")
+    postings = constant([posts(w) for w in looked_up], "array<array<bigint>>")
+    order = constant(looked_up, "array<string>")
 
     def judged(words: Column, c: Column) -> Column:
         t, start = F.get(whole, F.shiftright(c, 40).cast("int")), (c.bitwiseAND(2**40 - 1) - 2**32).cast("int")
@@ -90,16 +107,19 @@ def license_hits(docs: DataFrame, templates: list, base: list = BASE, text_col:
         hit = lambda share: F.when(share >= t["least"], F.struct(F.shiftright(c, 40).cast("int").alias("template"), start.alias("start"), F.least(F.lit(1.0), share).alias("share")))
         return F.when(phrase, once(sums / total, hit))
 
+    def agreed(starts: Column) -> Column:
+        # Equal starts lie side by side; where two postings must agree, a start counts with its second.
+        alone = lambda c: F.get(whole, F.shiftright(c, 40).cast("int"))["votes"] == 1
+        return F.array_distinct(F.filter(starts, lambda c, k: alone(c) | F.coalesce(F.get(starts, k - 1) == c, F.lit(False))))
+
     def found(words: Column, asked: Column) -> Column:
         places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(asked, w), F.struct(F.array_position(order, w).cast("int").alias("w"), i.alias("i")))), lambda p: p.isNotNull())
-        starts = lambda table: lambda seen: F.flatten(F.transform(seen, lambda p: F.transform(F.get(table, p["w"] - 1), lambda q: q + p["i"])))
-        both = lambda seen: F.array_intersect(starts(postings)(seen), starts(marked)(seen))
-        return F.filter(F.transform(once(places, both), lambda c: judged(words, c)), lambda h: h.isNotNull())
+        starts = lambda seen: F.array_sort(F.flatten(F.transform(seen, lambda p: F.transform(F.get(postings, p["w"] - 1), lambda q: q + p["i"]))))
+        return F.filter(F.transform(once(once(places, starts), agreed), lambda c: judged(words, c)), lambda h: h.isNotNull())
 
     def scan(words: Column) -> Column:
         # The result of an intersection keeps the order of the first array: rarest first.
-        asked = lambda held: F.array_union(F.slice(held, 1, rare), F.array_intersect(marks, held))
-        hits = once(once(F.array_intersect(order, words), asked), lambda a: F.when(F.size(a) > 0, found(words, a)))
+        hits = once(F.array_intersect(order, words), lambda a: F.when(F.size(a) > 0, found(words, a)))
         none = F.array().cast("array<struct<template:int,start:int,share:double>>")
         return F.struct(F.size(words).cast("long").alias("n_words"), F.coalesce(hits, none).alias("hits"))
 
@@ -115,8 +135,8 @@ def licenses(docs: DataFrame, templates: list = TEXTS, base: list = BASE, id_col
     covered share among the hits of templates and base phrases, 0 without one. Null and empty texts have no words
     and no hits; a template that begins before the text does, or ends after it, is a hit where its key phrase stands and
     enough is covered. Repeated rows get equal results; rows that share an id but not a text are judged each by its own.
-    An empty table gives no rows. Other columns are not read, whatever their names. Every key phrase is looked up by its
-    rarest word in every file, so no hit depends on how many other words are.
+    An empty table gives no rows. Other columns are not read, whatever their names. Every posted word of a file is
+    looked up, so no hit depends on what else the file holds.
     """
     rows = license_hits(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), templates, base)
     names = constant([t[0] for t in [*base, *templates]], "array<string>")

@@ -565,3 +565,28 @@ def test_tool_calls_are_hash_joined(spark):
     made = tool_calls.link_calls(*tool_calls.from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
     plan = made._jdf.queryExecution().sparkPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_templates_are_found_by_their_rare_words(spark):
+    """Without posted words no template is found, but base phrases are; with all that the bound asks for, what brute force finds."""
+    texts = [(k, f"words before {t} and after") for k, (_, t, _) in enumerate(licenses.TEXTS)] + [(900 + i, s) for i, s in enumerate(sentences(77, 30, 20))] + [(999, "the MIT License")]
+    docs = table(spark, texts)
+    hits = lambda rare: sorted((r["doc_id"], h["template"], h["start"]) for r in licenses.license_hits(docs, licenses.TEXTS, rare=rare).select("doc_id", "hits").collect() for h in r["hits"])
+    none, whole = hits(0), hits(None)
+    assert none and all(template < len(licenses.BASE) for _, template, _ in none) and set(none) < set(whole)
+    assert {d for d, template, _ in whole if template >= len(licenses.BASE)} >= set(range(len(licenses.TEXTS)))
+
+
+def test_posted_words_are_enough():
+    """However the missed words of a hit are chosen, as many posted places as promised are left."""
+    rng = random.Random(8)
+    for _ in range(300):
+        words = [rng.choice("abcdefghij") for _ in range(rng.randrange(1, 12))]
+        idf = {w: rng.choice([0.0, 0.5, 1.0, 4.0, 7.0]) for w in words}
+        template = {"words": words, "weights": [max(idf[w], 0.01) for w in words], "least": rng.choice([0.75, 0.999999])}
+        taken, votes = licenses.posted(template, idf)
+        missed = (1 - template["least"]) * sum(template["weights"])
+        # The fewest posted places that are left: all missed weight is spent on the heaviest that fit, by every choice of places.
+        places = [w for x, w in zip(words, template["weights"]) if x in taken]
+        fewest = min(len(places) - n for n in range(len(places) + 1) for lost in itertools.combinations(places, n) if sum(lost) <= missed)
+        assert fewest >= votes
