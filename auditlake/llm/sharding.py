@@ -22,52 +22,60 @@ LARGE, NEAR = 50, 1.02
 LOWEST = -(2**63)
 
 
-def range_of(high: Column, low: Column, splitters: list[tuple[int, int]]) -> Column:
-    """How many of the sorted splitters are at or below the key (high, low): a binary search."""
+#: A record's place in the whole order: text, identifier, and a number that tells repeated rows apart.
+KEY = ("high", "low", "tie")
+
+
+def range_of(key: tuple[Column, ...], splitters: list[tuple[int, ...]]) -> Column:
+    """How many of the sorted splitters are at or below the key: a binary search."""
     if not splitters:
         return F.lit(0)
-    tops, lows = (F.from_json(F.lit(json.dumps([s[i] for s in splitters])), "array<bigint>") for i in (0, 1))
+    parts = [F.from_json(F.lit(json.dumps(list(part))), "array<bigint>") for part in zip(*splitters, strict=True)]
 
     def halve(state: Column, _: Column) -> Column:
         mid = F.floor((state["a"] + state["b"]) / 2).cast("int")
-        top, below = F.get(tops, mid), F.get(lows, mid)
-        at = (top < high) | ((top == high) & (below <= low))
+        at = F.struct(*[F.get(part, mid).alias(c) for part, c in zip(parts, KEY, strict=True)]) <= F.struct(*[x.alias(c) for x, c in zip(key, KEY, strict=True)])
         live = state["a"] < state["b"]
         return F.struct(F.when(live & at, mid + 1).otherwise(state["a"]).alias("a"), F.when(live & ~at, mid).otherwise(state["b"]).alias("b"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(splitters).bit_length())), F.struct(F.lit(0).alias("a"), F.lit(len(splitters)).alias("b")), halve, lambda s: s["a"])
 
 
-def sampled(rows: DataFrame, count: int, seed: int) -> list[tuple[int, int]]:
-    """Keys of `count` rows, drawn without replacement with chances in proportion to size (the earliest of exponential clocks).
+def sampled(rows: DataFrame, count: int, seed: int, weight: Column | None = None) -> list[tuple[int, ...]]:
+    """Keys of `count` rows, drawn without replacement with chances in proportion to size, or to `weight` (the earliest of exponential clocks).
 
     About twice `count` clocks are below the time kept here, over all tasks together, so few rows are sent to be ordered.
     """
-    total = rows.agg(F.sum("size")).first()[0] or 1
-    even = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "high", "low"), 11) + 1) / F.lit(float(2**53 + 1))
-    clocks = rows.select("high", "low", (-F.log(even) / F.col("size")).alias("clock")).filter(F.col("clock") <= 2.0 * count / total)
-    return sorted((r["high"], r["low"]) for r in clocks.orderBy("clock", "high", "low").limit(count).collect())
+    weighed = rows.select(*KEY, (F.col("size").cast("double") if weight is None else weight).alias("weight"))
+    total = weighed.agg(F.sum("weight")).first()[0] or 1
+    even = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *KEY), 11) + 1) / F.lit(float(2**53 + 1))
+    clocks = weighed.select(*KEY, (-F.log(even) / F.col("weight")).alias("clock")).filter(F.col("clock") <= 2.0 * count / total)
+    return sorted(tuple(r[c] for c in KEY) for r in clocks.orderBy("clock", *KEY).limit(count).collect())
 
 
 def ranged(rows: DataFrame, ranges: int = RANGES, sample: int = SAMPLE, seed: int = 5) -> tuple[DataFrame, DataFrame]:
-    """`rows` (high, low, size) with their `range`, and the ranges' sums: range, bytes, rows, first, last. At most 10 * `ranges` ranges.
+    """`rows` (high, low, tie, size) with their `range`, and the ranges' sums: range, bytes, rows, first, last. At most 10 * `ranges` ranges.
 
-    Splitters stand between texts (before one, and before whatever follows it), so a text lies in one range; only an
-    overfull range that holds nothing else is cut further, by identifier.
+    Splitters stand between texts (before one, and before whatever follows it), so a text lies in one range. A range is overfull by its
+    bytes or by its rows, of which short texts may have very many; only one that holds nothing else than a text is cut further, by
+    identifier and then between repeated rows.
     """
     keys = sampled(rows, sample, seed)
     step = max(1, len(keys) // ranges)
-    splitters = sorted({(high, LOWEST) for high, _ in keys[step::step]})
+    splitters = sorted({(key[0], LOWEST, LOWEST) for key in keys[step::step]})
     for again in range(1, 5):
-        placed = rows.withColumn("range", range_of(F.col("high"), F.col("low"), splitters))
-        sums = cut(placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min(F.struct("high", "low")).alias("first"), F.max(F.struct("high", "low")).alias("last")))
-        total = sums.agg(F.sum("bytes")).first()[0] or 0
-        over = sums.filter((F.col("bytes") > 2 * total / ranges) & (F.col("first") < F.col("last"))).select("range", "first.high", F.expr("first.high = last.high").alias("alone")).collect()
+        placed = rows.withColumn("range", range_of(tuple(F.col(c) for c in KEY), splitters))
+        sums = cut(placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min(F.struct(*KEY)).alias("first"), F.max(F.struct(*KEY)).alias("last")))
+        total, count = sums.agg(F.sum("bytes"), F.sum("rows")).first()
+        full = (F.col("bytes") > 2 * (total or 0) / ranges) | (F.col("rows") > 2 * (count or 0) / ranges)
+        over = sums.filter(full & (F.col("first") < F.col("last"))).select("range", "first.high", F.expr("first.high = last.high").alias("alone")).collect()
         if not over:
             break
-        keys = sampled(placed.filter(F.col("range").isin([r["range"] for r in over])), sample, seed + again)
+        # Bytes and rows weigh alike here, as either may be what is too much.
+        weight = F.col("size") * (count / total) + 1
+        keys = sampled(placed.filter(F.col("range").isin([r["range"] for r in over])), sample, seed + again, weight)
         alone, wanted, before = {r["high"] for r in over if r["alone"]}, max(1, len(keys) // ranges), len(splitters)
-        more = {k for high, low in keys[wanted // 2 :: wanted] for k in ([(high, low)] if high in alone else [(high, LOWEST), (min(high + 1, 2**63 - 1), LOWEST)])}
+        more = {k for key in keys[wanted // 2 :: wanted] for k in ([key] if key[0] in alone else [(key[0], LOWEST, LOWEST), (min(key[0] + 1, 2**63 - 1), LOWEST, LOWEST)])}
         splitters = sorted({*splitters, *more})
         if len(splitters) == before:
             break
@@ -111,18 +119,19 @@ def shards_by_bytes(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES,
     have more than NEAR of it) is cut, by identifier. A small text goes where the middle of its copies lies, so a shard
     differs from its share by less than a LARGE-th on either side. slot numbers a shard's documents from 0 without
     gaps, in key order. Null and empty texts are equal texts. Null ids come first among equal texts; repeated rows have
-    slots of their own. An empty table gives no rows. Extra columns are not read.
+    slots of their own and may lie in ranges of their own. An empty table gives no rows. Extra columns are not read.
     """
     text = text_of(text_col)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("high"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("low"))
+        F.xxhash64(text).alias("high"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("low"), F.xxhash64(F.monotonically_increasing_id()).alias("tie"))
+    # Written once, so that repeated rows keep their numbers whatever is computed again.
     placed, sums = ranged(cut(rows), ranges, sample)
     # One row for each range, of which `ranged` has a bounded number.
     found = [tuple(r) for r in sums.select("range", "bytes", "first.high", F.col("last.high").alias("end")).collect()]
     plan, begins = arranged(found, shards)
     table = docs.sparkSession.createDataFrame(plan, "_range int, home int, cuttable boolean, before long")
-    own = "PARTITION BY range ORDER BY high, low, size"
+    own = "PARTITION BY range ORDER BY high, low, tie"
     at = placed.join(F.broadcast(table), F.col("range") == F.col("_range")).selectExpr(
         "*", f"before + sum(size) OVER ({own} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS position", f"row_number() OVER ({own}) - 1 AS nth",
         "sum(size) OVER (PARTITION BY range, high) AS copies")

@@ -590,3 +590,21 @@ def test_posted_words_are_enough():
         places = [w for x, w in zip(words, template["weights"]) if x in taken]
         fewest = min(len(places) - n for n in range(len(places) + 1) for lost in itertools.combinations(places, n) if sum(lost) <= missed)
         assert fewest >= votes
+
+
+def test_ranges_of_many_short_texts_are_cut(spark):
+    """10^5 empty texts and 20 000 copies of one row beside long texts: by bytes they are little, by rows nearly all."""
+    long = sentences(40, 400, 60)
+    rows = [(i, t * 20) for i, t in enumerate(long)]
+    short = spark.range(1000, 101_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text")).unionByName(spark.range(20_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same").alias("text")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(short).withColumn("tie", F.lit("x"))
+    seen = docs.select(F.xxhash64("text").alias("high"), F.col("doc_id").alias("low"), F.xxhash64(F.monotonically_increasing_id()).alias("tie"), (F.octet_length("text") + 1).cast("long").alias("size")).cache()
+    _, sums = sharding.ranged(seen, ranges=128, sample=4096)
+    n = [r["rows"] for r in sums.collect()]
+    assert sum(n) == 120_400 and max(n) <= 4 * 120_400 / 128 and len(n) <= 1280
+    got = sharding.shards_by_bytes(docs, shards=8, ranges=128, sample=4096)
+    by = {r["shard"]: r for r in got.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last")).collect()}
+    share = sum(r["bytes"] for r in by.values()) / 8
+    assert all(r["n"] == r["slots"] == r["last"] + 1 and abs(r["bytes"] - share) < 0.06 * share for r in by.values())
+    # Equal texts still share a shard.
+    assert got.filter("size = 1").select("shard").distinct().count() == 1 and got.filter("size = 5").select("shard").distinct().count() == 1
