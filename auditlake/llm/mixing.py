@@ -181,6 +181,29 @@ def op6_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.hint("merge").join(sums.hint("merge"), F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", F.col("taken").between(0, 2 * F.col("size")).alias("bounded"), near.alias("near"))
 
 
+def op6_mix_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of overlapping sources: every document belongs to its source and to its language, and may serve the quota of either.
+
+    Per document the sum of its sources' targets, whether it keeps to its bound, and whether all quotas together are met to a word a source.
+    """
+    rows = cut(mix(read(spark, sf_dir, "documents"), F.array(F.col("source"), F.concat(F.lit("lang:"), F.col("lang")))))
+    asked = rows.select(F.explode("of").alias("o")).groupBy(F.col("o.source").alias("source")).agg(F.max("o.target").alias("target"))
+    wanted, sources = asked.agg(F.coalesce(F.sum(F.round("target")), F.lit(0.0)), F.count("*")).first()
+    taken = rows.agg(F.coalesce(F.sum("taken"), F.lit(0))).first()[0]
+    both = F.aggregate("of", F.lit(0.0), lambda s, x: s + x["target"])
+    return rows.select("doc_id", "size", F.size("of").alias("n_sources"), both.alias("targets"), F.col("taken").between(0, 2 * F.col("size")).alias("bounded"), F.lit(abs(taken - wanted) <= sources).alias("whole"))
+
+
+OP6_OVERLAP_SQL = r"""
+WITH d AS (SELECT doc_id, source, 'lang:' || lang AS tongue, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+m AS (SELECT doc_id, size, source AS s FROM d UNION ALL SELECT doc_id, size, tongue FROM d WHERE tongue IS DISTINCT FROM source),
+s AS (SELECT s, sum(size) AS words, [3, 1, 2][1 + ((row_number() OVER (ORDER BY s NULLS LAST) - 1) % 3)::INT] AS weight FROM m GROUP BY s),
+o AS (SELECT *, 1.5 * (SELECT sum(size) FROM d) - sum(2 * words) OVER (ORDER BY 2.0 * words / weight, s) + 2 * words AS rest, sum(weight) OVER (ORDER BY 2.0 * words / weight DESC, s DESC) AS weights FROM s),
+u AS (SELECT coalesce(max(rest / weights) FILTER (WHERE rest / weights <= 2.0 * words / weight), 1e18) AS unit FROM o)
+SELECT doc_id, any_value(size) AS size, count(*)::INT AS n_sources, sum(least(2.0 * words, unit * weight))::DOUBLE AS targets, true AS bounded, true AS whole FROM m JOIN s ON m.s IS NOT DISTINCT FROM s.s, u GROUP BY doc_id
+"""
+
+
 OP6_TARGETS_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT source, sum(size) AS words, [3, 1, 2][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT] AS weight FROM d GROUP BY source),

@@ -5,7 +5,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .jaccard_join import OP5_SQL, op5_jaccard_join
 from .licenses import OP9_PLACES_SQL, op9_license_places, op9_licenses
-from .mixing import OP6_TARGETS_SQL, op6_mix_targets, op6_mixing
+from .mixing import OP6_OVERLAP_SQL, OP6_TARGETS_SQL, op6_mix_overlap, op6_mix_targets, op6_mixing
 from .quality import op2_quality
 from .secrets import OP8_COUNTS_SQL, op8_secret_counts, op8_secrets
 from .sharding import OP7_SIZES_SQL, op7_shard_sizes, op7_sharding
@@ -24,6 +24,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_mixing": op6_mixing,
     "op6_mix_targets": op6_mix_targets,
+    "op6_mix_overlap": op6_mix_overlap,
     "op7_sharding": op7_sharding,
     "op7_shard_sizes": op7_shard_sizes,
     "op8_secrets": op8_secrets,
@@ -43,6 +44,7 @@ ORACLE_SQL = {
     "op4_exact_dedup": OP4_SQL,
     "op5_jaccard_join": OP5_SQL,
     "op6_mix_targets": OP6_TARGETS_SQL,
+    "op6_mix_overlap": OP6_OVERLAP_SQL,
     "op7_shard_sizes": OP7_SIZES_SQL,
     "op8_secret_counts": OP8_COUNTS_SQL,
     "op9_license_places": OP9_PLACES_SQL,
