@@ -52,10 +52,13 @@ def project_measures(files: DataFrame, sizes: DataFrame, tested: DataFrame, min_
         function_measures(sizes), complex_functions(sizes).groupBy("project_id").agg(F.count("*").alias("complex_function_count")),
         large_files(files, min_lines).groupBy("project_id").agg(F.count("*").alias("large_file_count")), secret_hits(files).groupBy("project_id").agg(F.count("*").alias("secret_hit_count")), tested,
     ]
-    whole = reduce(lambda a, b: a.join(b, "project_id", "left"), parts, counts)
+    whole = reduce(lambda a, b: a.hint("merge").join(b.hint("merge"), "project_id", "left"), parts, counts)
     return whole.na.fill(0, ["function_count", "long_function_count", "complex_function_count", "large_file_count", "secret_hit_count", "tested_percent"])
 
 
+# Fixed values, from here on: the sentences of reports and findings.
+
+
 def summaries(measures: DataFrame) -> DataFrame:
     """project_id and one sentence each on code quality, testing and security."""
     return measures.select(

@@ -37,7 +37,7 @@ def v1_bases(measures: DataFrame) -> DataFrame:
 def less_penalties(bases: DataFrame, charged: DataFrame) -> DataFrame:
     """Scores by category: the base less the sum of `penalty`, from 0 to 100; and the health score, their mean."""
     sums = charged.groupBy("project_id").agg(*[F.sum(F.when(F.col("category") == c, F.col("penalty")).otherwise(0.0)).alias(f"_{c}") for c in CATEGORIES])
-    joined = bases.join(sums, "project_id", "left")
+    joined = bases.hint("merge").join(sums.hint("merge"), "project_id", "left")
     scored = joined.select("project_id", *[text.clamp_score(F.col(c) - F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in CATEGORIES])
     return scored.withColumn("health", health())
 

@@ -38,4 +38,4 @@ def build_reports(files: DataFrame, sizes: DataFrame, claims: DataFrame | None =
     issue = F.struct(fi.text.severity_rank(F.col("severity")).alias("rank"), "category", "ord", "severity", "title", "description", "file_path", "occurrences")
     issues = grouped.groupBy("project_id").agg(F.array_sort(F.collect_list(issue)).alias("issues"))  # the rules' caps and ten claims of a review bound a project's findings
     said = rules.summaries(tables["measures"]).select("project_id", F.struct("code_quality", "testing", "security").alias("summaries"))
-    return scores.join(said, "project_id").join(issues, "project_id", "left")
+    return scores.hint("merge").join(said.hint("merge"), "project_id").hint("merge").join(issues.hint("merge"), "project_id", "left")

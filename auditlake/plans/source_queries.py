@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -212,3 +213,21 @@ def t7_redacted_lines(spark, sf_dir):
 @query("""SELECT 'users' AS table_name, count(*) AS rows FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT 'projects', count(*) FROM orders WHERE o_custkey % 7 = 0 UNION ALL SELECT 'files', 0 UNION ALL SELECT 'tokens', count(*) FROM customer WHERE c_custkey % 7 = 0""")
 def u5_rows_to_erase(spark, sf_dir):
     return lifecycle.leftovers(*account_tables(spark, sf_dir))
+
+
+@query("""SELECT 'users' AS table_name, c_custkey AS key, 1 AS n FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT 'projects', o_orderkey, count(*) FROM orders WHERE o_custkey % 7 <> 0 GROUP BY o_orderkey
+UNION ALL SELECT 'files', l_orderkey, count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 0) GROUP BY l_orderkey UNION ALL SELECT 'tokens', c_custkey, 1 FROM customer WHERE c_custkey % 7 <> 0""")
+def m7_rows_that_stay(spark, sf_dir):
+    """Which rows an erasure leaves, and not only how many."""
+    out = lifecycle.erase_accounts(*account_tables(spark, sf_dir))
+    number = F.regexp_extract("email", r"(\d+)$", 1).cast("long")
+    keys = {"users": F.col("user_id"), "projects": F.col("project_id"), "files": F.col("project_id"), "tokens": number}
+    parts = [df.groupBy(keys[name].cast("long").alias("key")).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "key", "n") for name, df in out.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 100 NOT IN (3, 40) THEN event_id % 100 END AS project_id FROM events")
+def m8_calls_that_stay(spark, sf_dir):
+    """Calls of two deleted projects keep everything but the project."""
+    calls = read_table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 100).alias("project_id"))
+    return lifecycle.delete_projects({"calls": calls}, calls.filter("project_id IN (3, 40)").select("project_id"))["calls"]

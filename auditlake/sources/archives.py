@@ -149,6 +149,7 @@ def import_verdict(entries: DataFrame, patterns: DataFrame | None = None) -> Dat
     return sums.select("project_id", error.isNull().alias("ok"), error.alias("error"), "total_bytes", "skipped_large")
 
 
+# Dependencies and configuration files that name a framework, in order.
 FRAMEWORKS = [("next", "Next.js"), ("nuxt", "Nuxt"), ("remix", "Remix"), ("@remix-run/react", "Remix"), ("astro", "Astro"), ("@nestjs/core", "NestJS"), ("express", "Express"), ("fastify", "Fastify"), ("vue", "Vue"), ("react", "React")]
 CONFIGS = [("next.config", "Next.js"), ("nuxt.config", "Nuxt"), ("astro.config", "Astro")]
 
