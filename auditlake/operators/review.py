@@ -67,17 +67,20 @@ def fill_budget(queue: DataFrame, max_n: int = MAX_CHUNKS, max_chars: int = MAX_
 
 
 def review_sample(chunks: DataFrame, max_n: int = MAX_CHUNKS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """The chunks a reviewer sees: tests only where a project has nothing else.
+    """The chunks a reviewer sees: tests only where a project has nothing else. `queue` is their order among the candidates.
 
-    Chunks are scored once and written out; the order is found on their numbers, and the texts of those taken are read
-    by project, file and turn.
+    Chunks are scored once and written out. The order is by turn and then by the files' places, which are found on one row a file. Of
+    chunks of one size only the first `max_n` can be taken, so no more of each size than that are put in order and numbered;
+    the texts of those taken are read by project, file and turn.
     """
     is_test = paths.is_test_file(F.col("file_path"))
     with_code = chunks.filter(~is_test).select("project_id").distinct()
     chosen = chunks.filter(~is_test).unionByName(chunks.filter(is_test).join(with_code.hint("merge"), "project_id", "left_anti"))
     ranked = kept(rank_chunks_in_file(chosen))
     thin = ranked.select("project_id", "file_path", "turn", "risk", "chars")
-    queue = kept(round_robin(thin, interleave_dirs(rank_files(thin))).select("project_id", "file_path", "turn", "chars", "queue"))
+    placed = thin.hint("merge").join(interleave_dirs(rank_files(thin)).select("project_id", "file_path", "place").hint("merge"), ["project_id", "file_path"])
+    candidates = top_n(placed, ["project_id", "chars"], [F.col("turn"), F.col("place")], max_n, "_n").drop("_n")
+    queue = kept(candidates.withColumn("queue", F.row_number().over(Window.partitionBy("project_id").orderBy("turn", "place"))).select("project_id", "file_path", "turn", "chars", "queue"))
     taken = queue.hint("merge").join(fill_budget(queue, max_n, max_chars).hint("merge"), ["project_id", "queue"]).select("project_id", "file_path", "turn", "queue")
     return ranked.hint("merge").join(kept(taken).hint("merge"), ["project_id", "file_path", "turn"])
 
