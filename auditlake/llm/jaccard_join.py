@@ -318,8 +318,10 @@ def tokeniser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root of the connected components of edges (a, b), by contracting every node into its smallest neighbour.
+    """node, root of the connected components of edges (a, b), by randomised contraction.
 
+    Every round draws an order of the nodes anew and contracts each into the first of itself and its neighbours, so the
+    nodes that are left shrink by a constant factor on average, whatever the shape: paths too take a logarithm of rounds.
     The tables of a round are written out and read back, so Spark knows their size and sends them to all tasks only
     below its threshold.
     """
@@ -328,8 +330,9 @@ def components(edges: DataFrame) -> DataFrame:
         rest = cut(rest)
         if rest.isEmpty():
             break
+        drawn_ = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(maps))).alias("draw"), F.col(c).alias("node"))  # noqa: B023, E731
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        maps.append(cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root"))))
+        maps.append(cut(both.groupBy("a").agg(F.min(drawn_("b")).alias("first")).select(F.col("a").alias("node"), F.least("first", drawn_("a")).getField("node").alias("root"))))
         x, y = (maps[-1].select(F.col("node").alias(c), F.col("root").alias(r)) for c, r in (("a", "ra"), ("b", "rb")))
         rest = rest.join(x, "a").join(y, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
     if not maps:
@@ -353,9 +356,11 @@ def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 def sets_of(nodes: DataFrame, docs: DataFrame, info: DataFrame) -> DataFrame:
     """node, tokens of the asked nodes (distinct `node`), from one document of each."""
-    first = info.filter("node IS NOT NULL").groupBy("node").agg(F.min("_key").alias("_key"))
-    keys = first.hint("merge").join(nodes.hint("merge"), "node")
-    texts = docs.select("_key", "text").hint("merge").join(keys.hint("merge"), "_key").select("node", "text")
+    first = info.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("_key", "doc_id")).alias("row"))
+    keys = first.hint("merge").join(nodes.hint("merge"), "node").select("node", F.col("row._key").alias("_key"), F.col("row.doc_id").alias("_id"))
+    # The hash alone would take a wrong text for a handful of 10^10 rows.
+    same = (docs["_key"] == keys["_key"]) & docs["doc_id"].eqNullSafe(keys["_id"])
+    texts = docs.select("_key", "doc_id", "text").hint("merge").join(keys.hint("merge"), same).select("node", "text")
     return texts.mapInArrow(tokeniser, "node long, tokens array<long>").dropDuplicates(["node"])
 
 
