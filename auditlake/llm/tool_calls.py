@@ -83,22 +83,56 @@ def hashed(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> Da
     return left.join(right.hint("shuffle_hash"), on, how)
 
 
+def jumped(single: DataFrame) -> DataFrame:
+    """key, at, far, moved: where the chain of calls with one dependency ends (a call with none or several) and how far; `moved` on a cycle or behind one.
+
+    Pointers are doubled, so a chain of n calls takes a logarithm of rounds. A chain stays in its conversation: what
+    still moves after as many steps as that has such calls is on no chain that ends.
+    """
+    jumps, steps = cut(single.select("key", F.col("on").alias("at"), F.lit(1).cast("long").alias("far"), F.lit(False).alias("moved"))), 1
+    longest = jumps.groupBy("key.conv_id").count().agg(F.max("count")).first()[0] or 0
+    while longest:
+        ahead = jumps.select(F.col("key").alias("at"), F.col("at").alias("_at"), F.col("far").alias("_far"))
+        met = hashed(jumps, ahead, "at", "left")
+        jumps = cut(met.select("key", F.coalesce("_at", "at").alias("at"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), F.col("_at").isNotNull().alias("moved")))
+        if steps >= longest or jumps.filter("moved").isEmpty():
+            break
+        steps *= 2
+    return jumps
+
+
 def levels(edges: DataFrame, calls: DataFrame) -> DataFrame:
     """key, level of the calls (distinct `key`) under edges (key, on); level is null on a cycle or behind one.
 
-    Every round settles the calls whose dependencies are settled, so there are as many rounds as the longest chain.
+    Chains of calls with one dependency are followed by `jumped`. What is left are calls with several: every round settles
+    those whose dependencies all are, and tells the newest ones to the edges that wait for them.
     """
     edges = cut(edges.select("key", "on").distinct())
-    waiting = cut(edges.groupBy("key").agg(F.count("*").alias("waits")))
-    done = cut(hashed(calls, waiting.select("key"), "key", "left_anti").select("key", F.lit(0).alias("level")))
-    while not edges.isEmpty():
-        met = hashed(edges, done.select(F.col("key").alias("on"), "level"), "on").groupBy("key").agg(F.count("*").alias("settled"), F.max("level").alias("top"))
-        ready = cut(hashed(met, waiting, "key").filter("settled = waits").select("key", (F.col("top") + 1).alias("level")))
-        if ready.isEmpty():
+    if edges.isEmpty():
+        return calls.select("key", F.lit(0).cast("long").alias("level"))
+    counts = cut(edges.groupBy("key").agg(F.count("*").alias("waits"), F.min("on").alias("on")))
+    jumps, several = jumped(counts.filter("waits = 1")), counts.filter("waits > 1").select("key")
+    deep = several.select(F.col("key").alias("at"), F.lit(True).alias("deep"))
+
+    # Edges of calls with several dependencies, to the ends of chains.
+    ends = jumps.select(F.col("key").alias("on"), F.col("at").alias("_at"), "far", "moved")
+    to_ends = hashed(hashed(edges, several, "key", "left_semi"), ends, "on", "left").select("key", F.coalesce("_at", "on").alias("at"), F.coalesce("far", F.lit(0)).alias("far"), F.coalesce("moved", F.lit(False)).alias("moved"))
+    known = F.when(F.col("deep").isNull() & ~F.col("moved"), F.col("far"))
+    open_ = cut(hashed(to_ends, deep, "at", "left").select("key", "at", "far", known.alias("top")))
+    settled = []
+    while not open_.isEmpty():
+        newest = cut(open_.groupBy("key").agg(F.count("*").alias("n"), F.count("top").alias("known"), F.max("top").alias("top")).filter("n = known").select("key", (F.col("top") + 1).alias("level")))
+        if newest.isEmpty():
             break
-        done = done.unionByName(ready)
-        edges = cut(hashed(edges, ready.select("key"), "key", "left_anti"))
-    return hashed(calls, done, "key", "left")
+        settled.append(newest)
+        told = hashed(hashed(open_, newest.select("key"), "key", "left_anti"), newest.withColumnRenamed("key", "at"), "at", "left")
+        open_ = cut(told.select("key", "at", "far", F.coalesce("top", F.col("level") + F.col("far")).alias("top")))
+
+    tops = reduce(DataFrame.unionByName, settled, several.select("key", F.lit(None).cast("long").alias("level")).limit(0))
+    above = hashed(deep, tops.withColumnRenamed("key", "at"), "at", "left")
+    chained = hashed(jumps.filter("NOT moved"), above, "at", "left").select("key", F.when(F.col("deep").isNull(), F.col("far")).otherwise(F.col("far") + F.col("level")).alias("level"))
+    free = hashed(calls, counts.select("key"), "key", "left_anti").select("key", F.lit(0).cast("long").alias("level"))
+    return hashed(calls, free.unionByName(chained).unionByName(tops), "key", "left")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
@@ -126,7 +160,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) ->
     status = F.when(F.col("key").isNull(), "unnamed").when(F.col("level").isNull(), "cycle").when(F.col("got").isNull(), "unanswered").otherwise("linked")
     wrong = complaints(F.col("name"), F.col("arguments"), schemas)
     linked = linked.select(
-        "conv_id", "call_id", F.col("level").alias("topo_level"), "turn", "place", "name", "arguments", wrong.alias("wrong"),
+        "conv_id", "call_id", F.col("level").cast("int").alias("topo_level"), "turn", "place", "name", "arguments", wrong.alias("wrong"),
         F.col("got.content").alias("result"), F.col("got.turn").alias("result_turn"), status.alias("status"))
     none = lambda type_, name: F.lit(None).cast(type_).alias(name)
     orphans = hashed(results, named, "key", "left_anti").select(

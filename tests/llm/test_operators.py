@@ -145,6 +145,32 @@ def test_jaccard_allocation(spark):
         assert size < 4 or jaccard_join.segments_of(band) < size * 5 and len(jaccard_join.signatures(a, band)) <= max(12, 0.6 * size)
 
 
+@pytest.mark.parametrize("length", [20, 300])
+def test_rounds_of_contraction_stay_few(spark, monkeypatch, length):
+    """A path whose ids ascend, which contraction by a fixed order walks step by step, beside stars, a cycle and a loop."""
+    tables = []
+    monkeypatch.setattr(jaccard_join, "cut", lambda df, old=jaccard_join.cut: tables.append(1) or old(df))
+    star, cycle = [(5000, 5001 + i) for i in range(40)], [(6000 + i, 6000 + (i + 1) % 9) for i in range(9)]
+    edges = [(i, i + 1) for i in range(length)] + star + cycle + [(7000, 7000), (1, 0)]
+    got = jaccard_join.components(spark.createDataFrame(edges, "a long, b long"))
+    groups = defaultdict(set)
+    for node, root in (tuple(r) for r in got.collect()):
+        groups[root].add(node)
+    assert sorted(map(sorted, groups.values())) == [[*range(length + 1)], [*range(5000, 5041)], [*range(6000, 6009)]] and all(root in group for root, group in groups.items())
+    rounds = (len(tables) - 1) / 3
+    assert rounds <= 3 * np.log2(length)
+
+
+def test_sets_are_read_by_id_and_hash(spark):
+    """Texts whose hash is one and the same are told apart by their ids, null ones too."""
+    rows = [(1, "a b c d e f"), (2, "other words stand here now"), (None, "a third text of six words")]
+    docs = table(spark, rows).select("doc_id", "text", F.lit(7).cast("long").alias("_key"))
+    info = docs.select("_key", "doc_id", "text").mapInArrow(jaccard_join.informer, jaccard_join.INFO)
+    got = {r["node"]: set(r["tokens"]) for r in jaccard_join.sets_of(info.select("node").distinct(), docs, info).collect()}
+    want = {jaccard_join.node_of(t): set(t.view(np.int64).tolist()) for t in (jaccard_join.shingles(text) for _, text in rows)}
+    assert got == want
+
+
 def test_words_that_polynomials_confuse(spark):
     """Words of Thue-Morse letters, which any polynomial modulo a power of two hashes alike, are different words."""
     ab = "a"
@@ -560,6 +586,39 @@ def test_tool_call_keys_numbers_and_clashes(spark):
     assert one("[1e2,100,100.0,-1.50,0.1,12345678901234567890,1e30]") == "[100,100,100,-1.5,0.1,12345678901234567890,1.0E30]" and one("1e2") == one("100") and one('{"a":1,"a":2}') is None
 
 
+def levels_truth(edges, calls):
+    needs = {c: {on for key, on in edges if key == c} for c in calls}
+    level = {}
+    while ready := {c for c, on in needs.items() if c not in level and all(d in level for d in on)}:
+        level |= {c: max((level[d] + 1 for d in needs[c]), default=0) for c in ready}
+    return {c: level.get(c) for c in calls}
+
+
+def test_levels_of_calls(spark, monkeypatch):
+    """Random dependencies, chains, cycles and what is behind them, and long chains in few rounds."""
+    tables = []
+    monkeypatch.setattr(tool_calls, "cut", lambda df, old=tool_calls.cut: tables.append(1) or old(df))
+    rng, edges, calls = random.Random(3), [], []
+    for conv in range(30):
+        n = 12
+        calls += [(conv, i) for i in range(n)]
+        for i in range(1, n):
+            back = rng.sample(range(i), min(i, rng.choice([0, 1, 1, 1, 2, 3])))
+            edges += [((conv, i), (conv, j)) for j in back]
+        if conv % 3 == 0:  # a cycle, or a call that waits for itself
+            i, j = rng.randrange(n), rng.randrange(n)
+            edges.append(((conv, i), (conv, j)))
+    calls += [(99, i) for i in range(400)] + [(None, i) for i in range(3)] + [(98, i) for i in range(5)]
+    edges += [((99, i), (99, i - 1)) for i in range(1, 400) if i != 200] + [((None, 1), (None, 0)), ((None, 2), (None, 1)), ((None, 2), (None, 0))]
+    edges += [((99, 200), (99, 199)), ((99, 200), (99, 7))] + [((98, i), (98, (i + 1) % 3)) for i in range(3)] + [((98, 3), (98, 2)), ((98, 4), (98, 3)), ((98, 4), (98, 0))]
+    key = "struct<conv_id:long,call_id:long>"
+    frames = spark.createDataFrame(edges + edges[:5], f"key {key}, on {key}"), spark.createDataFrame([(c,) for c in calls], f"key {key}")
+    got = {tuple(r["key"]): r["level"] for r in tool_calls.levels(*frames).collect()}
+    assert got == levels_truth(edges, calls) and got[99, 399] == 399 and got[98, 4] is None and sum(v is None for v in got.values()) > 5
+    assert len(tables) <= 34
+    assert {r["level"] for r in tool_calls.levels(frames[0].limit(0), frames[1]).collect()} == {0} and tool_calls.levels(frames[0].limit(0), frames[1].limit(0)).count() == 0
+
+
 def test_tool_calls_are_hash_joined(spark):
     rows = [(1, 0, "user", "hello"), (1, 1, "assistant", "x")]
     made = tool_calls.link_calls(*tool_calls.from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
