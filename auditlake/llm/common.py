@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 #: What stands between words of lower-cased text: every ASCII character but digits and a-z.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The folder of `temporary_tables` at work, if any.
+FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,7 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
     with every join and after many rounds takes the driver's memory.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{FOLDER.get() or shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,6 +56,24 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that `cut` writes inside are deleted at the end: what is made of them must have been written by then."""
+    folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    before = FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        FOLDER.reset(before)
+        delete(spark, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, if it is there, by the file system that Spark itself uses for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(name: str = "text") -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(name), F.lit(""))
