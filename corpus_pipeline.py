@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm.common import read, shared_folder
+from auditlake.llm.common import delete, read, shared_folder, temporary_tables
 from auditlake.llm.decontaminate import clean_documents
 from auditlake.llm.jaccard_join import first_of_each
 from auditlake.llm.mixing import mixture
@@ -57,11 +57,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`, each result written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages on `documents`, each result written to the shared folder and read again.
+
+    A stage's own tables go once its result is written, and its input then too, so the folder holds two results at most.
+    """
+    docs, last = read(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with temporary_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
