@@ -320,8 +320,9 @@ def tokeniser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """node, root of the connected components of edges (a, b), by randomised contraction.
 
-    Every round draws an order of the nodes anew and contracts each into the first of itself and its neighbours, so the
-    nodes that are left shrink by a constant factor on average, whatever the shape: paths too take a logarithm of rounds.
+    A round contracts each node into the first of itself and its neighbours; every second round draws the order of the
+    nodes anew, so those that are left shrink by a constant factor on average, whatever the shape: paths too take a
+    logarithm of rounds. Two rounds by one order end a star, whose middle is the first of its nodes after the first.
     The tables of a round are written out and read back, so Spark knows their size and sends them to all tasks only
     below its threshold.
     """
@@ -330,7 +331,7 @@ def components(edges: DataFrame) -> DataFrame:
         rest = cut(rest)
         if rest.isEmpty():
             break
-        drawn_ = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(maps))).alias("draw"), F.col(c).alias("node"))  # noqa: B023, E731
+        drawn_ = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(maps) // 2)).alias("draw"), F.col(c).alias("node"))  # noqa: B023, E731
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         maps.append(cut(both.groupBy("a").agg(F.min(drawn_("b")).alias("first")).select(F.col("a").alias("node"), F.least("first", drawn_("a")).getField("node").alias("root"))))
         x, y = (maps[-1].select(F.col("node").alias(c), F.col("root").alias(r)) for c, r in (("a", "ra"), ("b", "rb")))
