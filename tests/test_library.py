@@ -494,3 +494,11 @@ def test_names_that_end_inside_a_segment(spark):
     bare = {(r["project_id"], r["path"]): r["b"] for r in frame(sources).select("project_id", "path", paths.strip_ext(F.col("path")).alias("b")).collect()}
     want = {k for k, b in bare.items() if any(p == k[0] and (g.endswith(b) or b.endswith(g)) for p, g in guess)}
     assert {tuple(r) for r in graph.tested_by_name(frame(sources), frame(tests_)).collect()} == want
+
+
+def test_matching_writes_as_often_for_long_groups(spark, monkeypatch):
+    """Sixty findings of one title, which take sixty expectations in turn, are no sixty rounds."""
+    kept, calls = evals.kept, []
+    monkeypatch.setattr(evals, "kept", lambda df: calls.append(1) or kept(df))
+    rows = spark.range(60).selectExpr("'c' AS case", "id AS ord", "'x' AS category", "'a.ts' AS file_path", "'t' AS title", "if(id % 2 = 0, 't', '^t') AS title_regex")
+    assert {(r["finding_ord"], r["expected_ord"]) for r in evals.match_expected(rows, rows).collect()} == {(i, i) for i in range(60)} and len(calls) == 1
