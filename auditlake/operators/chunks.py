@@ -38,7 +38,9 @@ def pieces(content: Column, start_line: Column, size: int = SIZE, overlap: int =
 
         def piece(lines: Column, i: Column) -> Column:
             body, first = F.concat(F.get(blocks, i), F.coalesce(F.substring(F.get(blocks, i + 1), 1, overlap), F.lit(""))), F.get(lines, i)
-            return F.struct(i.alias("at"), F.regexp_replace(body, r"(?U)\s+$", "").alias("content"), first.alias("start_line"), (first + text.line_count(body) - 1).cast("int").alias("end_line"))
+            # Most pieces end inside a word, and then no white space need be looked for.
+            trimmed = F.when(F.right(body, F.lit(1)).rlike(r"(?U)\s"), F.regexp_replace(body, r"(?U)\s+$", "")).otherwise(body)
+            return F.struct(i.alias("at"), trimmed.alias("content"), first.alias("start_line"), (first + text.line_count(body) - 1).cast("int").alias("end_line"))
 
         return once(firsts, lambda lines: F.transform(F.sequence(F.lit(0), count - 1), lambda i: piece(lines, i)))
 

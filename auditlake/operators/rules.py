@@ -39,7 +39,7 @@ def complex_functions(sizes: DataFrame, min_lines: int = COMPLEX_FUNCTION) -> Da
 
 def secret_hits(files: DataFrame) -> DataFrame:
     """project_id, path, line, hint: each line's first matching pattern; tests and fixtures do not count."""
-    own = files.filter(~paths.is_test_file(F.col("path")) & ~paths.is_test_support(F.col("path")))
+    own = files.filter(~paths.is_test_file(F.col("path")) & ~paths.is_test_support(F.col("path"))).filter(text.may_hold_secret(F.col("content")))
     lines = own.select("project_id", "path", F.posexplode(F.split("content", "\n", -1)).alias("at", "line_text"))
     return lines.select("project_id", "path", (F.col("at") + 1).alias("line"), text.secret_hint(F.col("line_text")).alias("hint")).filter("hint IS NOT NULL")
 
