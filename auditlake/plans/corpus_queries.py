@@ -378,7 +378,7 @@ def chunked(spark, sf_dir) -> DataFrame:
 
 @query()
 def w7_round_robin(spark, sf_dir):
-    ranked = review.rank_chunks_in_file(chunked(spark, sf_dir))
+    ranked = graph.kept(review.rank_chunks_in_file(chunked(spark, sf_dir)).select("project_id", "file_path", "seq", "turn", "risk"))
     return review.round_robin(ranked, review.interleave_dirs(review.rank_files(ranked))).select("project_id", "file_path", "seq", "queue")
 
 
