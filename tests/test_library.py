@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from auditlake.functions import paths, text
 from auditlake.operators import chunks, evals, findings, graph, lifecycle, quantiles, review, rules, scoring, search, usage, vectors
+from auditlake.plans import operator_queries
 from auditlake.plans.report import build_reports
 from auditlake.sources import archives, tables
 from auditlake.streaming import jobs
@@ -502,3 +503,43 @@ def test_matching_writes_as_often_for_long_groups(spark, monkeypatch):
     monkeypatch.setattr(evals, "kept", lambda df: calls.append(1) or kept(df))
     rows = spark.range(60).selectExpr("'c' AS case", "id AS ord", "'x' AS category", "'a.ts' AS file_path", "'t' AS title", "if(id % 2 = 0, 't', '^t') AS title_regex")
     assert {(r["finding_ord"], r["expected_ord"]) for r in evals.match_expected(rows, rows).collect()} == {(i, i) for i in range(60)} and len(calls) == 1
+
+
+def test_words_that_risk_signals_and_secrets_need(spark):
+    """Expressions tried only where a word is found give what they give everywhere; null stays null."""
+    bits = """req.body request.json( searchParams formData.get( eval( new Function( child_process execSync( exec( spawn( $where .query( .raw( .execute( $queryRawUnsafe $executeRawUnsafe .findMany( .deleteOne( innerHTML
+    dangerouslySetInnerHTML document.write( redirect( fetch( axios http.get( https.request( needle got( fs.stat( readFile( readFileSync( writeFile( writeFileSync( auth( authX( NextAuth getServerSession currentUser signIn( authorize
+    process.env PASSWORD passwords Session COOKIES Jwt tOkEns crypto. Math.random( xtoken eval""".split(" ")
+    rows = [(i, b.strip()) for i, b in enumerate([*bits, " ".join(bits), "", "Função token É", 'API_KEY = "abcdefgh"', "ok\nPassword:\n'abcdefghi'", "akia" + "A" * 16, "AKIA" + "Q" * 16, 'jwt_secret: "x"'])] + [(999, None)]
+    c = F.col("t")
+    plain = sum((c.rlike(p).cast("int") for p in text.RISK_SIGNALS[1:]), c.rlike(text.RISK_SIGNALS[0]).cast("int"))
+    got = spark.createDataFrame(rows, "i int, t string").select("t", text.risk_score(c).alias("a"), plain.alias("b"), text.may_hold_secret(c).alias("s"), text.secret_hint(c).isNotNull().alias("h"), text.line_count(c).alias("n"), F.size(F.split("t", "\n", -1)).alias("m")).collect()
+    assert all(r["a"] == r["b"] and (r["s"] or False) == r["h"] and (r["t"] is None or r["n"] == r["m"]) for r in got) and {r["a"] for r in got} >= {0, 1, 18, None}
+
+
+def test_queue_of_chunks_cuts_its_texts_once(spark):
+    """What the queue is made of is written out: no branch of its plan cuts and scores texts again."""
+    plan = __spark_entry__.queries()["w7_round_robin"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "RLIKE" not in plan
+
+
+def test_declarations_alone_go_to_python(spark, monkeypatch):
+    """Texts without a declaration of a type stay where they are; those with one lose it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(code: pd.Series) -> pd.Series:
+        seen.add(int(code.notna().sum()))
+        return code.str.replace(r"(?s)interface.*", "", regex=True)
+
+    monkeypatch.setattr(graph, "typeless", counted)
+    rows = [(1, "function f() {}"), (2, "an interface of some type\ntypes of it"), (3, "x;\n  export interface A { f(): () => void }"), (4, "interface A { new X }"), (5, None)]
+    got = {r["i"]: r["l"] for r in spark.createDataFrame(rows, "i int, t string").select("i", graph.has_logic(F.col("t")).alias("l")).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: None} and seen.value == 2
+
+
+def test_code_is_made_on_all_cores(spark, tmp_path):
+    """The table is a small file that one task reads, but the code that is made of it is large."""
+    spark.range(100).selectExpr("id AS p_partkey", "int(id % 50) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = operator_queries.code_of(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and made.count() == 100
