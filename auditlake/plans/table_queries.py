@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evals, findings, lifecycle, rules, usage
-from ..sources.tables import read_table
+from ..sources.tables import dealt_by, read_table
 from ..streaming import jobs
 from .registry import query
 
@@ -314,9 +314,11 @@ def a2_function_measures(spark, sf_dir):
 @query("WITH s AS (SELECT l_suppkey::VARCHAR AS bundle, p_brand AS package, sum(p_size) AS bytes FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey GROUP BY ALL) SELECT bundle, package, bytes, row_number() OVER (PARTITION BY bundle ORDER BY bytes DESC, package) AS rank FROM s QUALIFY rank <= 12")
 def a34_package_sizes(spark, sf_dir):
     part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
-    used = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct().join(part, "l_partkey")
+    l_ = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    rows = l_.count()
+    used = dealt_by(l_, rows, "l_partkey").join(part, "l_partkey")
     files = used.select(F.col("l_suppkey").cast("string").alias("bundle"), F.concat(F.lit("/app/node_modules/x/node_modules/"), "p_brand", F.lit("/"), F.col("l_partkey").cast("string")).alias("path"), F.col("p_size").alias("bytes"))
-    return evals.package_sizes(files)
+    return evals.package_sizes(files, rows=rows)
 
 
 @query("WITH h AS (SELECT 'src/' || l_suppkey || '.ts' AS file, CASE WHEN l_linenumber <= 2 THEN 'function' ELSE 'statement' END AS kind, l_partkey::VARCHAR AS id, sum((l_quantity > 40)::INT) AS hits FROM lineitem GROUP BY ALL), f AS (SELECT file, sum((kind = 'statement')::INT) AS st, sum((kind = 'statement' AND hits > 0)::INT) AS cov, sum((kind = 'function')::INT) AS fn, sum((kind = 'function' AND hits > 0)::INT) AS ran FROM h GROUP BY file) SELECT floor(100 * sum(cov) / sum(st) + 0.5)::BIGINT AS statements_percent, sum((fn > 0)::INT) AS files_with_functions, floor(100 * sum((ran > 0)::INT) / sum((fn > 0)::INT) + 0.5)::BIGINT AS exercised_percent FROM f")

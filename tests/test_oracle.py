@@ -1,10 +1,14 @@
 """Every registered query of the library with SQL, against DuckDB; and results that must not depend on partitioning."""
 
+import math
 import os
+import re
 
 import pytest
 
+from auditlake.operators import evals
 from auditlake.plans.queries import ORACLE_SQL, QUERIES
+from auditlake.sources import tables
 
 from .oracle import DATA, by_duckdb, by_spark
 
@@ -26,3 +30,25 @@ def test_partitioning_does_not_matter(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1] and found[0][1]
+
+
+def tasks_by_keys(df):
+    """The keys and the number of tasks of every shuffle in the plan."""
+    found = re.findall(r"Exchange hashpartitioning\((.*), (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+    return {(re.sub(r"#\d+L?", "", keys), int(n)) for keys, n in found}
+
+
+def test_package_sizes_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    rows, name = tables.read_table(spark, DATA, "lineitem").count(), "a34_package_sizes"
+    monkeypatch.setattr(tables, "TASK_ROWS", 250)
+    df = QUERIES[name](spark, DATA)
+    assert ("bundle, path", math.ceil(rows / 250)) in tasks_by_keys(df)
+    assert by_spark(df) == by_duckdb(ORACLE_SQL[name])
+
+
+def test_package_sizes_counts_files_by_itself(spark, monkeypatch):
+    files = spark.createDataFrame([("b", f"/x/node_modules/p{k % 3}/f{k % 40}", k % 40) for k in range(120)], "bundle string, path string, bytes long")
+    monkeypatch.setattr(tables, "TASK_ROWS", 10)
+    df = evals.package_sizes(files)
+    assert ("bundle, path", 12) in tasks_by_keys(df)
+    assert sorted(map(tuple, df.collect())) == [("b", "p0", 780, 1), ("b", "p1", 780, 2), ("b", "p2", 780, 3)]
