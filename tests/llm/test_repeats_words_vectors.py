@@ -153,6 +153,18 @@ def test_interval_tree_finds_the_widest_repeats(seed):
     assert suffix_repeats.widest(contexts, 12) == want
 
 
+def test_contexts_of_a_gram_need_not_meet(spark, monkeypatch):
+    """Contexts are told where they are whether their gram has too many; a join by gram had a common passage's rows in one task."""
+    asked, meet = [], suffix_repeats.meet
+    monkeypatch.setattr(suffix_repeats, "meet", lambda texts, lists, *rest: asked.append(lists) or meet(texts, lists, *rest))
+    passage = "".join(random.Random(2).choice("abcdefgh") for _ in range(30))
+    rows = [(k, f"{k:05d}{passage}{k:05d}") for k in range(50)]
+    got = suffix_repeats.remove_repeats(table(spark, rows), length=24, gram=20, most=10).drop("kept").collect()
+    assert Counter(map(tuple, got)) == repeats_truth(rows, 24)
+    assert [x["hot"] for r in asked[0].collect() for x in r["asked"]].count(True) >= 50
+    assert "MergeJoin" not in asked[0]._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_pieces_of_a_long_text(monkeypatch):
     """Anchors do not depend on how a long text is cut, or on what lies beside it."""
     rng = random.Random(3)
