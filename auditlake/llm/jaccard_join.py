@@ -15,7 +15,8 @@ A signature that many sets share is worth nothing (all its holders see that alik
 those are found by their other signatures; pairs are then counted, since similar sets share many, and verified on
 their shingles. Sets left with too few units can only be missed with each other, and then under a signature of many
 holders that both have: they are compared with one leader per signature first, and then exhaustively where one
-signature still joins several components. So COMMON decides which way a link is found, and never whether.
+signature still joins several components. So COMMON decides which way a link is found, and never whether. Of these sets
+only those are compared of which other ones hold so much together that they can be similar to one.
 
 Identical sets are one node throughout, so copies are never paired. Shingles are hashes of 64 bits, whose words are
 hashed by a random number for each byte at each place; sets have an identity of 63 bits and a check of 64 more, and
@@ -34,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, shuffles_released
 
 NUM, DEN, SHINGLE = 3, 4, 5
 #: A signature with more holders than this is worth no unit.
 COMMON = 24
-#: Shingles that a block compares at a time.
+#: Shingles that a tile compares at a time.
 COLUMNS = 4096
+#: Shingles of a tile of sets, and of a block, which is a task's; as many blocks of a cluster as that allows, and what a set counts besides its shingles.
+TILE, BLOCK, BLOCKS, ROW = 40_000, 1_000_000, 8, 32
 #: Sets that a task remembers so as not to sign copies again.
 SETS_HELD = 400_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -374,6 +377,12 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> tuple[DataFrame, DataFrame]:
     """(_key, doc_id, node, n of each row; node, root of the nodes that have links)."""
+    with shuffles_released(docs.sparkSession):
+        return linked_sets(docs, id_col, text_col, common)
+
+
+def linked_sets(docs: DataFrame, id_col: str, text_col: str, common: int) -> tuple[DataFrame, DataFrame]:
+    """What `linked` returns, as tables that are written out."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text")))
     info, doubled = told_apart(cut(docs.select("_key", "doc_id", "text").mapInArrow(informer, INFO)))
@@ -392,29 +401,34 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", comm
     lost = hot.groupBy("node", "own").agg(F.count("*").alias("hot"))
     schemes = cut(schemes.hint("merge").join(lost.hint("merge"), ["node", "own"], "left").na.fill(0, ["hot"]))
 
-    # Pairs that share enough signatures for similar sets, in the partition of the smaller set.
+    # Sets with too few units left can be missed with each other alone.
+    worth_each = F.when(F.col("units") > F.col("segments"), 2).otherwise(1)
+    is_few = (F.col("units") - worth_each * F.col("hot") <= F.col("need")) & (F.col("hot") > 0)
+    few = schemes.filter(is_few).select("node", "own")
+
+    # Pairs that share enough signatures for similar sets, in the partition of the smaller set, where both can have those of many holders too.
     counted = met.filter("sig IS NULL").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"))
     sides = []
     for c in ("a", "b"):
-        left = lambda of: F.max(F.when(F.col("own") == of, F.col("units") - F.col("hot")))
+        left = lambda of: F.max(F.when(F.col("own") == of, F.struct("units", "hot", is_few.alias("few"))))
         got = schemes.groupBy(F.col("node").alias(c)).agg(F.first("n").alias(f"n_{c}"), F.max(F.when(F.col("own") == 1, F.col("band"))).alias(f"band_{c}"), left(1).alias(f"own_{c}"), left(0).alias(f"low_{c}"))
         sides.append(got.hint("merge"))
     scheme = F.least("band_a", "band_b")
     apart = F.floor((F.col("n_a") + F.col("n_b")) * (DEN - NUM) / (DEN + NUM))
-    holds = lambda c: F.coalesce(F.when(F.col(f"band_{c}") == scheme, F.col(f"own_{c}")).otherwise(F.col(f"low_{c}")), F.lit(0))
+    of = lambda c, name, none: F.coalesce(F.when(F.col(f"band_{c}") == scheme, F.col(f"own_{c}")[name]).otherwise(F.col(f"low_{c}")[name]), F.lit(none))
+    units, common_ = (F.least(of("a", name, 0), of("b", name, 0)) for name in ("units", "hot"))
+    # Two sets with too few units left that share a signature of many holders are compared with those; without one, they share the more others.
+    must = ~(of("a", "few", False) & of("b", "few", False)) | (F.col("shared") >= units - apart)
     likely = cut(
         counted.hint("merge").join(sides[0], "a").hint("merge").join(sides[1], "b")
-        .filter((F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM) & (F.col("shared") >= F.greatest(F.lit(1), F.least(holds("a"), holds("b")) - apart)))
-        .select("a", "b")
+        .filter((F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM) & (F.col("shared") >= F.greatest(F.lit(1), units - common_ - apart)))
+        .select("a", "b", "shared", must.alias("must"))
     )
 
-    # Sets with too few units left can be missed with each other alone.
-    worth_each = F.when(F.col("units") > F.col("segments"), 2).otherwise(1)
-    few = schemes.filter((F.col("units") - worth_each * F.col("hot") <= F.col("need")) & (F.col("hot") > 0)).select("node", "own")
     hard = cut(hot.hint("merge").join(few.hint("merge"), ["node", "own"]).select("sig", "node", "own"))
     asked = likely.select(F.explode(F.array("a", "b")).alias("node")).unionByName(hard.select("node")).distinct()
     sets = cut(sets_of(asked, docs, info))
-    roots = components(similar(likely, sets))
+    roots = among_likely(likely, sets)
     if not hard.isEmpty():
         roots = among_hard(hard, roots, sets)
     lacking = cut(schemes.filter("units <= need").select("node").unionByName(doubled).distinct())
@@ -438,13 +452,28 @@ def told_apart(info: DataFrame) -> tuple[DataFrame, DataFrame]:
     return renamed.drop("_several"), renamed.filter("_several").select("node").distinct()
 
 
+def among_likely(likely: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, root of the components of likely pairs (a, b, shared, must) that are similar, of all pairs that `must` be verified.
+
+    A pair is verified with its sets, which are sent for each pair anew, and among near copies there are as many pairs as
+    a set has copies. So each set is first held against two of its partners, that with most partners and that with most
+    shared signatures; then what must be and is not in one component by these links is verified pair by pair.
+    """
+    both = cut(likely.select("a", "b", "shared").unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared")))
+    partners = both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("partners"))
+    first = both.hint("merge").join(partners.hint("merge"), "b").groupBy("a").agg(F.max_by("b", F.struct("partners", "b")).alias("hub"), F.max_by("b", F.struct("shared", "b")).alias("next"))
+    first = first.select("a", F.explode(F.array("hub", "next")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    roots = components(similar(first, sets))
+    x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(r)).hint("merge") for c, r in (("a", "ra"), ("b", "rb")))
+    rest = likely.filter("must").hint("merge").join(x, "a", "left").hint("merge").join(y, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    return merged(roots, similar(rest.join(first, ["a", "b"], "left_anti"), sets))
+
+
 def among_hard(hard: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """`roots` after the links among holders of common signatures: with leaders first, then in blocks whatever still spans components."""
     for leaders in (True, False):
         held = cut(hard.join(roots, "node", "left").select("sig", "node", "own", F.coalesce("root", "node").alias("root")))
-        sizes = held.groupBy("sig", "root").agg(F.count("*").alias("k"), F.max(F.struct("own", "node")).alias("lead"))
-        spans = sizes.groupBy("sig").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.max_by("lead", F.struct("k", "root")).alias("lead"), F.count("*").alias("roots")).filter("roots > 1")
-        spanning = cut(held.hint("merge").join(spans.hint("merge"), "sig").select("sig", "node", "own", "root", "largest", F.col("lead.node").alias("lead")))
+        spanning = spanning_of(held)
         if spanning.isEmpty():
             break
         stars = spanning.filter("root <> largest").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
@@ -452,62 +481,109 @@ def among_hard(hard: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     return roots
 
 
-def in_blocks(spanning: DataFrame, sets: DataFrame, tokens: int = 40_000) -> DataFrame:
-    """Links between components that share a common signature.
+def spanning_of(held: DataFrame) -> DataFrame:
+    """Of a table sig, node, own, root the rows of signatures that several components have, with the largest of these and a leader in it.
+
+    What is known of signatures is written out, so that their join with rows is one whose large partitions AQE splits.
+    """
+    sizes = held.groupBy("sig", "root").agg(F.count("*").alias("k"), F.max(F.struct("own", "node")).alias("lead"))
+    spans = cut(sizes.groupBy("sig").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.max_by("lead", F.struct("k", "root")).alias("lead"), F.count("*").alias("roots")).filter("roots > 1"))
+    return cut(held.hint("merge").join(spans.hint("merge"), "sig").select("sig", "node", "own", "root", "largest", F.col("lead.node").alias("lead")))
+
+
+def may_link(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, n, tokens of those of the asked nodes (distinct `node`) that can be similar to another one of them.
+
+    `tokens` are the shingles that another one has too. A similar set holds three quarters of a set at least, so where
+    these are fewer there is none; what a set has alone is in no intersection.
+    """
+    asked = cut(sets.hint("merge").join(nodes.hint("merge"), "node"))
+    rows = asked.select("node", F.explode("tokens").alias("token"))
+    often = cut(rows.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token"))
+    kept = rows.hint("merge").join(often.hint("merge"), "token").groupBy("node").agg(F.collect_list("token").alias("tokens"))
+    whole = asked.select("node", F.size("tokens").alias("n")).hint("merge").join(kept.hint("merge"), "node")
+    return cut(whole.filter(F.size("tokens") * DEN >= F.col("n") * NUM))
+
+
+def in_blocks(spanning: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components that share a common signature, from each block those that join components not joined by its other links."""
+    return cut(blocks_of(spanning, sets).groupBy("cluster", "i", "j").applyInPandas(block_links, "a long, b long"))
+
+
+def blocks_of(spanning: DataFrame, sets: DataFrame, tile: int = TILE, block: int = BLOCK) -> DataFrame:
+    """cluster, i, j, left, node, root, n, tokens: the sets to compare, dealt over the blocks (i, j) of each cluster.
 
-    Of each cluster (what such signatures connect) the nodes outside the largest component of some signature are held
-    against all, block by block: a block has some `tokens` shingles, so a task's memory does not grow with the cluster.
-    A task returns only links that join components not joined by its other links.
+    Of each cluster (what signatures of several components connect) the nodes outside the largest component of some
+    signature are held against all. A side of a block is an eighth of its cluster's shingles, but `tile` at least and
+    `block` at most: so a set is sent to 16 blocks at most as long as a cluster has no more than 8 million shingles,
+    and a task's memory stays within bounds in larger ones, whose sets are sent the more often the more there are.
     """
+    alike = may_link(spanning.select("node").distinct(), sets)
+    spanning = spanning_of(cut(spanning.select("sig", "node", "own", "root").hint("merge").join(alike.select("node").hint("merge"), "node")))
     clusters = components(spanning.select(F.col("node").alias("a"), F.col("lead").alias("b")))
     nodes = spanning.groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("largest")).alias("few"))
     nodes = nodes.join(clusters.select("node", F.col("root").alias("cluster")), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-    whole = cut(nodes.hint("merge").join(sets.hint("merge"), "node").withColumn("n", F.size("tokens")))
-    counts = cut(whole.groupBy("cluster").agg(F.ceil(F.sum("n") / tokens).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("few"), F.col("n")).otherwise(0)) / tokens).cast("int").alias("few_blocks")))
+    whole = cut(nodes.hint("merge").join(alike.hint("merge"), "node"))
+    cost = F.size("tokens") + ROW
+    sums = whole.groupBy("cluster").agg(F.sum(cost).alias("all"), F.sum(F.when(F.col("few"), cost).otherwise(0)).alias("of_few"))
+    side = F.greatest(F.lit(tile), F.least(F.lit(block), F.col("all") / BLOCKS))
+    counts = cut(sums.select("cluster", F.ceil(F.col("all") / side).cast("int").alias("blocks"), F.ceil(F.col("of_few") / side).cast("int").alias("few_blocks")))
     placed = whole.join(counts, "cluster")
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.filter("few").select("cluster", at("few_blocks").alias("i"), every("blocks").alias("j"), F.lit(True).alias("left"), "node", "root", "tokens")
-    right = placed.select("cluster", every("few_blocks").alias("i"), at("blocks").alias("j"), F.lit(False).alias("left"), "node", "root", "tokens")
-    return cut(left.unionByName(right).groupBy("cluster", "i", "j").applyInPandas(block_links, "a long, b long"))
+    left = placed.filter("few").select("cluster", at("few_blocks").alias("i"), every("blocks").alias("j"), F.lit(True).alias("left"), "node", "root", "n", "tokens")
+    right = placed.select("cluster", every("few_blocks").alias("i"), at("blocks").alias("j"), F.lit(False).alias("left"), "node", "root", "n", "tokens")
+    return left.unionByName(right)
+
+
+def tiles(side: pd.DataFrame, tile: int) -> list[tuple]:
+    """Sets in the order of their sizes, some `tile` shingles at a time: shingles, the row of each, the distinct ones; sizes, roots, nodes of the rows."""
+    side = side.sort_values("n", kind="stable")
+    out = []
+    for _, part in side.groupby(np.cumsum([len(t) + ROW for t in side["tokens"]]) // tile):
+        flat, row = np.concatenate(part["tokens"].to_list()), np.repeat(np.arange(len(part)), [len(t) for t in part["tokens"]])
+        out.append((flat, row, np.unique(flat), *(part[c].to_numpy() for c in ("n", "root", "node"))))
+    return out
 
 
 def block_links(rows: pd.DataFrame) -> pd.DataFrame:
     """Links between the left and the right rows of a block that join different roots."""
-    x, y = rows[rows["left"]], rows[~rows["left"]]
+    return tile_links(rows, TILE)
+
+
+def tile_links(rows: pd.DataFrame, tile: int) -> pd.DataFrame:
+    """Those links, tile by tile; tiles whose sizes lie too far apart are left out."""
     out: list[tuple[int, int]] = []
-    if len(x) and len(y):
-        sides, shared = [], None
-        for side in (x, y):
-            flat = np.concatenate(side["tokens"].to_list())
-            sides.append((flat, np.repeat(np.arange(len(side)), [len(t) for t in side["tokens"]]), np.array([len(t) for t in side["tokens"]])))
-            shared = np.unique(flat) if shared is None else np.intersect1d(shared, flat)
-        counts = np.zeros((len(x), len(y)), np.float32)
-        for k in range(0, len(shared), COLUMNS):
-            some, grids = shared[k : k + COLUMNS], []
-            for flat, row, sizes in sides:
-                at = np.minimum(np.searchsorted(some, flat), len(some) - 1)
-                hit = some[at] == flat
-                grid = np.zeros((len(sizes), len(some)), np.float32)
-                grid[row[hit], at[hit]] = 1
-                grids.append(grid)
-            counts += grids[0] @ grids[1].T
-        sizes = sides[0][2][:, None] + sides[1][2][None, :]
-        roots_x, roots_y = x["root"].to_numpy(), y["root"].to_numpy()
-        similar_ = (counts * (DEN + NUM) >= sizes * NUM) & (roots_x[:, None] != roots_y[None, :])
-        top: dict[int, int] = {}
-
-        def find(r: int) -> int:
-            while top.get(r, r) != r:
-                r = top[r]
-            return r
-
-        nodes_x, nodes_y = x["node"].to_numpy(), y["node"].to_numpy()
-        for i, j in zip(*np.nonzero(similar_), strict=True):
-            p, q = find(int(roots_x[i])), find(int(roots_y[j]))
-            if p != q:
-                top[p] = q
-                out.append((int(nodes_x[i]), int(nodes_y[j])))
+    top: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while top.get(r, r) != r:
+            r = top[r]
+        return r
+
+    right = tiles(rows[~rows["left"]], tile)
+    for flat_x, row_x, own_x, sizes_x, roots_x, nodes_x in tiles(rows[rows["left"]], tile):
+        for flat_y, row_y, own_y, sizes_y, roots_y, nodes_y in right:
+            if sizes_x[-1] * DEN < sizes_y[0] * NUM or sizes_y[-1] * DEN < sizes_x[0] * NUM:
+                continue
+            shared = np.intersect1d(own_x, own_y, assume_unique=True)
+            counts = np.zeros((len(nodes_x), len(nodes_y)), np.float32)
+            for k in range(0, len(shared), COLUMNS):
+                some, grids = shared[k : k + COLUMNS], []
+                for flat, row, n in ((flat_x, row_x, len(nodes_x)), (flat_y, row_y, len(nodes_y))):
+                    at = np.minimum(np.searchsorted(some, flat), len(some) - 1)
+                    hit = some[at] == flat
+                    grid = np.zeros((n, len(some)), np.float32)
+                    grid[row[hit], at[hit]] = 1
+                    grids.append(grid)
+                counts += grids[0] @ grids[1].T
+            sizes = sizes_x[:, None] + sizes_y[None, :]
+            similar_ = (counts * (DEN + NUM) >= sizes * NUM) & (roots_x[:, None] != roots_y[None, :])
+            for i, j in zip(*np.nonzero(similar_), strict=True):
+                p, q = find(int(roots_x[i])), find(int(roots_y[j]))
+                if p != q:
+                    top[p] = q
+                    out.append((int(nodes_x[i]), int(nodes_y[j])))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,72 @@ def test_one_of_each_stays(spark):
     assert jaccard_join.first_of_each(clashing.limit(0)).count() == jaccard_join.jaccard_components(clashing.limit(0)).count() == 0
 
 
+def families(seed):
+    """Sets by node: of a family whose members are similar or nearly so, of one of other sizes, and some that share a passage alone."""
+    rng, sets = np.random.default_rng(seed), {}
+    drawn = lambda n: rng.integers(-(2**62), 2**62, n)
+    for start, base, members, most in ((0, drawn(120), 150, 24), (1000, drawn(40), 60, 10), (2000, drawn(30), 40, 0)):
+        for k in range(members):
+            kept = rng.permutation(base)[: len(base) - rng.integers(0, most + 1)]
+            sets[2 * (start + k)] = np.unique(np.concatenate((kept, drawn(rng.integers(0, most + 1) if most else 60))))
+    return sets
+
+
+def groups_of(nodes, links):
+    top = {n: n for n in nodes}
+
+    def find(n):
+        while top[n] != n:
+            n = top[n]
+        return n
+
+    for a, b in links:
+        top[find(a)] = find(b)
+    return {n: find(n) for n in nodes}, len({find(n) for n in nodes})
+
+
+def same_groups(sets, links):
+    """Links join what is similar, and nothing else."""
+    alike = [(a, b) for a, b in itertools.combinations(sets, 2) if 7 * len(np.intersect1d(sets[a], sets[b])) >= 3 * (len(sets[a]) + len(sets[b]))]
+    assert {(min(x), max(x)) for x in links} <= {(min(x), max(x)) for x in alike}
+    both, n = groups_of(sets, [*alike, *links])
+    return n == groups_of(sets, links)[1] == groups_of(sets, alike)[1] and len(alike) > 100
+
+
+def test_sets_are_sent_to_few_blocks(spark):
+    """A set goes to so many blocks however many sets share its signature, and those that can have no links go to none."""
+    sets = families(1)
+    spanning = spark.createDataFrame([(start, n, 1, n, (lead := 2 * start), lead) for start in (0, 1000, 2000) for n in sets if start <= n // 2 < start + 1000], "sig long, node long, own int, root long, largest long, lead long")
+    tokens = spark.createDataFrame([(n, t.tolist()) for n, t in sets.items()], "node long, tokens array<long>")
+    sent = jaccard_join.blocks_of(spanning, tokens, tile=200).groupBy("node").agg(F.count("*").alias("times"), F.max("cluster").alias("cluster")).collect()
+    times = {r["node"]: r["times"] for r in sent}
+    # 200 shingles a block would send each set of the first family to some 200 blocks.
+    assert 8 < max(times.values()) <= 2 * jaccard_join.BLOCKS and not any(n >= 4000 for n in times) and len({r["cluster"] for r in sent}) == 2
+    assert same_groups(sets, [(r["a"], r["b"]) for r in jaccard_join.in_blocks(spanning, tokens).collect()])
+    apart = spanning.filter("node >= 4000")
+    assert jaccard_join.in_blocks(apart, tokens).count() == 0
+
+
+@pytest.mark.parametrize("tile", [100, 1500, jaccard_join.TILE])
+def test_tiles_of_a_block(tile):
+    sets = families(2)
+    rows = pd.DataFrame([(left, n, n, len(t), t) for left in (True, False) for n, t in sets.items()], columns=["left", "node", "root", "n", "tokens"])
+    assert same_groups(sets, [tuple(x) for x in jaccard_join.tile_links(rows, tile).to_numpy().tolist()])
+    assert jaccard_join.tile_links(rows[rows["left"]], tile).empty and jaccard_join.tile_links(rows[~rows["left"]], tile).empty
+
+
+def test_shuffles_go_with_their_query(spark):
+    """What a step has shuffled is not left on disk until the driver collects its garbage."""
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept = spark.conf.get(setting), files()
+    jaccard_join.linked(table(spark, list(enumerate(sentences(15, 20, 30) * 2))))
+    until = time.time() + 20
+    while (left := files() - kept) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(setting) == before
+
+
 def test_lacking_sets_are_counted_against_all(spark):
     rows = [(i, t) for i, t in enumerate(sentences(8, 5, 30))] + [(10, sentences(8, 5, 30)[0] + " tail")]
     docs = table(spark, rows).select("doc_id", "text").withColumn("_key", F.xxhash64("doc_id", "text"))
